@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, packing, quality, simhash
+from . import decontaminate, packing, quality, simhash, toxicity
+from .common import crc_mod
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
+    scored = model.scored(docs.select("doc_id", "text"), "text", "score")
+    return scored.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +38,5 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_mcd, op7_decontaminate, op8_simhash, op10_best_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality_mcd, op7_decontaminate, op8_simhash, op10_best_fit)}
 ORACLES: dict[str, str] = {}
