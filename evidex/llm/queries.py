@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, packing, quality, simhash, toxicity
+from . import decontaminate, packing, quality, sharding, simhash, toxicity, warc
 from .common import crc_mod
 
+SHARD_BYTES = 16 << 20
+
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -23,6 +25,13 @@ def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    back = warc.read(warc.write(pages))
+    ids = [F.col(c).cast(pages.schema["page_id"].dataType).alias(c) for c in ("page_id", "refers_to")]
+    return back.select(ids[0], "payload_bytes", "payload_digest", "record_type", ids[1])
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, bench, ["doc_id"])
@@ -34,9 +43,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality_mcd, op7_decontaminate, op8_simhash, op10_best_fit)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality_mcd, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
+ORACLES: dict[str, str] = {
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha256(b) AS payload_digest FROM p),
+        f AS (SELECT payload_digest, min(page_id) AS low FROM d WHERE payload_bytes >= 100 GROUP BY 1)
+        SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN low < page_id THEN low END AS refers_to
+        FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
+}
