@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, packing, quality, sharding, simhash, toxicity, warc
+from . import decontaminate, html_text, packing, quality, sharding, simhash, toxicity, warc
 from .common import crc_mod
 
 SHARD_BYTES = 16 << 20
 
 
+def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
@@ -51,7 +55,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_quality_mcd, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
