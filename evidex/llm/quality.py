@@ -6,15 +6,13 @@ nearest by distance, take their mean and covariance, and repeat (C-steps). The s
 distance is that of a normal sample. A document whose squared Mahalanobis distance exceeds `cutoff` is rejected.
 
 Estimates are sums and mergeable quantile sketches, so a source with a third of all rows costs no more than many small
-ones; the table of estimates has a row per group and is joined to the rows by group (Spark broadcasts it while its
-measured size is under its threshold, and shuffles otherwise). Groups of under `least` rows pool by language, those
+ones; the table of estimates has a row per group and is joined to the rows by group (broadcast while a count shows
+it to be small, by a shuffle otherwise). Groups of under `least` rows pool by language, those
 left over pool together, and a pool of under `least` rows rejects nothing.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,26 +86,35 @@ def _groups(lang: str, source: str) -> tuple[Column, Column]:
     return tuple(F.coalesce(F.concat(F.lit("="), F.col(x)), F.lit("")) for x in (lang, source))
 
 
+#: Estimates of up to so many groups (about 250 bytes each) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_GROUPS = 20_000
+
+
+def _sent(groups: DataFrame) -> DataFrame:
+    """A table with a row per group, marked for broadcast if it is measured to be small."""
+    return F.broadcast(groups) if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else groups
+
+
 def _distance(rows: DataFrame, model: DataFrame) -> DataFrame:
     """`rows` (g, x0, x1, ...) with the squared Mahalanobis distance d2 by the group's centre m and Cholesky factor l."""
-    out = rows.join(model, "g", "left")
+    ys = []  # forward substitution; each y may use those before it in the same select
     for i in range(DIM):
-        gone = reduce(lambda a, j: a - F.col(f"l{i}{j}") * F.col(f"y{j}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        out = out.withColumn(f"y{i}", gone / F.col(f"l{i}{i}"))
-    return out.withColumn("d2", sum(F.col(f"y{i}") * F.col(f"y{i}") for i in range(DIM))).select(*rows.columns, "d2")
+        gone = "".join(f" - l{i}{j} * y{j}" for j in range(i))
+        ys.append(f"(x{i} - m{i}{gone}) / l{i}{i} AS y{i}")
+    d2 = " + ".join(f"y{i} * y{i}" for i in range(DIM))
+    return rows.join(_sent(model), "g", "left").selectExpr(*(f"`{c}`" for c in rows.columns), *ys, f"{d2} AS d2").select(*rows.columns, "d2")
 
 
-def _factor(moments: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+def _factor(moments: DataFrame) -> DataFrame:
     """Centre and Cholesky factor from each group's c{i}{j}; the variances' floors make it positive definite."""
-    out, floors = moments, [*FLOORS.values()]
-    for j in range(DIM):
-        left = F.col(f"c{j}{j}") + F.lit(floors[j] ** 2)
-        left = reduce(lambda a, k: a - F.col(f"l{j}{k}") * F.col(f"l{j}{k}"), range(j), left)
-        out = out.withColumn(f"l{j}{j}", F.sqrt(F.greatest(left, F.lit(floors[j] ** 2 / 4))))
+    ls = []
+    for j, floor in enumerate(FLOORS.values()):
+        left = f"c{j}{j} + {floor**2}D" + "".join(f" - l{j}{k} * l{j}{k}" for k in range(j))
+        ls.append(f"sqrt(greatest({left}, {floor**2 / 4}D)) AS l{j}{j}")
         for i in range(j + 1, DIM):
-            gone = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.col(f"c{j}{i}"))
-            out = out.withColumn(f"l{i}{j}", gone / F.col(f"l{j}{j}"))
-    return out.select("g", *keep, *(f"m{i}" for i in range(DIM)), *(f"l{i}{j}" for i in range(DIM) for j in range(i + 1)))
+            gone = "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+            ls.append(f"(c{j}{i}{gone}) / l{j}{j} AS l{i}{j}")
+    return moments.selectExpr("g", *(f"m{i}" for i in range(DIM)), *ls)
 
 
 def estimate(stats: DataFrame, least: int = LEAST, share: float = SHARE, steps: int = STEPS) -> tuple[DataFrame, DataFrame]:
@@ -118,13 +125,13 @@ def estimate(stats: DataFrame, least: int = LEAST, share: float = SHARE, steps:
     named = each.join(pools, "lang", "left").select("lang", "source", F.when(~small, F.concat_ws("\x1f", F.lit("s"), "lang", "source")).when(F.col("n_lang") >= least, F.concat_ws("\x1f", F.lit("l"), "lang")).otherwise(F.lit("a")).alias("g"))
     named = staged(named, "groups")
     xs = [f"x{i}" for i in range(DIM)]
-    rows = staged(stats.join(named, ["lang", "source"]).select("g", *xs), "vectors")
+    rows = staged(stats.join(_sent(named), ["lang", "source"]).select("g", *xs), "vectors")
 
     def middle(values: DataFrame, names: list[str]) -> DataFrame:
         return values.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 2000).alias(f"q{i}") for i, x in enumerate(names)))
 
     centre = staged(middle(rows, xs).filter(F.col("n") >= least).select("g", *(F.col(f"q{i}").alias(f"m{i}") for i in range(DIM))), "medians")
-    off = rows.join(centre, "g").select("g", *(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(DIM)))
+    off = rows.join(_sent(centre), "g").select("g", *(F.abs(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"x{i}") for i in range(DIM)))
     spread = middle(off, xs).join(centre, "g")
     floor = [*FLOORS.values()]
     diagonal = [F.greatest(F.col(f"q{i}") * 1.4826, F.lit(floor[i])).alias(f"l{i}{i}") for i in range(DIM)]
@@ -132,8 +139,8 @@ def estimate(stats: DataFrame, least: int = LEAST, share: float = SHARE, steps:
     for _ in range(steps):
         far = _distance(rows, model).filter(F.col("d2").isNotNull())
         cut = staged(far.groupBy("g").agg(F.percentile_approx("d2", share, 2000).alias("cut")), "cuts")
-        near = far.join(cut, "g").filter("d2 <= cut")
-        shift = near.join(model.select("g", *(F.col(f"m{i}").alias(f"o{i}") for i in range(DIM))), "g")  # about the last centre, for precision
+        near = far.join(_sent(cut), "g").filter("d2 <= cut")
+        shift = near.join(_sent(model.select("g", *(F.col(f"m{i}").alias(f"o{i}") for i in range(DIM)))), "g")  # about the last centre, for precision
         z = [F.col(f"x{i}") - F.col(f"o{i}") for i in range(DIM)]
         sums = [F.sum(z[i]).alias(f"s{i}") for i in range(DIM)] + [F.sum(z[i] * z[j]).alias(f"p{i}{j}") for i in range(DIM) for j in range(i, DIM)]
         got = shift.groupBy("g", *(f"o{i}" for i in range(DIM))).agg(F.count("*").alias("n"), *sums)
@@ -159,7 +166,7 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     based, c = with_base(docs.select(id, text, lang, source), text)
     rows = staged(based.select(F.col(id).alias("id"), *(F.col(v).alias(k) for k, v in c.items()), base_failed(c).alias("base_failed"), *_flat(based, c, lang, source)), "stats")
     named, model = estimate(rows.filter("not base_failed").select("lang", "source", *(f"x{i}" for i in range(DIM))), **options)
-    out = _distance(rows.join(named, ["lang", "source"], "left"), model)
+    out = _distance(rows.join(_sent(named), ["lang", "source"], "left"), model)
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= cutoff)
     return out.select(F.col("id").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "d2", kept.alias("kept"))
 
@@ -172,5 +179,5 @@ def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: s
     all_rows, c = with_base(docs, text)
     whole = free_name(all_rows, "_row")
     wide = all_rows.filter(~base_failed(c)).select(F.struct(*docs.columns).alias(whole), *_flat(all_rows, c, lang, source))
-    far = _distance(wide.join(named, ["lang", "source"], "left"), model)
+    far = _distance(wide.join(_sent(named), ["lang", "source"], "left"), model)
     return far.filter(F.coalesce("d2", F.lit(0.0)) <= cutoff).select(f"{whole}.*")
