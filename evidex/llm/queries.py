@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, html_text, packing, quality, sharding, simhash, toxicity, urls, warc
+from . import decontaminate, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 SHARD_BYTES = 16 << 20
@@ -29,6 +29,10 @@ def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
@@ -59,7 +63,7 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
