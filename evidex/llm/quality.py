@@ -174,10 +174,11 @@ def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", cutoff: float = CUTOFF, **options) -> DataFrame:
     """The kept rows, columns as they are: estimates first, then each row is judged where it is read."""
     based, c = with_base(docs.select(text, *({lang, source} - {text})), text)
-    rows = based.filter(~base_failed(c)).select(*_flat(based, c, lang, source))
-    named, model = estimate(staged(rows, "stats"), **options)
+    rows = staged(based.select(base_failed(c).alias("base_failed"), *_flat(based, c, lang, source)), "stats")
+    named, model = estimate(rows.filter("not base_failed").drop("base_failed"), **options)
     all_rows, c = with_base(docs, text)
     whole = free_name(all_rows, "_row")
-    wide = all_rows.filter(~base_failed(c)).select(F.struct(*docs.columns).alias(whole), *_flat(all_rows, c, lang, source))
+    wide = all_rows.select(F.struct(*docs.columns).alias(whole), base_failed(c).alias("failed"), *_flat(all_rows, c, lang, source))
     far = _distance(wide.join(_sent(named), ["lang", "source"], "left"), model)
-    return far.filter(F.coalesce("d2", F.lit(0.0)) <= cutoff).select(f"{whole}.*")
+    # One condition over both sides of the join: parts of it, pushed below, would repeat the statistics' expressions.
+    return far.filter(F.when(F.col("failed"), F.lit(float("inf"))).otherwise(F.coalesce("d2", F.lit(0.0))) <= cutoff).select(f"{whole}.*")
