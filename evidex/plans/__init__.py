@@ -1 +1,6 @@
+"""The registered queries."""
 
+from . import knowledge, retrieval, text
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "knowledge", "retrieval", "text"]

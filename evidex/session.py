@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,27 @@ def register(spark: SparkSession, sf_dir: str, *names: str) -> None:
     """Temporary views over the given tables, for SQL."""
     for name in names:
         table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="evidex-"))
+    return path.rstrip("/")
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/evidex/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
+    """A SQL text over the given tables, bound by name for this statement alone."""
+    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
