@@ -28,7 +28,7 @@ def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evidex/{name}-{uuid.uuid4().hex}"
-    writer = df.write
+    writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
