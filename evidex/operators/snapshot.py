@@ -31,7 +31,7 @@ def apply_delta(base: DataFrame, upserts: DataFrame, removed: DataFrame, id: str
 
 def integrity(records: DataFrame, file: str, id: str, hashed: str, buckets: int = 256) -> DataFrame:
     """(file, n, digest): a digest per file that no order or partitioning changes: sorted record hashes per bucket of
-    ids, then over buckets. No task holds more than a bucket's share of a file."""
-    part = F.pmod(F.xxhash64(id), F.lit(buckets))
+    numeric ids, then over buckets. No task holds more than a bucket's share of a file."""
+    part = F.pmod(F.col(id), F.lit(buckets))
     inner = records.groupBy(file, part.alias("_b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(hashed)), "\n"), 256).alias("_h"))
     return inner.groupBy(file).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("digest"))

@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import knowledge, retrieval, text
+from . import evaluation, knowledge, retrieval, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "knowledge", "retrieval", "text"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "knowledge", "retrieval", "streams", "text"]

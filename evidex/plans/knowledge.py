@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import graph, quality
-from ..session import table
+from ..session import staged, table
 from .registry import query, standard
 from .text import NORM
 
@@ -16,9 +16,9 @@ FIRST = r"lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ',
 
 
 def documents(spark, sf):
-    """Documents with their two duplicate signals and their first line as an excerpt."""
+    """Documents with their two duplicate signals and their first line as an excerpt: texts are read and hashed once."""
     first = F.lower(F.trim(F.regexp_replace(F.split("text", "\n")[0], r"\s+", " ")))
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", X.content_hash("text").alias("content"), X.fingerprint("text").alias("loose"), first.alias("excerpt"))
+    return staged(table(spark, sf, "documents").select("doc_id", "lang", "source", X.content_hash("text").alias("content"), X.fingerprint("text").alias("loose"), F.sha2(first, 256).alias("excerpt")), "signals")
 
 
 @query(f"SELECT doc_id, duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {NORM.format('text')}) AS duplicate_of FROM documents) WHERE doc_id > duplicate_of")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import retrieval as R
-from ..session import table
+from ..session import staged, table
 from .registry import query, standard
 
 WORDS = "regexp_extract_all(lower(text), '([a-z0-9]+)', 1)"
@@ -54,7 +54,7 @@ LEXICAL = f"""
 
 def lexical(spark, sf, k: int = 50):
     t = terms(spark, sf)
-    p = posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi")
+    p = staged(posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi"), "postings")
     return R.lexical_channel(t, p, R.document_frequency(p, n_docs(spark, sf)), k)
 
 
