@@ -200,11 +200,16 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spl
 
 
 def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id; of repeated rows of that id, one."""
+    """One row of each group of near duplicates: the one with the smallest id; of repeated rows of that id, one.
+
+    The texts are shuffled once, to meet the decisions by id; the hint keeps that so at every size.
+    """
     marks = staged(near_duplicates(docs, id, text), "marks")
-    gone = marks.filter(~F.col(id).eqNullSafe(F.col("component_id"))).select(F.col(id).alias("_gone")).distinct()
-    left = docs.join(gone, docs[id] == F.col("_gone"), "left_anti")
-    twice = marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(id).count().filter("count > 1").select(F.col(id).alias("_twice"))
-    mark = free_name(docs, "_fp_text")
-    again = left.join(twice, left[id] == F.col("_twice"), "left_semi").withColumn(mark, F.sha2(F.coalesce(text, F.lit("")), 256)).dropDuplicates([id, mark]).drop(mark)
-    return left.join(twice, left[id] == F.col("_twice"), "left_anti").union(again)
+    kept = staged(marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col(id).alias("_kept")).agg(F.count("*").alias("_n")), "kept")
+    left = docs.join(kept.select("_kept").hint("merge"), docs[id].eqNullSafe(F.col("_kept")), "left_semi")
+    twice = kept.filter("_n > 1").select("_kept")
+    if twice.isEmpty():
+        return left
+    mark = free_name(docs, "_text_hash")
+    same = left.withColumn(mark, F.sha2(F.coalesce(text, F.lit("")), 256)).join(twice, left[id].eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates([id, mark]).drop(mark)
+    return left.join(twice, left[id].eqNullSafe(F.col("_kept")), "left_anti").union(same)
