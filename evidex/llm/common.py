@@ -2,37 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, staged
+
+__all__ = ["crc_mod", "free_name", "raw", "schema_of", "shared_dir", "slices", "staged"]
 #: Texts are handled in slices of about this many bytes, whatever Arrow's batch holds.
 SLICE_BYTES = 4 << 20
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="evidex-"))
-    return path.rstrip("/")
-
-
-def staged(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidex/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(column: str, n: int) -> Column:
@@ -73,6 +53,3 @@ def free_name(df: DataFrame, base: str) -> str:
     while base in df.columns:
         base += "_"
     return base
-
-
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
