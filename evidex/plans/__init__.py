@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import evaluation, knowledge, retrieval, streams, text
+from . import evaluation, knowledge, records, retrieval, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "knowledge", "retrieval", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "knowledge", "records", "retrieval", "streams", "text"]
