@@ -51,10 +51,21 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def staging(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark)}/evidex-{spark.sparkContext.applicationId}"
+
+
+def discard_staged(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables, once no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(staging(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidex/{name}-{uuid.uuid4().hex}"
+    path = f"{staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import staging
 
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
@@ -28,7 +28,7 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream yields from what is there now, through a parquet sink with a checkpoint in the shared folder."""
     spark = stream.sparkSession
-    out = f"{shared_dir(spark)}/evidex/stream-{uuid.uuid4().hex}"
+    out = f"{staging(spark)}/stream-{uuid.uuid4().hex}"
     run = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
