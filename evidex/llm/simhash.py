@@ -193,9 +193,11 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spl
     prints = staged(fingerprints(docs, text, id), "prints")
     each = prints.groupBy("fp").agg(F.min(id).alias("low"))
     root = components(links(each.select("fp"), split_above))
-    rooted = each.join(root, each.fp == root.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    of = rooted.join(least, "root").select("fp", "component_id")
+    linked = each.join(root, each.fp == root.node).select("fp", "low", "root")
+    # Staged, a large component's least id meets its fingerprints in a plain join, which adaptive execution can split.
+    least = staged(linked.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+    alone = each.join(root, each.fp == root.node, "left_anti").select("fp", F.col("low").alias("component_id"))
+    of = linked.join(least, "root").select("fp", "component_id").union(alone)
     return prints.join(of, "fp").select(id, "fp", "component_id")
 
 
