@@ -58,6 +58,15 @@ def canonical_url(url: Column | str) -> Column:
     return F.when(scheme(url).isin("http", "https"), F.concat(scheme(url), F.lit("://"), host(url), place, tail)).otherwise("")
 
 
+def canonical_link(page: Column | str) -> Column:
+    """The page's first rel=canonical link, else its og:url, canonicalized; null where it declares neither."""
+    found = [
+        F.regexp_extract(page, r"""(?is)<link\b(?=[^>]*\brel=["']?canonical\b)[^>]*\bhref=["']?([^"'\s>]+)""", 1),
+        F.regexp_extract(page, r"""(?is)<meta\b(?=[^>]*\bproperty=["']?og:url\b)[^>]*\bcontent=["']?([^"'\s>]+)""", 1),
+    ]
+    return F.coalesce(*(F.when(canonical_url(f) != "", canonical_url(f)) for f in found))
+
+
 def url_key(url: Column | str) -> Column:
     """Host and path for comparison: lower-cased, no trailing slash, no query."""
     return F.lower(F.concat(host(url), F.regexp_replace(path(url), "/+$", "")))

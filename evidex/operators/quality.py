@@ -100,6 +100,20 @@ def steps_to(current: Column, target: Column) -> Column:
     return F.transform(names, lambda to, i: F.struct(F.element_at(chain, (a + i).cast("int")).alias("from_status"), to.alias("to_status")))
 
 
+def rescored(current: Column, target: Column, verified: Column) -> Column:
+    """The status after a rescore: final and conflicted states stay, a stale item needs verified evidence to come back,
+    a conflict marks settled items, and otherwise an item only ever advances."""
+    chain = F.array(*map(F.lit, CHAIN))
+    ahead = F.array_position(chain, target) > F.array_position(chain, current)
+    return (
+        F.when(current.isin("REJECTED", "SUPERSEDED", "CONFLICTED"), current)
+        .when(current == "STALE", F.when(verified, target).otherwise(current))
+        .when(target == "CONFLICTED", F.when(current.isin("SUPPORTED", "VERIFIED"), target).otherwise(current))
+        .when(ahead, target)
+        .otherwise(current)
+    )
+
+
 def one_to_one(old: DataFrame, new: DataFrame, key: list[str], old_id: str, new_id: str) -> DataFrame:
     """(key, old_id, new_id) where a key has exactly one row on each side: two sums and a join, no windows."""
     a = old.groupBy(*key).agg(F.count("*").alias("_n"), F.min(old_id).alias(old_id)).filter("_n = 1").drop("_n")

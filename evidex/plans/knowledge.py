@@ -130,6 +130,19 @@ def e02_e03_levels(spark, sf):
     return scored(spark, sf).select("o_orderkey", "level", "status")
 
 
+@query(FACTORS + """, l AS (SELECT *, CASE WHEN one THEN 5 WHEN n = 0 THEN 0 ELSE greatest(1, CASE WHEN a >= 80 THEN 2 ELSE 1 END, CASE WHEN n >= 2 THEN 3 ELSE 1 END, CASE WHEN v THEN 4 ELSE 1 END) END AS level FROM i),
+    t AS (SELECT o_orderkey, f, CASE o_orderkey % 5 WHEN 0 THEN 'CANDIDATE' WHEN 1 THEN 'SUPPORTED' WHEN 2 THEN 'VERIFIED' WHEN 3 THEN 'REJECTED' ELSE 'STALE' END AS cur, CASE WHEN conflict THEN 'CONFLICTED' WHEN level >= 2 THEN 'VERIFIED' WHEN level >= 1 THEN 'SUPPORTED' ELSE 'CANDIDATE' END AS tgt FROM l),
+    o AS (SELECT * FROM (VALUES ('CANDIDATE', 1), ('SUPPORTED', 2), ('VERIFIED', 3)) r(s, k))
+    SELECT o_orderkey, CASE WHEN cur = 'REJECTED' THEN cur WHEN cur = 'STALE' THEN CASE WHEN f THEN tgt ELSE cur END WHEN tgt = 'CONFLICTED' THEN CASE WHEN cur = 'CANDIDATE' THEN cur ELSE tgt END WHEN y.k > x.k THEN tgt ELSE cur END AS status
+    FROM t LEFT JOIN o x ON x.s = cur LEFT JOIN o y ON y.s = tgt""")
+def d18_rescore(spark, sf):
+    """Levels turned into statuses, from a status that orders are given by number."""
+    names = F.array(*map(F.lit, ["CANDIDATE", "SUPPORTED", "VERIFIED", "REJECTED", "STALE"]))
+    rows = scored(spark, sf).join(table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey")
+    current = F.get(names, (F.col("o_orderkey") % 5).cast("int"))
+    return rows.select("o_orderkey", quality.rescored(current, F.col("status"), F.col("o_orderstatus") == "F").alias("status"))
+
+
 @query("""
     WITH c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 2 END AS a, CASE o_orderstatus WHEN 'F' THEN 4 WHEN 'O' THEN 3 ELSE 1 END AS b FROM orders)
     SELECT o_orderkey, (ARRAY['EXTRACTED', 'CANDIDATE', 'SUPPORTED', 'VERIFIED'])[s] AS from_status, (ARRAY['EXTRACTED', 'CANDIDATE', 'SUPPORTED', 'VERIFIED'])[s + 1] AS to_status FROM c, range(1, 4) AS r(s) WHERE s >= a AND s < b""")

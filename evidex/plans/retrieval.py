@@ -123,6 +123,24 @@ def r26_r30_pool_fusion(spark, sf):
     return pool.select("query", "id", F.round(R.vector_primary(F.col("vec_rank"), F.col("lex_rank"), F.lit(None)), 9).alias("score"))
 
 
+RARE = """, rt AS (SELECT query, term, idf FROM (SELECT query, term, df, idf, row_number() OVER (PARTITION BY query ORDER BY idf DESC, term) AS r, count(*) OVER (PARTITION BY query) AS n FROM t JOIN idf USING (term)) WHERE r <= greatest(1, n // 2) AND df < greatest(1, 0.15 * (SELECT count(*) FROM documents))),
+    rs AS (SELECT query, id, round(sum(idf) / (SELECT sum(idf) FROM rt a WHERE a.query = rt.query), 6) AS coverage FROM rt JOIN post USING (term) GROUP BY query, id),
+    rare AS (SELECT query, id, rare_rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, id) AS rare_rank FROM rs) WHERE rare_rank <= 50)"""
+
+
+@query(FUSED + RARE + """, x AS (SELECT coalesce(u.query, rare.query) AS query, coalesce(u.id, rare.id) AS id, vec_rank, lex_rank, rare_rank FROM u FULL JOIN rare ON u.query = rare.query AND u.id = rare.id)
+    SELECT query, id, round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0) + coalesce(1.0::DOUBLE / (60 + rare_rank), 0), 9) AS score FROM x""")
+def r29_three_channel_rrf(spark, sf):
+    """Vector, lexical and rare-term ranks, fused."""
+    t, n = terms(spark, sf), n_docs(spark, sf)
+    p = staged(posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi"), "postings")
+    idf = R.document_frequency(p, n)
+    rare = R.lexical_channel(R.rare_terms(t, idf, n).select("query", "term"), p, idf, 50).select("query", "id", F.col("lex_rank").alias("rare_rank"))
+    lex = R.lexical_channel(t, p, idf, 50).select("query", "id", "lex_rank")
+    pool = vectors(spark, sf).select("query", "id", "vec_rank").join(lex, ["query", "id"], "full_outer").join(rare, ["query", "id"], "full_outer")
+    return pool.select("query", "id", F.round(R.rrf(F.col("vec_rank"), F.col("lex_rank"), F.col("rare_rank")), 9).alias("score"))
+
+
 @query(LEXICAL + """, d AS (SELECT doc_id AS id, source FROM documents)
     SELECT query, id, source AS subject, place FROM (SELECT query, id, source, lex_rank, row_number() OVER (PARTITION BY query, source ORDER BY lex_rank) AS place FROM lex JOIN d USING (id)) WHERE place <= 3""")
 def r36_subject_cap(spark, sf):

@@ -29,6 +29,11 @@ def test_canonical_url(spark):
     assert values(spark, ["http://WWW.a.com/X/?q"], k=X.url_key("t"), h=X.bare_host("t")) == [("www.a.com/x", "a.com")]
 
 
+def test_canonical_link(spark):
+    pages = ['<link href="http://A.com/x#y" rel="canonical"><meta property="og:url" content="http://b.com">', "<meta content='http://b.com/?utm_a=1' property='og:url'>", "<link rel=stylesheet href=http://c.com>", None]
+    assert [v[0] for v in values(spark, pages, c=X.canonical_link("t"))] == ["http://a.com/x", "http://b.com/", None, None]
+
+
 def test_scope(spark):
     cases = ["http://a.com/docs/x", "http://b.com/docs/x", "http://a.com/docs/private", "http://a.com/blog"]
     assert [v[0] for v in values(spark, cases, s=X.in_scope("t", F.lit("a.com"), "private", None, "/docs/"))] == [True, False, False, False]
