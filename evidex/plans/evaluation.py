@@ -48,21 +48,22 @@ def v04_v05_v15_ir_metrics(spark, sf):
 
 
 def mean(x: str) -> str:
-    """An average over exact decimal sums, which no order of addition changes."""
+    """An average over exact decimal sums, which no order of addition changes. Averages are rounded to ten places: at
+    fewer, ties are common, and engines break them apart."""
     return f"CAST(sum(CAST({x} AS DECIMAL(18, 2))) AS DOUBLE) / count({x})"
 
 
 DAILY = "SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, value, user_id FROM {events}"
 standard("v11_metrics", f"""
-    SELECT day, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END), 4) AS error_rate, round({mean("CASE WHEN event_type = 'purchase' THEN value END")}, 4) AS mean_purchase,
-           round({mean("CASE WHEN event_type = 'view' AND value > 50 THEN value END")}, 4) AS mean_large_view, count(DISTINCT user_id) AS n_users FROM ({DAILY}) d GROUP BY day""", "events")
+    SELECT day, count(*) AS n, round(avg(CASE WHEN event_type = 'error' THEN 1.0E0 ELSE 0.0E0 END), 10) AS error_rate, round({mean("CASE WHEN event_type = 'purchase' THEN value END")}, 10) AS mean_purchase,
+           round({mean("CASE WHEN event_type = 'view' AND value > 50 THEN value END")}, 10) AS mean_large_view, count(DISTINCT user_id) AS n_users FROM ({DAILY}) d GROUP BY day""", "events")
 standard("v12_regression", f"""
     WITH d AS (SELECT event_type, day, {mean('value')} AS accuracy FROM ({DAILY}) x GROUP BY event_type, day), b AS (SELECT event_type, day, accuracy, lag(accuracy) OVER (PARTITION BY event_type ORDER BY day) AS baseline FROM d)
-    SELECT event_type, day, round(accuracy - baseline, 4) AS delta, coalesce(baseline - accuracy > 5, false) AS regressed FROM b""", "events")
+    SELECT event_type, day, round(accuracy - baseline, 10) AS delta, coalesce(baseline - accuracy > 5, false) AS regressed FROM b""", "events")
 standard("v13_findings", f"SELECT CASE WHEN value < 25 THEN 'low' WHEN value < 75 THEN 'middle' ELSE 'high' END AS cause, event_type, count(*) AS n, count(DISTINCT user_id) AS n_questions FROM ({DAILY}) d GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY CASE WHEN value < 25 THEN 'low' WHEN value < 75 THEN 'middle' ELSE 'high' END, event_type"), "events")
 standard("v14_compare_runs", f"""
-    WITH d AS ({DAILY}), a AS (SELECT user_id, round({mean('value')}, 6) AS m FROM d WHERE day < '2024-01-15' GROUP BY user_id), b AS (SELECT user_id, round({mean('value')}, 6) AS m FROM d WHERE day >= '2024-01-15' GROUP BY user_id)
-    SELECT coalesce(a.user_id, b.user_id) AS question, round(b.m - a.m, 5) AS delta, CASE WHEN a.m IS NULL THEN 'only second' WHEN b.m IS NULL THEN 'only first' WHEN (a.m > 50) <> (b.m > 50) THEN 'flipped' ELSE 'same' END AS outcome FROM a FULL OUTER JOIN b ON a.user_id = b.user_id""", "events")
+    WITH d AS ({DAILY}), a AS (SELECT user_id, round({mean('value')}, 10) AS m FROM d WHERE day < '2024-01-15' GROUP BY user_id), b AS (SELECT user_id, round({mean('value')}, 10) AS m FROM d WHERE day >= '2024-01-15' GROUP BY user_id)
+    SELECT coalesce(a.user_id, b.user_id) AS question, round(b.m - a.m, 9) AS delta, CASE WHEN a.m IS NULL THEN 'only second' WHEN b.m IS NULL THEN 'only first' WHEN (a.m > 50) <> (b.m > 50) THEN 'flipped' ELSE 'same' END AS outcome FROM a FULL OUTER JOIN b ON a.user_id = b.user_id""", "events")
 
 
 # Snapshots: orders, and the same with every fifth record changed, every eleventh refreshed, every seventh removed.
@@ -182,7 +183,7 @@ def o03_o05_backoff(spark, sf):
 
 standard("o04_requeue_stuck", "SELECT event_id FROM {events} WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL '60' MINUTE AND value > 90", "events")
 standard("o06_finalize_runs", "SELECT user_id AS run, event_type, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n_done, count(*) FILTER (WHERE value > 95) AS n_dead FROM {events} GROUP BY user_id, event_type HAVING count(*) FILTER (WHERE value < 0) = 0", "events")
-standard("o08_queue_health", f"SELECT event_type, count(*) AS n, round({mean('value')}, 6) AS mean_value, max(value) AS max_value, min(ts) AS oldest FROM {{events}} WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY event_type", "events")
+standard("o08_queue_health", f"SELECT event_type, count(*) AS n, round({mean('value')}, 10) AS mean_value, max(value) AS max_value, min(ts) AS oldest FROM {{events}} WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY event_type", "events")
 
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (WHERE value > 90) AS failures FROM events GROUP BY 1")
@@ -242,7 +243,7 @@ def l06_l16_run_pivot(spark, sf):
 
 standard("l08_stats", f"""
     SELECT k.status, coalesce(n, 0) AS n, mean_price FROM (SELECT 'F' AS status UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') k
-    LEFT JOIN (SELECT o_orderstatus, count(*) AS n, round({mean('o_totalprice')}, 2) AS mean_price FROM {{orders}} GROUP BY o_orderstatus) o ON o.o_orderstatus = k.status""", "orders")
+    LEFT JOIN (SELECT o_orderstatus, count(*) AS n, round({mean('o_totalprice')}, 10) AS mean_price FROM {{orders}} GROUP BY o_orderstatus) o ON o.o_orderstatus = k.status""", "orders")
 standard("l09_l02_conflict_list", """
     SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id, a.o_orderstatus AS a_status, b.o_orderstatus AS b_status FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey""", "orders")
 standard("l12_embedding_identity", "SELECT label AS model, count(*) AS n, count(*) FILTER (WHERE vec_id % 9 = 0) AS n_stale FROM {embeddings} GROUP BY label", "embeddings")

@@ -136,7 +136,7 @@ standard("v06_v08_pass_rule", """
     SELECT question, fresh AND agreed AND judged AS passed, CASE WHEN NOT fresh THEN 'stale' WHEN NOT agreed THEN 'contradiction' WHEN NOT judged THEN 'judge' ELSE 'none' END AS failure FROM c""", "orders")
 
 standard("v16_v20_run_summary", """
-    SELECT o_orderpriority AS dataset, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_passed, round(CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) / count(*), 4) AS accuracy FROM {orders} GROUP BY o_orderpriority""", "orders")
+    SELECT o_orderpriority AS dataset, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_passed, round(CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) / count(*), 10) AS accuracy FROM {orders} GROUP BY o_orderpriority""", "orders")
 
 standard("v17_item_facts", """
     SELECT o.o_orderkey AS item, o.o_orderstatus AS status, count(l.l_linenumber) AS n_evidence, count(DISTINCT s.s_nationkey) AS n_urls FROM {orders} o LEFT JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey LEFT JOIN {supplier} s ON s.s_suppkey = l.l_suppkey GROUP BY o.o_orderkey, o.o_orderstatus""", "orders", "lineitem", "supplier")
