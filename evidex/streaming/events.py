@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from ..session import staging
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 16) -> DataFrame:
-    """A parquet file or folder as a stream, with an event time that watermarks can use."""
+def event_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet file or folder as a stream, with an event time that watermarks can use.
+
+    What is there now is one batch: the watermark moves between batches, and files need not be in order of time.
+    """
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    rows = spark.readStream.schema(schema)
     source = rows.parquet(path) if _is_folder(spark, path) else rows.option("pathGlobFilter", name).parquet(folder)
     return source.withColumn("ts", F.col("ts").cast("timestamp"))
 
