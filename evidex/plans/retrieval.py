@@ -151,9 +151,11 @@ def r36_subject_cap(spark, sf):
 
 @query()
 def r36_diversified(spark, sf):
-    """Greedy diversity over each question's list (sequential within a bounded list, so beyond SQL)."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subject"), F.slice(F.array_distinct(X.words("text")), 1, 200).alias("words"))
-    return R.diversified(lexical(spark, sf).withColumnRenamed("lex_rank", "rank").join(docs, "id"))
+    """Greedy diversity over each question's list (sequential within a bounded list, so beyond SQL). Words go as hashes."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("subject"), "text")
+    # Staged, the lists are known to be small, so that texts needn't be shuffled to meet them.
+    found = staged(lexical(spark, sf).withColumnRenamed("lex_rank", "rank"), "found").join(docs, "id")
+    return R.diversified(found.withColumn("words", F.array_distinct(F.transform(X.words("text"), lambda w: F.xxhash64(w)))).drop("text"))
 
 
 @query(FUSED + """, r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0) DESC, id) AS rank FROM u),
