@@ -124,7 +124,10 @@ def c06_quote_location(spark, sf):
     rare = terms.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
     pairs = rare.join(postings, "term").select("item_id", "doc_id")
     whole = quotes.join(terms.filter("term = ''"), "item_id", "left_anti")
-    found = pairs.join(whole, "item_id").join(docs, "doc_id").filter(F.col("body").contains(F.col("quote")))
+    found = pairs.join(whole, "item_id").join(docs, "doc_id").filter(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", "quote", "body")
+    # Quotes of one or two words have no inner word to look up, so they meet every document.
+    short = quotes.join(terms.filter("term = ''"), "item_id", "left_semi")
+    found = found.union(docs.join(short, F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", "quote", "body"))
     return found.select("item_id", "doc_id", (F.expr("locate(quote, body)") - 1).cast("long").alias("start"), F.length("quote").cast("long").alias("n_chars"))
 
 
