@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,9 +45,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only in a local session that names none (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         path = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="evidex-"))
     return path.rstrip("/")
 
@@ -56,10 +59,14 @@ def staging(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/evidex-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def discard_staged(spark: SparkSession) -> None:
     """Deletes this application's intermediate tables, once no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(staging(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, staging(spark))
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -67,7 +74,39 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for made in _made:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+_made: list[list[str]] = []
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes one staged table that nothing reads any more."""
+    _delete(df.sparkSession, df.staged_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside are deleted at the end; what must outlive them is passed to the function that this yields."""
+    made: list[str] = []
+    kept: set[str] = set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.staged_path)
+        return df
+
+    _made.append(made)
+    try:
+        yield keep
+    finally:
+        _made.remove(made)
+    for path in made:
+        if path not in kept:
+            _delete(spark, path)
 
 
 def sql(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:

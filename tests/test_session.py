@@ -8,3 +8,15 @@ def test_staged_tables_are_kept_until_discarded(spark, tmp_path):
     session.discard_staged(spark)
     empty = session.staged(spark.range(0), "none")
     assert empty.count() == 0
+
+
+def test_scratch_deletes_what_is_not_kept(spark):
+    import os
+
+    with session.scratch(spark) as keep:
+        a, b = session.staged(spark.range(3), "a"), session.staged(spark.range(4), "b")
+        keep(b)
+    paths = [x.staged_path.removeprefix("file://") for x in (a, b)]
+    assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 4
+    session.discard(b)
+    assert not os.path.exists(paths[1])
