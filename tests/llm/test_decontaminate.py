@@ -62,3 +62,38 @@ def test_empty_tables(spark):
     one = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [r.n_hit for r in D.contamination(one, bench, ["doc_id"]).collect()] == [0]
     assert D.longest_matches(one, bench).collect() == []
+
+
+def slow_matches(text, items, window=10):
+    words, out = tokens(text), set()
+    for i, t in items:
+        w = tokens(t)
+        n = min(window, len(w))
+        for a in range(len(w)):
+            for b in range(len(words)):
+                if n and (not a or not b or w[a - 1] != words[b - 1]) and w[a] == words[b]:
+                    k = 0
+                    while a + k < len(w) and b + k < len(words) and w[a + k] == words[b + k]:
+                        k += 1
+                    if k >= n:
+                        out.add((i, b, a, k))
+    return out
+
+
+def test_matches_and_locations_against_brute_force(spark):
+    docs, items = cases()
+    frame = spark.createDataFrame([(*d, "c", 1, "m") for d in docs], "doc_id long, text string, item string, start int, matches string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, *m) for i, t in docs for m in slow_matches(t, items))
+    for most in (10**6, 100):
+        assert sorted(tuple(r) for r in D.longest_matches(frame, bench, block_words=most).collect()) == want
+    rows = D.contamination(frame, bench, ["doc_id"]).collect()
+    assert sorted((r.doc_id, int(m["item"]), m["start"], m["item_start"], m["n_words"]) for r in rows for m in r["matches"]) == want
+
+
+def test_very_long_text(spark):
+    item = " ".join(f"b{i}" for i in range(40))
+    text = "word other " * 300_000 + item + " tail" * 300_000
+    docs, bench = spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert [tuple(r) for r in D.longest_matches(docs, bench).collect()] == [(1, 5, 600_000, 0, 40)]
+    assert [(r.n_words, r.n_hit) for r in D.contamination(docs, bench, ["doc_id"]).collect()] == [(900_040, 40)]
