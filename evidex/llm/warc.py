@@ -12,6 +12,7 @@ payloads: the smallest id is the response, the others revisit it.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import struct
 from collections.abc import Iterator
@@ -66,64 +67,115 @@ def write_archive(records: list[bytes], dictionary: bytes = b"") -> bytes:
     return skippable(dictionary) + b"".join(map(pack.compress, records))
 
 
+def frame_end(data: memoryview, at: int) -> int:
+    """Where the Zstandard frame that begins at `at` ends: its header, its blocks by their stated sizes, its checksum."""
+    try:
+        flags = data[at + 4]
+        single = flags >> 5 & 1
+        at += 5 + (not single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6]
+        last = 0
+        while not last:
+            head = int.from_bytes(data[at : at + 3], "little")
+            last, kind, size = head & 1, head >> 1 & 3, head >> 3
+            at += 3 + (1 if kind == 1 else size)
+            if kind == 3 or at > len(data):
+                raise WarcError("a damaged or cut-off frame")
+    except IndexError as e:
+        raise WarcError("a frame is cut off") from e
+    return at + 4 * (flags >> 2 & 1)
+
+
 def frames(archive: bytes) -> Iterator[bytes]:
-    """The records of an archive, a frame at a time."""
+    """The records of an archive, a frame at a time. Skippable frames between records are passed over."""
     import zstandard
 
-    if len(archive) < 8 or struct.unpack_from("<I", archive)[0] != MAGIC:
+    data = memoryview(archive)
+    if len(data) < 8 or struct.unpack_from("<I", data)[0] != MAGIC:
         raise WarcError("no leading skippable frame")
-    size = struct.unpack_from("<I", archive, 4)[0]
-    if 8 + size > len(archive):
+    size = struct.unpack_from("<I", data, 4)[0]
+    if 8 + size > len(data):
         raise WarcError("the dictionary frame is cut off")
-    content = archive[8 : 8 + size]
+    content = bytes(data[8 : 8 + size])
     if content[:4] == FRAME:  # a dictionary may itself be compressed
-        content = zstandard.ZstdDecompressor().decompress(content)
+        content = zstandard.ZstdDecompressor().decompressobj().decompress(content)
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(content) if content else None)
-    left = memoryview(archive)[8 + size :]
-    while len(left):
-        if bytes(left[:4]) != FRAME:
+    at = 8 + size
+    while at < len(data):
+        magic = bytes(data[at : at + 4])
+        if len(magic) == 4 and magic[1:] == b"\x2a\x4d\x18" and magic[0] >> 4 == 5 and at + 8 <= len(data):
+            at += 8 + struct.unpack_from("<I", data, at + 4)[0]
+            continue
+        if magic != FRAME:
             raise WarcError("a frame of another kind")
+        end = frame_end(data, at)
+        if end > len(data):
+            raise WarcError("a frame is cut off")
         one = reader.decompressobj()
         try:
-            data = one.decompress(left)
+            record_ = one.decompress(data[at:end])
         except zstandard.ZstdError as e:
             raise WarcError(f"a damaged frame: {e}") from e
         if not one.eof:
             raise WarcError("a frame is cut off")
-        yield data
-        left = left[len(left) - len(one.unused_data) :]
+        yield record_
+        at = end
+
+
+def _agrees(digest: str, content: bytes) -> bool:
+    """Whether a labelled digest (algorithm:value, in hexadecimal or base 32) is that of `content`; unknown algorithms pass."""
+    algorithm, _, value = digest.partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("sha1", "sha256", "sha512", "md5"):
+        return True
+    own = hashlib.new(algorithm, content).digest()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """A record's headers (lower-case names) and block, validated."""
+    """A record's headers (lower-case names) and block, validated: version, fields, length, digests of block and payload."""
     head, mark, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8").split("\r\n")
-    if not mark or not lines[0].startswith("WARC/1."):
+    lines = head.decode("utf-8", "replace").split("\r\n")
+    if not mark or not lines[0].startswith(("WARC/1.", "WARC/0.1")):
         raise WarcError("no version line or header end")
     headers: dict[str, str] = {}
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and headers:  # a folded line goes on
+            headers[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
-        if not colon or not name.strip() or name.lower() in headers:
+        name = name.strip().lower()
+        if not colon or not name or (name in headers and name != "warc-concurrent-to"):
             raise WarcError(f"a broken or repeated header: {line[:80]}")
-        headers[name.lower()] = value.strip()
+        headers[name] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in headers:
             raise WarcError(f"no {name}")
     if not headers["content-length"].isdigit() or len(rest) != int(headers["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise WarcError("the length doesn't match")
     block = rest[:-4]
-    if headers["warc-type"] == RESPONSE and headers.get("warc-payload-digest", "").removeprefix("sha256:") != hashlib.sha256(block).hexdigest():
+    if "warc-block-digest" in headers and not _agrees(headers["warc-block-digest"], block):
+        raise WarcError("the block's digest doesn't match")
+    if headers["warc-type"] == RESPONSE and "warc-payload-digest" in headers and not _agrees(headers["warc-payload-digest"], payload_of(headers, block)):
         raise WarcError("the digest doesn't match")
     return headers, block
 
 
-def plan(pages: DataFrame, id: str = "page_id", body: str = "html", least: int = LEAST) -> DataFrame:
-    """(id, digest, size, refers_to): of equal payloads of at least `least` bytes all but the smallest id refer to it.
+def payload_of(headers: dict[str, str], block: bytes) -> bytes:
+    """A record's payload: what follows the HTTP head where the block is an HTTP message, else the block."""
+    if headers.get("content-type", "").lower().replace(" ", "").startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
+
+
+def plan(pages: DataFrame, id: str = "page_id", body: str = "html", least: int = LEAST, row: str | None = None) -> DataFrame:
+    """(id, digest, size, row, refers_to, again): of equal payloads of at least `least` bytes all but the smallest id refer
+    to it. `row` names a column that tells rows apart; without one, rows are numbered here.
 
     Rows with a null id refer like others; where ids repeat, one row with the smallest id is the response.
     """
-    payload = F.coalesce(F.col(body), F.lit("")).cast("binary")
-    rows = staged(pages.select(F.col(id).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size")).withColumn("row", F.monotonically_increasing_id()), "digests")
+    payload = F.coalesce(F.col(body).cast("binary"), F.lit(b""))
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = staged(pages.select(F.col(id).alias("id"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("size"), number.alias("row")), "digests")
     first = rows.filter(F.col("size") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("low")).filter("n > 1").select("digest", "low")
     return rows.join(first, "digest", "left").select("id", "digest", "size", "row", F.when(F.col("row") != F.col("low.row"), F.col("low.id")).alias("refers_to"), (F.col("low").isNotNull() & (F.col("row") != F.col("low.row"))).alias("again"))
 
@@ -133,22 +185,17 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "
 
     Each task trains its archives' dictionary on up to `sample` of its own records. Null bodies are empty payloads.
     """
-    marks = plan(pages, id, body, least).filter("again").select(F.col("id").alias("_id"), "digest", "refers_to")
     payload = F.coalesce(F.col(body), F.lit("")).cast("binary")
     small = pages.select(F.col(id).alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), payload.alias("payload"))
-    small = small.withColumn("digest", F.sha2("payload", 256))
-    twice = pages.groupBy(F.col(id).alias("_id")).count().filter("count > 1 OR _id IS NULL")
-    odd = not twice.isEmpty()
-    if odd:  # repeated or null ids: rows are told apart by their number among equal rows
-        from pyspark.sql import Window
-
-        w = Window.partitionBy("id", "digest").orderBy("url")
-        small = small.withColumn("nth", F.row_number().over(w))
-        marks = marks.groupBy("_id", "digest", "refers_to").count().select("_id", "digest", "refers_to", F.col("count").alias("most"))
-        joined = small.join(marks, small.id.eqNullSafe(F.col("_id")) & (small.digest == marks.digest), "left").drop(marks.digest)
-        rows = joined.select("id", "url", "payload", small.digest, F.when(F.col("nth") <= F.col("most"), F.col("refers_to")).alias("refers_to"), (F.coalesce("most", F.lit(0)) >= F.col("nth")).alias("again"))
+    odd = not pages.groupBy(F.col(id).alias("_id")).count().filter("count > 1 OR _id IS NULL").isEmpty()
+    if odd:  # rows with repeated or null ids are told apart by a number of their own, written with them
+        small = staged(small.withColumn("row", F.monotonically_increasing_id()), "rows")
+        marks = plan(small, "id", "payload", least, "row").select(F.col("row").alias("_row"), "digest", "refers_to", "again")
+        rows = small.join(marks, small.row == F.col("_row")).select("id", "url", "payload", "digest", "refers_to", "again")
     else:
-        rows = small.join(marks.drop("digest"), small.id == F.col("_id"), "left").select("id", "url", "payload", "digest", "refers_to", F.col("_id").isNotNull().alias("again"))
+        marks = plan(pages, id, body, least).filter("again").select(F.col("id").alias("_id"), "refers_to")
+        small = small.withColumn("digest", F.sha2("payload", 256))
+        rows = small.join(marks, small.id == F.col("_id"), "left").select("id", "url", "payload", "digest", "refers_to", F.col("_id").isNotNull().alias("again"))
     text = rows.select(F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), F.regexp_replace("url", r"[\r\n]", " ").alias("url"), "payload", "digest", F.coalesce(F.col("refers_to").cast("string"), F.lit("")).alias("refers_to"), "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,22 +222,47 @@ def write(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "
     return staged(text.mapInArrow(run, "archive binary, n_records long"), "archives")
 
 
-def read(archives: DataFrame, column: str = "archive") -> DataFrame:
-    """One row per record: page_id, url, record_type, payload_bytes, payload_digest, refers_to (ids as text), block."""
+def read(archives: DataFrame, column: str = "archive", payload_types: tuple[str, ...] = (RESPONSE, REVISIT)) -> DataFrame:
+    """One row per record of the given types: page_id, url, record_type, payload_bytes, payload_digest, refers_to, block.
+
+    Only standard headers are needed, so archives of other writers are read as well; ids are the text of the record ids,
+    without brackets and this writer's prefix. Records of other types (warcinfo, request, metadata) are validated and left
+    out. A response's payload is measured and hashed here; a revisit has what its headers say: the digest in hexadecimal
+    where it is a SHA-256, and a length only where one is given. What breaks the format raises WarcError. Null archives
+    and empty tables give no rows.
+    """
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
 
+    def name(headers: dict[str, str], key: str) -> str | None:
+        return headers.get(key, "").removeprefix("<").removesuffix(">").removeprefix("urn:page:") or None
+
+    def digest(labelled: str) -> str | None:
+        algorithm, _, value = labelled.partition(":")
+        if algorithm.lower() == "sha256" and len(value.rstrip("=")) == 52:
+            return base64.b32decode(value.upper().rstrip("=") + "====").hex()
+        return value.lower() if algorithm.lower() == "sha256" else labelled or None
+
+    def row(h: dict[str, str], block: bytes) -> tuple:
+        ids = [name(h, k) for k in ("warc-record-id", "warc-refers-to")]
+        if h["warc-type"] == REVISIT:
+            stated = h.get("x-payload-length", "")
+            return ids[0], h.get("warc-target-uri", ""), REVISIT, int(stated) if stated.isdigit() else None, digest(h.get("warc-payload-digest", "")), ids[1], block
+        payload = payload_of(h, block)
+        if h.get("x-payload-length", str(len(payload))) != str(len(payload)):
+            raise WarcError("the payload's length doesn't match")
+        return ids[0], h.get("warc-target-uri", ""), h["warc-type"], len(payload), hashlib.sha256(payload).hexdigest(), ids[1], block
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for cell in batch.column(column):
                 rows, size = [], 0
-                for data in frames(cell.as_py()):
+                for data in frames(cell.as_py()) if cell.is_valid else ():
                     h, block = parse(data)
-                    if h["warc-type"] == RESPONSE and int(h["x-payload-length"]) != len(block):
-                        raise WarcError("the payload's length doesn't match")
-                    ids = [h.get(k, "").removeprefix("<urn:page:").removesuffix(">") or None for k in ("warc-record-id", "warc-refers-to")]
-                    rows.append((ids[0], h.get("warc-target-uri", ""), h["warc-type"], int(h["x-payload-length"]), h["warc-payload-digest"].removeprefix("sha256:"), ids[1], block))
+                    if h["warc-type"] not in payload_types:
+                        continue
+                    rows.append(row(h, block))
                     size += len(block)
                     if size >= 4 << 20:
                         yield out(rows)

@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import random
+import time
 
 import pytest
 from evidex.llm import warc as W
@@ -68,3 +70,45 @@ def test_empty_and_null_ids(spark):
     assert W.read(W.write(none)).collect() == []
     nulls = spark.createDataFrame([(None, None, "a" * 200), (None, None, "a" * 200), (5, None, "a" * 200)], "page_id long, url string, html string")
     assert sorted(r.record_type for r in W.read(W.write(nulls)).collect()) == ["response", "revisit", "revisit"]
+
+
+def foreign(kind, block, *more):
+    lines = ["WARC/1.0", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:0f>", "WARC-Date: 2024-01-01T00:00:00Z", *more, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark):
+    body = b"<p>body</p>" * 20
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    sha1, sha256 = base64.b32encode(hashlib.sha1(body).digest()).decode(), hashlib.sha256(body)
+    kind = "Content-Type: application/http; msgtype=response"
+    records = [
+        foreign("warcinfo", b"software: x\r\n"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", "WARC-Concurrent-To: <urn:uuid:1>", "WARC-Concurrent-To: <urn:uuid:2>"),
+        foreign("response", http, "WARC-Target-URI: http://a/", kind, f"WARC-Payload-Digest: sha1:{sha1}", f"WARC-Block-Digest: md5:{hashlib.md5(http).hexdigest()}"),
+        foreign("revisit", b"", f"WARC-Payload-Digest: sha256:{base64.b32encode(sha256.digest()).decode().rstrip('=')}", "WARC-Refers-To: <urn:uuid:0f>"),
+        foreign("metadata", b"a: b", "X-Folded: one\r\n two"),
+    ]
+    archive = W.write_archive(records)
+    archive = archive[: W.frame_end(memoryview(archive), 8)] + W.skippable(b"a note") + archive[W.frame_end(memoryview(archive), 8) :]
+    got = W.read(spark.createDataFrame([(archive,), (None,)], "archive binary")).collect()
+    assert [tuple(r)[:6] for r in got] == [("urn:uuid:0f", "http://a/", "response", len(body), sha256.hexdigest(), None), ("urn:uuid:0f", "", "revisit", None, sha256.hexdigest(), "urn:uuid:0f")]
+    for bad in (foreign("response", http, kind, f"WARC-Payload-Digest: sha1:{sha1[::-1]}"), foreign("metadata", b"a", f"WARC-Block-Digest: sha1:{sha1}")):
+        with pytest.raises(W.WarcError):
+            W.parse(bad)
+
+
+def test_reading_takes_time_in_proportion():
+    rng = random.Random(3)
+    records = [foreign("resource", rng.randbytes(1000)) for _ in range(30_000)]
+    archive = W.write_archive(records)
+    begin = time.perf_counter()
+    assert sum(1 for _ in W.frames(archive)) == 30_000
+    assert time.perf_counter() - begin < 5
+
+
+def test_very_long_and_repeated_rows_without_ids(spark):
+    rows = [(None, None, "a" * 3_000_000)] * 3 + [(4, "u", None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = rows_of(W.read(W.write(pages)))
+    assert sorted(r[1:4:2] for r in got) == [(0, "response")] * 2 + [(3_000_000, "response")] + [(3_000_000, "revisit")] * 2
