@@ -52,46 +52,68 @@ def directory(rows: DataFrame, limit: int, grain: int = GRAIN) -> list[tuple[int
         low, bits = bits, min(HASH_BITS, bits + grain)
 
 
-def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", grain: int = GRAIN) -> DataFrame:
-    """(key, n_bytes, prefix, depth, overflow) per row: a shard is a (prefix, depth, overflow); each holds at most `limit`
-    bytes unless a single row is larger.
-
-    A null key is hashed as a value, a null text has 0 bytes; rows with equal keys share a hash, and where they exceed
-    the limit they fill numbered overflow shards. An empty table has no shards.
-    """
-    rows = docs.select(F.col(key).alias("k"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.shiftrightunsigned(F.xxhash64(key), 64 - HASH_BITS).alias("h"))
-    rows = staged(rows, "keys")
-    levels = directory(rows.select("h", "bytes"), limit, grain)
+def placed(rows: DataFrame, limit: int, grain: int = GRAIN) -> DataFrame:
+    """`rows` (h, bytes and any others, staged) with prefix, depth and overflow as further columns."""
+    columns = rows.columns
     left, parts = rows, []
-    for bits, settled in levels:
+    for bits, settled in directory(rows.select("h", "bytes"), limit, grain):
         here = left.withColumn("p", prefix("h", bits)).join(settled, "p", "left").drop("p")
-        parts.append(here.filter("depth IS NOT NULL").select("k", "bytes", "h", "depth", F.lit(0).cast("long").alias("overflow")))
+        parts.append(here.filter("depth IS NOT NULL").select(*columns, "depth", F.lit(0).cast("long").alias("overflow")))
         left = here.filter("depth IS NULL").drop("depth")
     parts.append(_overflow(left, limit))
     out = parts[0]
     for part in parts[1:]:
         out = out.union(part)
     bucket = F.call_function("shiftright", F.col("h"), (F.lit(HASH_BITS) - F.col("depth")).cast("int"))
-    return out.select(F.col("k").alias(key), F.col("bytes").alias("n_bytes"), bucket.alias("prefix"), F.col("depth").cast("int").alias("depth"), "overflow")
+    return out.select(*columns, bucket.alias("prefix"), F.col("depth").cast("int").alias("depth"), "overflow")
+
+
+def _hashed(key: str, text: str) -> list[Column]:
+    return [F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("bytes"), F.shiftrightunsigned(F.xxhash64(key), 64 - HASH_BITS).alias("h")]
+
+
+def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text", grain: int = GRAIN) -> DataFrame:
+    """(key, n_bytes, prefix, depth, overflow) per row: a shard is a (prefix, depth, overflow); each holds at most `limit`
+    bytes unless a single row is larger.
 
+    A null key is hashed as a value, a null text has 0 bytes; rows with equal keys share a hash, and where they exceed
+    the limit they fill numbered overflow shards. An empty table has no shards.
+    """
+    rows = staged(docs.select(F.col(key).alias("k"), *_hashed(key, text)), "keys")
+    return placed(rows, limit, grain).select(F.col("k").alias(key), F.col("bytes").alias("n_bytes"), "prefix", "depth", "overflow")
 
-def _overflow(rows: DataFrame, limit: int, parts: int = 64) -> DataFrame:
-    """Rows of one hash in numbered shards. Rows are dealt to `parts` slots a slot at a time and each slot fills shards of
-    its own, so that no task holds all rows of a hot key; a shard is closed before it would pass the limit."""
-    slot = F.pmod(F.monotonically_increasing_id(), F.lit(parts))
-    dealt = staged(rows.withColumn("slot", slot).withColumn("row", F.monotonically_increasing_id()), "overflow")
+
+#: Limits' worth of rows that a slot of an overflowing hash holds.
+SLOT_LIMITS = 16
+
+
+def _overflow(rows: DataFrame, limit: int) -> DataFrame:
+    """Rows of one hash in numbered shards. A hash has a slot for every SLOT_LIMITS limits of its bytes; rows are dealt to
+    its slots one by one, and each slot fills shards of its own, so that no task holds all rows of a hot key; a shard is
+    closed before it would pass the limit."""
+    columns = rows.columns
+    rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "overflow")
+    slots = rows.groupBy("h").agg(F.ceil(F.sum("bytes") / (SLOT_LIMITS * limit)).alias("slots"))
+    dealt = rows.join(slots, "h").withColumn("slot", F.pmod(F.xxhash64("row"), F.greatest("slots", F.lit(1))))
     w = Window.partitionBy("h", "slot").orderBy("row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # A row begins in the half-limit step its running sum has reached: two neighbouring steps never share a shard, and a
     # shard's rows sum to at most a step plus one row of at most a step; larger rows stand alone.
     step = max(1, limit // 2)
     small = dealt.filter(F.col("bytes") <= step).withColumn("at", F.floor((F.sum("bytes").over(w) - F.col("bytes")) / step))
     alone = dealt.filter(F.col("bytes") > step).withColumn("at", F.lit(None).cast("long"))
-    name = F.when(F.col("at").isNull(), -1 - F.col("row")).otherwise(1 + F.col("slot") + F.col("at") * parts)
-    return small.unionByName(alone).select("k", "bytes", "h", F.lit(HASH_BITS).alias("depth"), name.cast("long").alias("overflow"))
+    name = F.when(F.col("at").isNull(), -1 - F.col("row")).otherwise(1 + F.col("slot") + F.col("at") * F.col("slots"))
+    return small.unionByName(alone).select(*columns, F.lit(HASH_BITS).alias("depth"), name.cast("long").alias("overflow"))
 
 
-def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """The rows under one folder a shard, for trainers that read whole shards."""
-    shard = free_name(docs, "shard")
-    marks = assign(docs, limit, key, text).select(F.col(key).alias("_key"), F.concat_ws("-", F.conv("prefix", 10, 2), "depth", "overflow").alias(shard)).groupBy("_key").agg(F.min(shard).alias(shard))
-    docs.join(marks, docs[key].eqNullSafe(F.col("_key")), "left").drop("_key").repartition(shard).write.partitionBy(shard).parquet(path)
+def write_shards(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text", grain: int = GRAIN) -> None:
+    """The rows under one folder a shard, for trainers that read whole shards; a shard's texts hold at most `limit` bytes.
+
+    Each row goes to its own shard, also where keys are null or repeat and fill overflow shards. Null texts have 0 bytes.
+    The folders' column is named shard, with underscores added where `docs` has that name. An empty table writes no shard.
+    """
+    shard, row = free_name(docs, "shard"), free_name(docs, "_row")
+    whole = staged(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    marks = placed(staged(whole.select(F.col(row).alias("_id"), *_hashed(key, text)), "keys"), limit, grain)
+    bits = F.lpad(F.conv("prefix", 10, 2), F.greatest("depth", F.lit(1)), "0")
+    name = F.concat_ws("-", F.concat(F.lit("s"), bits), "depth", "overflow")  # the letter keeps readers from taking it for a date
+    whole.join(marks.select("_id", name.alias(shard)), F.col(row) == F.col("_id")).drop(row, "_id").repartition(shard).write.partitionBy(shard).parquet(path)

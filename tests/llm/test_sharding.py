@@ -1,6 +1,7 @@
 from collections import defaultdict
 
 from evidex.llm import sharding as S
+from pyspark.sql import functions as F
 
 
 def shards(rows):
@@ -54,3 +55,26 @@ def test_write(spark, sf, tmp_path):
     S.write_shards(docs, str(tmp_path / "out"), 50_000)
     again = spark.read.parquet(str(tmp_path / "out"))
     assert again.count() == docs.count() and again.select("shard").distinct().count() > 5
+
+
+def test_written_shards_keep_the_limit(spark, tmp_path):
+    rows = [(1, "x" * 400)] * 30 + [(None, "n" * 300)] * 12 + [(2, "y" * 5000), (3, None), (4, "é" * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS shard", "2 AS _row", "3 AS bytes", "4 AS h")
+    S.write_shards(docs, str(tmp_path / "out"), 1000)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, got.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    for r in got.groupBy("shard_").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n"), F.count("*").alias("rows")).collect():
+        assert r.n <= 1000 or r.rows == 1, r
+    S.write_shards(docs.limit(0), str(tmp_path / "none"), 1000)
+
+
+def test_a_hot_key_takes_slots_by_its_bytes(spark):
+    docs = spark.range(2000).selectExpr("7 AS doc_id", "repeat('x', 100) AS text")
+    got = S.assign(docs, 1000).collect()
+    assert len(got) == 2000 and all(sum(r.n_bytes for r in part) <= 1000 for part in shards(got).values())
+    assert len(shards(got)) <= 2000 * 100 / 500 + 14
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "x" * 5_000_000), (2, "y")], "doc_id long, text string")
+    assert sorted(r.n_bytes for r in S.assign(docs, 1000).collect()) == [1, 5_000_000]
