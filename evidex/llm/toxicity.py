@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import free_name, staged
 
-SAMPLE, TERMS, THRESHOLD = 20_000, 20_000, 0.7
+SAMPLE, THRESHOLD = 20_000, 0.7
 #: Second-person forms of English, German, French and Spanish.
 SECOND = frozenset("you your yours yourself u ur du dich dir dein deine deiner euch euer ihr sie tu te toi ton ta tes vous votre vos usted ustedes ti tú tus vosotros".split())
 #: Look-alikes in obfuscated words.
@@ -88,8 +88,9 @@ def features(text: str, lexicon: dict[str, float]) -> list[float]:
     return [math.log1p(n), math.log1p(len(at)), len(at) / n, float(len(kinds)), math.log1p(strength), strength / n, best, begun / n, hidden / n, len(second) / n, near / max(1, len(at)), capitals, shouts / n, marks, text.count("!") / size, mixed / n, sum(map(str.isdigit, text)) / size if any(map(str.isdigit, text)) else 0.0]
 
 
-def learn_lexicon(texts: DataFrame, most: int = TERMS) -> dict[str, float]:
-    """Terms of toxic texts with a lower confidence bound of their log odds; `texts`: text, toxic. At most the `most` strongest are sent anywhere."""
+def learn_lexicon(texts: DataFrame) -> dict[str, float]:
+    """Terms of toxic texts with a lower confidence bound of their log odds; `texts`: text, toxic. What reaches the driver
+    are terms in two or more toxic texts of the bounded sample whose bound passes 0.8, every one of them."""
 
     @F.pandas_udf("array<string>")
     def found(column: pd.Series) -> pd.Series:
@@ -103,13 +104,13 @@ def learn_lexicon(texts: DataFrame, most: int = TERMS) -> dict[str, float]:
     odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
     sure = odds - 1.64 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
     strong = by_term.filter("t >= 2").select("term", sure.alias("sure")).filter("sure > 0.8")
-    return {r.term: r.sure for r in strong.orderBy(F.desc("sure"), "term").limit(most).collect()}
+    return {r.term: r.sure for r in strong.collect()}
 
 
 class Model:
     """A learned lexicon, boosted trees and an isotonic map. `score` is a column of probabilities."""
 
-    def __init__(self, lexicon: dict[str, float], trees=None, curve: tuple[list[float], list[float]] = ((), ()), prior: float = 0.0):
+    def __init__(self, lexicon: dict[str, float], trees=None, curve=None, prior: float = 0.0):
         self.lexicon, self.trees, self.curve, self.prior = lexicon, trees, curve, prior
 
     def described(self, docs: DataFrame, text: str, column: str) -> DataFrame:
@@ -120,22 +121,12 @@ class Model:
         """`docs` with the calibrated score as one more column."""
         if self.trees is None:
             return docs.withColumn(column, F.lit(float(self.prior)))
-        names = [free_name(docs, f"_tox_{k}") for k in ("array", "vector", "raw", "probability", "prediction")]
+        names = [free_name(docs, f"_tox_{k}") for k in ("array", "vector", "raw", "probability", "prediction", "margin", "calibrated")]
         out = described(docs, text, names[0], self.lexicon).withColumn(names[1], array_to_vector(names[0]))
         model = self.trees.setFeaturesCol(names[1]).setRawPredictionCol(names[2]).setProbabilityCol(names[3]).setPredictionCol(names[4])
-        out = model.transform(out)
-        return out.withColumn(column, self._calibrated(vector_to_array(names[2])[1])).select(*docs.columns, column)
-
-    def _calibrated(self, x: Column) -> Column:
-        """Linear between the isotonic fit's bounded number of steps."""
-        xs, ys = self.curve
-        if not xs:
-            return F.lit(float(self.prior))
-        steps = F.array(*(F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in zip(xs, ys)))
-        low = F.try_element_at(F.filter(steps, lambda s: s["x"] <= x), F.lit(-1))
-        high = F.get(F.filter(steps, lambda s: s["x"] > x), 0)
-        between = low["y"] + (high["y"] - low["y"]) * (x - low["x"]) / (high["x"] - low["x"])
-        return F.when(low.isNull(), F.lit(float(ys[0]))).when(high.isNull(), F.lit(float(ys[-1]))).otherwise(between)
+        out = model.transform(out).withColumn(names[5], vector_to_array(names[2])[1])
+        curve = self.curve.setFeaturesCol(names[5]).setPredictionCol(names[6])  # linear between the fit's steps, all of them
+        return curve.transform(out).withColumn(column, F.least(F.greatest(names[6], F.lit(0.0)), F.lit(1.0))).select(*docs.columns, column)
 
 
 def described(docs: DataFrame, text: str, column: str, lexicon: dict[str, float]) -> DataFrame:
@@ -150,11 +141,13 @@ def described(docs: DataFrame, text: str, column: str, lexicon: dict[str, float]
     return docs.withColumn(column, dense(F.col(text)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, rounds: int = 20, depth: int = 4, most_steps: int = 200) -> Model:
-    """A model from the labelled rows of `docs`. Rows without a label are left out; without both labels every score is
-    the prior. Of the labels at most about `sample` are used, those with the lowest hashes of their ids; only they are
-    sent to all tasks, to pick out their texts."""
-    marks = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).select(F.col(id).alias("_id"), F.col(label).cast("long").alias("toxic"), F.xxhash64(F.col(id).cast("string")).alias("h"))
+def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, rounds: int = 20, depth: int = 4) -> Model:
+    """A model from the labelled rows of `docs`. Rows without a label or an id are left out; an id labelled more than once
+    counts once, and as toxic if any of its labels says so; rows of `docs` with the same id each count. Without both
+    labels every score is the prior. Of the labelled ids about `sample` at most are used, those with the lowest hashes;
+    only they are sent to all tasks, to pick out their texts."""
+    given = labels.filter(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(F.col(id).alias("_id")).agg(F.max((F.col(label) > 0).cast("long")).alias("toxic"))
+    marks = staged(given.withColumn("h", F.xxhash64(F.col("_id").cast("string"))), "labels")
     total = marks.count()
     if total > sample:
         marks = marks.filter(F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20) < sample / total)
@@ -173,15 +166,12 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
         return Model(both, prior=prior)
     trees = GBTClassifier(featuresCol="x", labelCol="toxic", maxIter=rounds, maxDepth=depth, maxBins=32, stepSize=0.2, minInstancesPerNode=3, seed=7).fit(table.filter("third <> 0"))
     raw = trees.transform(table.filter("third = 0")).select("toxic", vector_to_array("rawPrediction")[1].alias("raw"))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="toxic").fit(raw.coalesce(1))
-    xs, ys = [float(v) for v in curve.boundaries.toArray()], [float(v) for v in curve.predictions.toArray()]
-    if len(xs) > most_steps:  # evenly chosen of more
-        pick = sorted({round(i * (len(xs) - 1) / (most_steps - 1)) for i in range(most_steps)})
-        xs, ys = [xs[i] for i in pick], [ys[i] for i in pick]
-    return Model(both, trees, (xs, ys), prior)
+    curve = IsotonicRegression(featuresCol="raw", labelCol="toxic").fit(raw)
+    return Model(both, trees, curve, prior)
 
 
 def not_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that score below `threshold`, columns as they are."""
+    """The rows that score below `threshold`, columns as they are. A null text is scored as an empty one; repeated rows are
+    judged alike; an empty table gives an empty result."""
     score = free_name(docs, "_score")
     return model.scored(docs, text, score).filter(F.col(score) < threshold).select(*docs.columns)

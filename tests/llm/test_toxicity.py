@@ -40,3 +40,20 @@ def test_repeated_rows_keep_their_score(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
     scored = T.fit(docs, labels).scored(docs, "text", "p").collect()
     assert len(scored) == 303 and all((r.p >= 0.7) == (r.doc_id % 3 == 0) for r in scored)
+
+
+def test_repeated_labels_count_once_and_scores_follow_the_whole_curve(spark):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(80)] + ["vile", "awful"]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=25) + ["vile"] * rng.randrange(1 + 2 * (i % 2)))) for i in range(400)], "doc_id long, text string")
+    given = [(i, i % 2) for i in range(400)]
+    once, twice = (T.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (given, given * 3 + [(1, 0), (3, 0)]))
+    a, b = ({r.doc_id: r.p for r in m.scored(docs, "text", "p").collect()} for m in (once, twice))
+    assert a == b and len(set(a.values())) > 2
+    x = once.trees.setFeaturesCol("v").transform(once.described(docs, "text", "x").withColumn("v", array_to_vector("x")))
+    margins = {r.doc_id: r.m for r in x.select("doc_id", vector_to_array(once.trees.getRawPredictionCol())[1].alias("m")).collect()}
+    xs, ys = once.curve.boundaries.toArray(), once.curve.predictions.toArray()
+    assert all(abs(a[i] - np.interp(m, xs, ys)) < 1e-9 for i, m in margins.items())
