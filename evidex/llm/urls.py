@@ -2,9 +2,12 @@
 
 Rules name a domain and a path beginning; the longest that fits decides. Urls without a rule are judged by their words:
 names run together in the host are split by unigram Viterbi, with word frequencies counted over the pages' own texts,
-and multinomial naive Bayes scores the words of host and path. Its training labels are weak: a url whose words hold one
-of a few given terms counts as blocked, any other as allowed, and the model carries this over to the words that go with
-them.
+and multinomial naive Bayes scores the words of host and path.
+
+It learns from the rules' verdicts: a url with a rule counts as that rule says. What the rules themselves name, the labels
+of their domains and the words of their paths, is no feature, so that the model tells what goes with blocked urls and not
+the rule again. Urls without a rule count as allowed, but for those whose words hold one of a few given seeds, a second
+and weaker source of labels for what no rule names.
 
 Names are segmented once per distinct host, each with just the frequencies of its own substrings: a join of distinct
 substrings with word counts. Class counts are sums per word; words of hot hosts are summed before any shuffle.
@@ -13,6 +16,7 @@ substrings with word counts. Class counts are sums per word; words of hot hosts
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,8 +27,8 @@ from .common import staged
 
 #: Rules in order of their contract: (verdict, domain, path beginning).
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-#: Terms that mark a url as blocked in training.
-TERMS = ("adult", "ads", "bets", "casino", "pills", "porn", "poker", "spam", "viagra", "xxx")
+#: Seeds: words that mark a url without a rule as blocked in training.
+SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "poker", "spam", "viagra", "xxx")
 LONGEST, SMOOTH, LEAST_COUNT = 20, 1.0, 2
 
 
@@ -45,6 +49,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
+def named_by(rules=RULES) -> list[str]:
+    """The words that rules name: labels of their domains and words of their paths."""
+    return sorted({w for _, domain, path in rules for w in re.findall(r"[^\W_]+", f"{domain} {path}".lower())})
+
+
 def split_name(name: str, counts: dict[str, int], total: int, longest: int = LONGEST) -> list[str]:
     """The likeliest words that make up a name, by unigram Viterbi; an unknown run is as unlikely as it is long."""
     best: list[tuple[float, int]] = [(0.0, 0)]
@@ -72,7 +81,7 @@ def word_counts(pages: DataFrame, body: str = "html") -> DataFrame:
 
 
 def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
-    """(host, words) for distinct hosts: labels and dashes divide first, then Viterbi."""
+    """(host, words) for distinct hosts: labels and dashes divide first, then Viterbi. `counts` is read twice."""
     names = F.array_distinct(F.filter(F.split("host", r"[^a-z]+"), lambda x: F.length(x) > 1))
 
     def pieces(x: Column) -> Column:
@@ -86,8 +95,6 @@ def segmented(hosts: DataFrame, counts: DataFrame) -> DataFrame:
     size = int(total.first().total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import re
-
         for batch in batches:
             words = []
             for host, known in zip(batch.column("host").to_pylist(), batch.column("known").to_pylist()):
@@ -104,31 +111,36 @@ def path_words(path: Column) -> Column:
     return F.transform(words, lambda x: F.when(x.rlike("^[0-9]+$"), F.concat(F.lit("#"), F.length(x).cast("string"))).otherwise(x))
 
 
-def judged(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "html", rules=RULES, terms=TERMS) -> DataFrame:
-    """(id, host, path, rule, verdict, words, log_odds) per page.
+def judged(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "html", rules=RULES, seeds=SEEDS) -> DataFrame:
+    """(id, host, path, rule, verdict, words, log_odds) per page; log_odds are those of block against allow.
 
     Null urls and urls without :// have an empty host and path and no words: their odds are the prior. Even odds allow, as
-    does training in which one class is missing.
-    Repeated rows count each in training. An empty table gives an empty result.
+    does training in which one class is missing. Repeated rows count each in training. An empty table gives an empty
+    result.
     """
     host, path = parts(url)
     rows = pages.select(F.col(id).alias("id"), host.alias("host"), path.alias("path"))
-    hosts = staged(segmented(rows.select("host").distinct(), word_counts(pages, body)), "hosts")
-    # Urls alike in host and path words are judged together: one row per kind, with its number of pages.
+    fit = rule_of(F.col("host"), F.col("path"), rules)
+    hosts = staged(segmented(rows.select("host").distinct(), staged(word_counts(pages, body), "counts")), "hosts")
+    # Urls alike in host, path words and rule verdict are counted together: one row per kind, with its number of pages.
     shape = path_words(F.col("path"))
-    kinds = rows.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n")).join(hosts, "host").select("host", "shape", "n", F.concat("words", "shape").alias("words"))
-    kinds = staged(kinds.withColumn("bad", F.arrays_overlap("words", F.array(*map(F.lit, terms))) & (F.size("words") > 0)), "kinds")
-    sums = kinds.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("bad"), 0).otherwise(F.col("n"))).alias("a"))
-    sums = staged(sums, "words")
+    kinds = rows.groupBy("host", shape.alias("shape"), fit["verdict"].alias("given")).agg(F.count("*").alias("n")).join(hosts, "host")
+    named = F.array(*map(F.lit, named_by(rules))).cast("array<string>")
+    words = F.filter(F.concat("words", "shape"), lambda w: ~F.array_contains(named, w))
+    kinds = kinds.select("host", "shape", "n", "given", words.alias("words"))
+    bad = F.when(F.col("given").isNotNull(), F.col("given") == "block").otherwise(F.arrays_overlap("words", F.array(*map(F.lit, seeds)).cast("array<string>")) & (F.size("words") > 0))
+    kinds = staged(kinds.withColumn("bad", bad), "kinds")
+    each = F.when(F.col("bad"), F.col("n")).otherwise(0), F.when(F.col("bad"), 0).otherwise(F.col("n"))
+    sums = staged(kinds.select("n", "bad", F.explode("words").alias("word")).groupBy("word").agg(F.sum(each[0]).alias("b"), F.sum(each[1]).alias("a")), "words")
     t = sums.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("a"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"), F.count("*").alias("v")).first()
-    pages_of = kinds.agg(F.coalesce(F.sum(F.when(~F.col("bad"), F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("bad"), F.col("n"))), F.lit(0)).alias("b")).first()
+    pages_of = kinds.agg(F.coalesce(F.sum(each[1]), F.lit(0)).alias("a"), F.coalesce(F.sum(each[0]), F.lit(0)).alias("b")).first()
     both = bool(pages_of.a and pages_of.b)
     prior = math.log(pages_of.b / pages_of.a) if both else 0.0
     weight = F.lit(0.0) if not both else F.log((F.col("b") + SMOOTH) / (t.b + SMOOTH * max(t.v, 1))) - F.log((F.col("a") + SMOOTH) / (t.a + SMOOTH * max(t.v, 1)))
-    each = kinds.select("host", "shape", F.posexplode("words").alias("at", "word")).join(sums.select("word", weight.alias("w")), "word")
-    odds = each.groupBy("host", "shape").agg(F.sum(F.col("w").cast("decimal(30,12)")).cast("double").alias("log_odds"))  # decimal: the sum's order doesn't matter
-    known = staged(kinds.select("host", "shape", "words").join(odds, ["host", "shape"], "left").select("host", "shape", "words", (F.coalesce("log_odds", F.lit(0.0)) + prior).alias("log_odds")), "odds")
-    fit = rule_of(F.col("host"), F.col("path"), rules)
+    alike = kinds.groupBy("host", "shape").agg(F.first("words").alias("words"))  # the words follow from host and shape
+    odds = alike.select("host", "shape", F.posexplode("words").alias("at", "word")).join(sums.select("word", weight.alias("w")), "word")
+    odds = odds.groupBy("host", "shape").agg(F.sum(F.col("w").cast("decimal(30,12)")).cast("double").alias("log_odds"))  # decimal: the sum's order doesn't matter
+    known = staged(alike.join(odds, ["host", "shape"], "left").select("host", "shape", "words", (F.coalesce("log_odds", F.lit(0.0)) + prior).alias("log_odds")), "odds")
     out = rows.withColumn("shape", shape).join(known, ["host", "shape"]).withColumn("fit", fit)
     verdict = F.coalesce("fit.verdict", F.when(F.col("log_odds") > 0, F.lit("block")).otherwise(F.lit("allow")))
     return out.select(F.col("id").alias(id), "host", "path", F.col("fit.rule").alias("rule"), verdict.alias("verdict"), "words", "log_odds")

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 from evidex.llm import urls as U
 
@@ -55,10 +56,40 @@ def test_segments_and_scores(spark):
     assert [verdicts[h] for h in hosts] == ["block"] * 4 + ["allow"] * 4
 
 
-def test_given_hosts(spark):
-    bad = {"adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"}
-    for r in U.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).filter("rule IS NULL").collect():
-        assert (r.verdict == "block") == any(f"{b}." in r.host for b in bad), r
+def slow_odds(rows, seeds=U.SEEDS):
+    """Log odds per page by multinomial naive Bayes over the query's own words."""
+    named = set(U.named_by())
+    a, b, pages = Counter(), Counter(), [0, 0]
+    for r in rows:
+        assert not named & set(r.words)
+        _, given = slow_rule(r.host, r.path)
+        bad = given == "block" if given else bool(set(r.words) & set(seeds))
+        pages[bad] += 1
+        (b if bad else a).update(r.words)
+    v = len({*a, *b})
+    score = lambda w: math.log((b[w] + 1) / (b.total() + v)) - math.log((a[w] + 1) / (a.total() + v))
+    return [math.log(pages[1] / pages[0]) + sum(map(score, r.words)) for r in rows]
+
+
+def test_given_pages_against_plain_naive_bayes(spark):
+    rows = U.judged(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()
+    for r, odds in zip(rows, slow_odds(rows)):
+        assert math.isclose(r.log_odds, odds, rel_tol=1e-6, abs_tol=1e-6), r
+        rule, verdict = slow_rule(r.host, r.path)
+        assert (r.rule, r.verdict) == (rule, verdict or ("block" if odds > 0 else "allow"))
+
+
+def test_learns_from_the_rules_verdicts(spark):
+    """Words that go with blocked urls block urls without a rule; no seed is involved."""
+    rows = [(i, f"http://{h}.example.net/{p}", "<p>lantern market harbor river</p>") for i, (h, p) in enumerate([*[("lanternmarket", "de/8/x")] * 20, *[("harborriver", "en/1/y")] * 30, ("lanternmarket", "fr/2/x"), ("harborriver", "fr/2/y")])]
+    got = {r.page_id: r for r in U.judged(spark.createDataFrame(rows * 2, "page_id long, url string, html string")).collect()}
+    assert [got[i].rule for i in (0, 50, 51)] == ["example.net/de/8", None, None]
+    assert [got[i].verdict for i in (0, 20, 50, 51)] == ["block", "allow", "block", "allow"]
+
+
+def test_very_long_url(spark):
+    pages = spark.createDataFrame([(1, "http://" + "ab" * 3000 + ".org/es/" + "word/" * 50_000, None), (2, None, "x" * 2_000_000)], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.verdict, len(r.path)) for r in U.judged(pages).collect()) == [(1, "block", 250_004), (2, "allow", 0)]
 
 
 def test_empty(spark):
