@@ -1,13 +1,17 @@
-"""Main text of web pages: page structure first, then a suffix array over each host's token streams.
+"""Main text of web pages: a suffix array over each host's token streams, with page structure as evidence.
 
-A page is cut into blocks. What its own markup decides is decided there: blocks inside <article> or <main> are the
-article; menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments are not. Pages that
-mark no article are decided by their host: the token streams of its pages are concatenated, a suffix array finds the
-long substrings that repeat across distinct pages, blocks covered by them are boilerplate, and unique runs stay.
+A page is cut into blocks, each with a place that its markup gives: in a menu, header, footer, sidebar, notice, advert,
+form or comment (aside); inside <article> or <main> (main); or neither (open). Then all pages of a host are judged
+together: their token streams are concatenated, a suffix array finds the substrings of `window` tokens or more that
+repeat across distinct pages, and what they cover is boilerplate. It is cut out of its block, and the block's unique runs
+stay. A page's text is what is left of its main blocks, or of its open ones where it marks no article.
+
+A repeat is boilerplate in an open block if a small share of the host's pages has it, in an article only if most have it,
+since articles may quote each other. Copies of one page count once: pages whose windows have the same least hash.
 
 A host may hold a third of all pages, so its pages are dealt to shards of bounded bytes, each with its own suffix array.
-Shards exchange, per repeated or single window of `window` tokens, the number of distinct pages; as shards divide the
-pages, these add up, so repeats between shards count as well. No task sees more than a shard.
+A window on a share of all the host's pages is on at least that share of some shard's pages; such windows are nominated,
+and all shards then count the nominees, so the totals are those of the whole host. No task sees more than a shard.
 """
 
 from __future__ import annotations
@@ -16,14 +20,18 @@ import html as html_lib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import slices, staged
 
-WINDOW_TOKENS, MIN_PAGES, SHARD_BYTES = 6, 3, 4 << 20
+WINDOW_TOKENS, SHARD_BYTES, PACK_BYTES = 6, 8 << 20, 256 << 10
+#: Boilerplate by place: on at least so many pages of its host, and on at least that share of them.
+LEAST = {"open": (3, 0.01), "main": (8, 0.5)}
+#: Tables of up to so many hosts are sent to all tasks; more are joined by a shuffle.
+BROADCAST_HOSTS = 20_000
 #: Element names by their role in HTML.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +41,7 @@ DROP = frozenset("nav footer aside form button select svg canvas object audio vi
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar toolbar header footer contentinfo sidebar complementary widget widgets cookie cookies consent gdpr notice notices alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social search pagination pager paywall skip".split())
 COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond discussion related recommended teaser".split())
 WHOLE = frozenset("html body main".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT = re.compile(r"[^a-z0-9]+")
 CLOSES_P = BLOCK - {"body", "html", "head", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend", "optgroup", "option", "summary"}
@@ -61,57 +69,58 @@ def _reason(tag: str, attributes: str, in_main: bool) -> str:
     return "aside" if words & ASIDE_WORDS and tag != "article" else ""
 
 
-def blocks(page: str) -> list[tuple[str, str, float]]:
-    """(text, place, share of its characters in links) in page order; place is main, open or aside."""
-    out: list[tuple[str, str, float]] = []
+def blocks(page: str) -> list[tuple[str, str]]:
+    """(text, place) in page order; place is main, open or aside. Time in proportion to the page, whatever it holds."""
+    out: list[tuple[str, str]] = []
     text: list[str] = []
-    linked = total = 0
     stack: list[tuple[str, str, bool]] = [("", "", False)]  # element, why it is dropped, inside article or main
-    links = 0
+    where: dict[str, list[int]] = {}  # the places in the stack of each element's name
 
     def end() -> None:
-        nonlocal linked, total
         if text:
             words = " ".join("".join(text).split())
             if words:
                 _, why, main = stack[-1]
-                out.append((words, "aside" if why else "main" if main else "open", linked / max(1, total)))
+                out.append((words, "aside" if why else "main" if main else "open"))
             text.clear()
-            linked = total = 0
 
     def say(piece: str) -> None:
-        nonlocal linked, total
-        if piece and stack[-1][1] != "tag":
-            piece = html_lib.unescape(piece) if "&" in piece else piece
-            text.append(piece)
-            total += len(piece)
-            linked += len(piece) if links else 0
-        elif piece and not piece.isspace():  # dropped by its element: told apart, as evidence of what repeats
-            text.append(html_lib.unescape(piece))
-            total += len(piece)
+        if piece:
+            text.append(html_lib.unescape(piece) if "&" in piece else piece)
 
     def pop(names: set[str], stop: frozenset[str] | set[str]) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                for name, *_ in stack[k:]:
-                    links -= name == "a"
-                del stack[k:]
-                return
-            if stack[k][0] in stop:
-                return
-
-    at, size = 0, len(page)
+        """Ends the innermost open element of these names, and all inside it, unless one of `stop` is further in."""
+        at = max((where[n][-1] for n in names if where.get(n)), default=0)
+        if at and at > max((where[n][-1] for n in stop - names if where.get(n)), default=0):
+            for name, *_ in stack[at:]:
+                where[name].pop()
+            del stack[at:]
+
+    at, size, last = 0, len(page), page.rfind(">")
     while at < size:
-        m = TAG.search(page, at)
-        if not m:
+        begin = page.find("<", at)
+        if begin < 0:
             say(page[at:])
             break
-        say(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        say(page[at:begin])
+        mark = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            close = page.find("-->", begin + 4)
+            at = close + 3 if close >= 0 else size
+            continue
+        if begin > last:  # no tag ends any more
+            say(page[begin:])
+            break
+        if mark in ("!", "?"):
+            at = page.find(">", begin) + 1
+            continue
+        m = TAG.match(page, begin)
+        if not m:
+            say("<")
+            at = begin + 1
             continue
+        at = m.end()
+        tag = (m[2] or m[5]).lower()
         if m[1] or m[4]:
             if tag in BLOCK:
                 end()
@@ -140,8 +149,8 @@ def blocks(page: str) -> list[tuple[str, str, float]]:
             why, main = (why if why == "comment" else ""), True
             own = ""
         if not attributes.endswith("/"):
+            where.setdefault(tag, []).append(len(stack))
             stack.append((tag, why or own, main and not (why or own)))
-            links += tag == "a"
     end()
     return out
 
@@ -151,30 +160,59 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _parse(pages: DataFrame, id: str, url: str, body: str) -> DataFrame:
-    """(id, url, row, host, text, loose): the article's text where the page marks one, else null; loose: other blocks."""
-    kind = pages.schema[id].dataType.simpleString()
-    loose = pa.list_(pa.struct([("text", pa.string()), ("open", pa.bool_())]))
+PLACES = ("aside", "open", "main")
+
+
+def _packs(pages: DataFrame, id: str, url: str, body: str) -> DataFrame:
+    """(host, pack, pages, bytes, data): pages as packs of one host each; data holds their ids, urls, and blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, held, total = TaskContext.get().partitionId() << 32, {}, 0
+
+        def packed(host: str) -> tuple:
+            nonlocal number, total
+            ids, urls, texts, places, size = held.pop(host)
+            total -= size
+            number += 1
+            rows = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int8()))], ["id", "url", "texts", "places"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(rows)
+            return host, number, len(ids), size, sink.getvalue().to_pybytes()
+
+        def emitted(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["host", "pack", "pages", "bytes", "data"])
+
+        id_type = None
         for batch in batches:
+            id_type = batch.schema.field("id").type
             for part in slices(batch, "_body"):
-                texts, rest = [], []
-                for page in part.column("_body").to_pylist():
-                    found = blocks(page or "")
-                    main = [t for t, place, _ in found if place == "main"]
-                    texts.append("\n".join(main) if main or not any(place == "open" for _, place, _ in found) else None)
-                    rest.append([{"text": t, "open": place == "open" and link < 0.6} for t, place, link in found if place != "main"])
-                urls = part.column("url")
-                yield pa.RecordBatch.from_arrays([part.column("id"), urls, part.column("row"), pa.array([host_of(u) for u in urls.to_pylist()]), pa.array(texts, pa.string()), pa.array(rest, loose)], ["id", "url", "row", "host", "text", "loose"])
-
-    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.monotonically_increasing_id().alias("row"), F.col(body).alias("_body"))
-    return rows.mapInArrow(run, f"id {kind}, url string, row long, host string, text string, loose array<struct<text:string,open:boolean>>")
+                for i, u, page in zip(*(part.column(c).to_pylist() for c in ("id", "url", "_body"))):
+                    found, host = blocks(page or ""), host_of(u)
+                    size = 64 + sum(len(t) for t, _ in found)
+                    mine = held.setdefault(host, [[], [], [], [], 0])
+                    for column, value in zip(mine, (i, u, [t for t, _ in found], [PLACES.index(p) for _, p in found])):
+                        column.append(value)
+                    mine[4] += size
+                    total += size
+                    if mine[4] >= PACK_BYTES:
+                        yield emitted([packed(host)])
+                if total >= 32 * PACK_BYTES:
+                    yield emitted([packed(h) for h in [*held]])
+        for at in range(0, len(hosts := [*held]), 64):
+            yield emitted([packed(h) for h in hosts[at : at + 64]])
+
+    rows = pages.select(F.col(id).alias("id"), F.col(url).alias("url"), F.col(body).alias("_body"))
+    return rows.mapInArrow(run, "host string, pack long, pages long, bytes long, data binary")
 
 
 def suffix_array(tokens, depth: int):
     """(order, same): suffixes sorted by their first `depth` or more tokens, by prefix doubling; same[i]: suffix order[i]
-    shares them with order[i - 1]. Tokens are numbers; each negative one occurs once and so ends every match."""
+    shares them with order[i - 1], that is, their longest common prefix reaches `depth`. Tokens are numbers; each negative
+    one occurs once and so ends every match. Any longer repeat is covered by repeats of `depth` tokens in the same pages,
+    so nothing needs to be sorted further."""
     import numpy as np
 
     n = len(tokens)
@@ -190,97 +228,150 @@ def suffix_array(tokens, depth: int):
     return order, np.r_[False, rank[order][1:] == rank[order][:-1]] if n else np.zeros(0, bool)
 
 
-def _stream(pages: list[list[str]], window: int):
-    """The shard's tokens with separators, each token's page and block, and which positions begin a whole window."""
-    import numpy as np
-    import xxhash
-
-    ids: dict[str, int] = {}
-    tokens, page, block, n = [], [], [], 0
-    for k, texts in enumerate(pages):
-        for b, text in enumerate(texts):
-            words = text.lower().split()
-            tokens.extend(ids.setdefault(w, len(ids)) for w in words)
-            tokens.append(-1 - n)
-            n += 1
-            page.extend([k] * (len(words) + 1))
-            block.extend([b] * (len(words) + 1))
-    tokens, page, block = (np.array(x, np.int64) for x in (tokens, page, block))
-    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in ids], np.uint64)
-    ends = np.flatnonzero(tokens < 0)
-    left = ends[np.searchsorted(ends, np.arange(len(tokens)))] - np.arange(len(tokens)) if len(tokens) else tokens
-    # A block shorter than the window is a window of its own, told apart by its length.
-    first = np.r_[True, tokens[:-1] < 0] if len(tokens) else np.zeros(0, bool)
-    starts = (left >= window) | (first & (left > 0))
-    size = np.minimum(left, window)
-    names = np.zeros(len(tokens), np.uint64)
-    for i in range(window):
-        at = np.minimum(np.arange(len(tokens)) + i, max(0, len(tokens) - 1))
-        word = hashes[np.maximum(tokens[at], 0)] if len(hashes) else np.zeros(len(tokens), np.uint64)
-        names = np.where(size > i, (names ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1), names)
-    return tokens, page, block, starts, size, names.view(np.int64)
-
-
-def _decide(texts: list[str], is_open: list[bool], covered: list[float]) -> str:
-    """The open blocks that repeats cover by less than half; all of them where that leaves under a fifth (a copied page)."""
-    keep = [t for t, o, c in zip(texts, is_open, covered) if o and c < 0.5]
-    whole = [t for t, o in zip(texts, is_open) if o]
-    return "\n".join(keep if sum(map(len, keep)) >= 0.2 * sum(map(len, whole)) else whole)
-
-
-def _by_host(parsed: DataFrame, window: int, min_pages: int, shard_bytes: int) -> DataFrame:
-    """(row, text) of the pages whose markup names no article; the host's other pages lend evidence."""
-    hosts = staged(parsed.filter("text IS NULL").select("host").distinct(), "hosts")  # with its size known, a small one needs no shuffle of pages
-    rows = parsed.join(hosts, "host", "left_semi").select("host", "row", F.col("text").isNull().alias("undecided"), F.col("loose.text").alias("texts"), F.col("loose.open").alias("is_open"))
-    size = F.aggregate("texts", F.lit(0), lambda a, x: a + F.length(x))
-    shards = rows.groupBy("host").agg(F.ceil(F.sum(size) / shard_bytes).alias("n"))
-    rows = staged(rows.join(shards, "host").withColumn("shard", F.pmod(F.xxhash64("row"), F.greatest("n", F.lit(1)))).drop("n"), "streams")
-
-    def windows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+class Shard:
+    """Pages of one host as one token stream, blocks apart. `starts` marks where windows begin, `size` is their length and
+    `names` their hash; a block shorter than the window is a window of its own. `page` and `block` tell where tokens lie."""
+
+    def __init__(self, data: list[bytes], window: int):
+        import numpy as np
+        import xxhash
+
+        self.rows = pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in data])
+        self.texts, self.places = self.rows.column("texts").to_pylist(), self.rows.column("places").to_pylist()
+        ids: dict[bytes, int] = {}
+        tokens, sizes = [], []
+        for texts in self.texts:
+            for text in texts:
+                words = text.lower().split()
+                tokens.extend([ids.setdefault(w, len(ids)) for w in words])
+                tokens.append(-1 - len(sizes))
+                sizes.append(len(words) + 1)
+        self.tokens, sizes = np.array(tokens, np.int64), np.array(sizes, np.int64)
+        n, self.window = len(self.tokens), window
+        self.begin = np.r_[0, np.cumsum(sizes)].astype(np.int64)
+        self.block = np.repeat(np.arange(len(sizes)), sizes)
+        self.place = np.repeat(np.array([p for ps in self.places for p in ps], np.int8), sizes)
+        self.page = np.repeat(np.repeat(np.arange(len(self.texts)), [len(t) for t in self.texts]), sizes)
+        left = self.begin[self.block + 1] - 1 - np.arange(n)
+        first = self.begin[self.block] == np.arange(n)
+        self.starts = (left >= window) | (first & (left > 0))
+        self.size = np.minimum(left, window)
+        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in ids] or [0], np.uint64)
+        names = np.zeros(n, np.uint64)
+        for i in range(window):
+            word = hashes[np.maximum(self.tokens[np.minimum(np.arange(n) + i, max(0, n - 1))], 0)]
+            names = np.where(self.size > i, (names ^ word) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i + 1), names)
+        self.names = names.view(np.int64)
+        # Copies of a page share the least hash of their windows, asides left out, and count as one page.
+        self.copy = np.arange(len(self.texts)) - len(self.texts)
+        mine = np.flatnonzero(self.starts & (self.place > 0))
+        if len(mine):
+            lead = np.flatnonzero(np.r_[True, np.diff(self.page[mine]) != 0])
+            self.copy[self.page[mine][lead]] = np.minimum.reduceat(names[mine], lead).view(np.int64)
+
+    def _counted(self, keys, at):
+        """(distinct keys, distinct pages of each) of windows at `at`."""
+        import numpy as np
+
+        copies = np.unique(self.copy, return_inverse=True)[1]
+        order = np.lexsort((copies[self.page[at]], keys))
+        k, c = keys[order], copies[self.page[at]][order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])] if len(k) else np.zeros(0, bool)
+        return np.unique(k[new], return_counts=True)
+
+    def repeats(self, least: float):
+        """(names, distinct pages) of the windows on at least `least` pages, from the suffix array."""
         import numpy as np
 
-        tokens, page, _, starts, size, names = _stream(pdf["texts"].tolist(), window)
-        order, same = suffix_array(tokens, window)
-        picked = starts[order]  # neighbours in the suffix array that share a window are a group
-        group = np.cumsum(~same)[picked]
-        pairs = np.unique(np.c_[group, page[order][picked]], axis=0) if picked.any() else np.zeros((0, 2), np.int64)
-        ids, counts = np.unique(pairs[:, 0], return_counts=True)
-        where = np.unique(group, return_index=True)[1]
-        return pd.DataFrame({"host": key[0], "shard": key[1], "name": names[order][picked][where], "pages": counts}).astype({"pages": "int64", "name": "int64"}) if len(ids) else pd.DataFrame({"host": [], "shard": [], "name": [], "pages": []})
+        order, same = suffix_array(self.tokens, self.window)
+        picked = self.starts[order] & (self.size[order] == self.window)
+        at, group = order[picked], np.cumsum(~same)[picked]  # neighbours that share a window are a group
+        _, count = self._counted(group, at)
+        names = self.names[at[np.unique(group, return_index=True)[1]]]
+        short, more = self._counted(self.names[whole], whole) if len(whole := np.flatnonzero(self.starts & (self.size < self.window))) else (names[:0], count[:0])
+        names, count = np.r_[names, short], np.r_[count, more]
+        return names[count >= least], count[count >= least]
+
+    def counts(self, names):
+        """(names, distinct pages) of given windows."""
+        import numpy as np
 
-    found = rows.groupBy("host", "shard").applyInPandas(windows, "host string, shard long, name long, pages long")
-    total = F.sum("pages").over(Window.partitionBy("host", "name"))
-    often = found.withColumn("total", total).filter(F.col("total") >= min_pages).select("host", "shard", "name")
+        at = np.flatnonzero(self.starts & np.isin(self.names, names))
+        return self._counted(self.names[at], at)
 
-    def cover(key, pdf: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+    def kept(self, names, totals, pages: int, least: dict) -> pa.Table:
+        """(id, url, text) per page, without what repeats on enough of the host's `pages` cover."""
         import numpy as np
 
-        tokens, page, block, starts, size, own = _stream(pdf["texts"].tolist(), window)
-        hit = np.flatnonzero(starts & np.isin(own, names["name"].to_numpy(np.int64)))
-        step = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + size[hit], -1)
-        covered = np.cumsum(step)[:-1] > 0
-        out = []
-        for k, (texts, is_open, undecided) in enumerate(zip(pdf["texts"], pdf["is_open"], pdf["undecided"])):
-            if undecided:
-                lo, hi = np.searchsorted(page, [k, k + 1])
-                words = tokens[lo:hi] >= 0
-                n = np.bincount(block[lo:hi][words], minlength=len(texts))
-                c = np.bincount(block[lo:hi][words], covered[lo:hi][words], minlength=len(texts))
-                out.append((pdf["row"].iloc[k], _decide(list(texts), list(is_open), list(c / np.maximum(n, 1)))))
-        return pd.DataFrame(out, columns=["row", "text"])
-
-    return rows.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInPandas(cover, "row long, text string")
-
-
-def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "html", window: int = WINDOW_TOKENS, min_pages: int = MIN_PAGES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+        cut = np.zeros(len(self.tokens), bool)
+        for place, (fewest, share) in least.items():
+            hit = np.flatnonzero(self.starts & (self.place == PLACES.index(place)) & np.isin(self.names, names[totals >= max(fewest, share * pages)]))
+            step = np.zeros(len(self.tokens) + 1, np.int64)
+            np.add.at(step, hit, 1)
+            np.add.at(step, hit + self.size[hit], -1)
+            cut |= np.cumsum(step)[:-1] > 0
+        touched = {int(b) for b in np.unique(self.block[cut])}
+        out, b = [], 0
+        for texts, places in zip(self.texts, self.places):
+            wanted = max(places, default=0)
+            lines = []
+            for text, place in zip(texts, places):
+                if place and place == wanted:
+                    if b in touched:
+                        gone = cut[self.begin[b] : self.begin[b + 1] - 1]
+                        text = " ".join([w for w, g in zip(text.split(), gone) if not g])
+                    if text:
+                        lines.append(text)
+                b += 1
+            out.append("\n".join(lines))
+        return pa.table({"id": self.rows.column("id"), "url": self.rows.column("url"), "text": pa.array(out, pa.string())})
+
+
+def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", body: str = "html", window: int = WINDOW_TOKENS, least: dict = LEAST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, url, text, n_chars) per page.
 
-    Null and blank pages have an empty text. Pages without a url share the empty host. Repeated rows count as pages. A
-    block shorter than the window counts as one whole; an empty table gives an empty result.
+    Null and blank pages have an empty text. Pages without a url share the empty host. Repeated rows are copies of one
+    page. A block shorter than the window counts as one whole; an empty table gives an empty result.
     """
-    parsed = staged(_parse(pages, id, url, body), "pages")
-    decided = parsed.filter("text IS NOT NULL").select("id", "url", "text")
-    rest = parsed.filter("text IS NULL").select("id", "url", "row").join(_by_host(parsed, window, min_pages, shard_bytes), "row").select("id", "url", "text")
-    return decided.union(rest).select(F.col("id").alias(id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
+    packs = staged(_packs(pages, id, url, body), "packs")
+    hosts = staged(packs.groupBy("host").agg(F.sum("pages").alias("all_pages"), F.greatest(F.ceil(F.sum("bytes") / shard_bytes), F.lit(1)).cast("long").alias("n")), "hosts")
+    few = hosts.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
+    dealt = packs.join(F.broadcast(hosts) if few else hosts, "host").select("host", "all_pages", "n", F.pmod(F.xxhash64("pack"), F.col("n")).alias("shard"), "data")
+    kind = pages.schema[id].dataType.simpleString()
+    result = f"id {kind}, url string, text string"
+    fewest, share = least["open"]
+
+    def opened(table: pa.Table) -> tuple[Shard, int, float]:
+        """The shard, the pages of its host, and the least pages of a window in an open block."""
+        n = table.column("all_pages")[0].as_py()
+        return Shard(table.column("data").to_pylist(), window), n, max(fewest, share * n)
+
+    def alone(table: pa.Table) -> pa.Table:
+        shard, n, few_ = opened(table)
+        return shard.kept(*shard.repeats(few_), n, least)
+
+    def nominated(key: tuple, table: pa.Table) -> pa.Table:
+        shard, n, few_ = opened(table)
+        names, _ = shard.repeats(few_ * len(shard.texts) / n)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names)})
+
+    def told(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
+        names, counts = Shard(table.column("data").to_pylist(), window).counts(asked.column("name").to_numpy()) if table.num_rows and asked.num_rows else ([], [])
+        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names, pa.int64()), "pages": pa.array(counts, pa.int64())})
+
+    def cleared(table: pa.Table, often: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"id": pa.array([], id_type), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        shard, n, _ = opened(table)
+        return shard.kept(often.column("name").to_numpy(), often.column("total").to_numpy(), n, least)
+
+    id_type = to_arrow_type(pages.schema[id].dataType)
+    one, more = dealt.filter("n = 1").groupBy("host"), dealt.filter("n > 1")
+    shards = hosts.filter("n > 1").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"))
+    nominees = more.groupBy("host", "shard").applyInArrow(nominated, "host string, name long").distinct()
+    asked = staged(nominees.join(shards, "host"), "nominees")
+    counts = more.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(told, "host string, name long, pages long")
+    totals = counts.groupBy("host", "name").agg(F.sum("pages").alias("total")).join(hosts.select("host", "all_pages"), "host")
+    often = staged(totals.filter(F.col("total") >= F.greatest(F.lit(fewest), share * F.col("all_pages"))).select("host", "name", "total").join(shards, "host"), "repeats")
+    parts = one.applyInArrow(alone, result).union(more.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(cleared, result))
+    return parts.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
