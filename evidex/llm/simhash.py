@@ -12,12 +12,14 @@ each fingerprint is filed under its own 20 bits and looks into the 20 places one
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard, scratch
 from .common import free_name, raw, schema_of, slices, staged
 
 BITS, SEGMENT, THRESHOLD = 64, 4, 3
@@ -28,23 +30,27 @@ KEY_BITS = PREFIX * SEGMENT
 SPLIT_ABOVE = 4096
 
 
-def simhash(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned fingerprint of a UTF-8 text: A-Z lower-cased, words apart at ASCII white space, shingles with repeats."""
+def shingle_hashes(text: bytes, shingle: int = 3, seed: int = 42):
+    """XXH64 of a UTF-8 text's shingles, with repeats: A-Z lower-cased, words apart at ASCII white space; none without words."""
     import numpy as np
     import xxhash
 
     words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
+    n = max(min(len(words), 1), len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)] * n
+    return np.fromiter((digest(s, seed) for s in shingles), np.uint64, n)
+
+
+def simhash(hashes) -> int:
+    """The unsigned fingerprint of shingle hashes: a bit is set if it is in over half of them."""
+    import numpy as np
+
     ones = np.zeros(BITS, np.int64)
-    for at in range(0, n, 1 << 15):
+    for at in range(0, len(hashes), 1 << 15):
         part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, text: str = "text", *keep: str, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -55,7 +61,7 @@ def fingerprints(docs: DataFrame, text: str = "text", *keep: str, shingle: int =
 
         for batch in batches:
             for part in slices(batch, text):
-                fp = np.array([simhash(t, shingle, seed) for t in raw(part, text)], np.uint64).view(np.int64)
+                fp = np.array([simhash(shingle_hashes(t, shingle, seed)) for t in raw(part, text)], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(fp)], [*keep, "fp"])
 
     return docs.select(*keep, *({text} - {*keep})).mapInArrow(run, f"{schema_of(docs, *keep)}, fp long")
@@ -176,7 +182,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     mark = None
     for _ in range(most_rounds):
-        now = staged(star(star(now, True), False), "edges")
+        before, now = now, staged(star(star(now, True), False), "edges")
+        discard(before)
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen.n, seen.h) == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -201,12 +208,137 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spl
     return prints.join(of, "fp").select(id, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest id; of repeated rows of that id, one.
+#: Near duplicates by similarity: words of a shingle, least Jaccard similarity of the sets of shingles.
+WORDS, SIMILARITY = 5, 0.8
+#: Least hashes that make up one band, and the chance that a pair just similar enough shares no band.
+BAND_ROWS, MISS = 5, 5e-4
+#: Representatives of a bucket that a turn compares its members with.
+HEADS = 32
+
+
+def _bands(similarity: float) -> int:
+    return math.ceil(math.log(MISS) / math.log(1 - min(similarity, 0.999) ** BAND_ROWS))
+
+
+def _sketches(docs: DataFrame, id: str, text: str, words: int, similarity: float) -> DataFrame:
+    """(row, id, fp, digest, n, bands, shingles): a text's SimHash fingerprint, its distinct shingles' number, digest and
+    32-bit hashes, and its bands of least hashes."""
+    n_bands = _bands(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import xxhash
+
+        rng = np.random.default_rng(11)
+        masks = rng.integers(0, 1 << 63, n_bands * BAND_ROWS, np.uint64)
+        odd = rng.integers(0, 1 << 63, n_bands * BAND_ROWS, np.uint64) | np.uint64(1)
+        for batch in batches:
+            for part in slices(batch, text):
+                out = []
+                for t in raw(part, text):
+                    hashes = shingle_hashes(t, words)
+                    own = np.unique(hashes)
+                    least = np.full(n_bands * BAND_ROWS, np.uint64(0xFFFFFFFFFFFFFFFF))
+                    for at in range(0, len(own), 1 << 12):
+                        part_ = own[at : at + (1 << 12)]
+                        for k in range(len(masks)):
+                            least[k] = min(least[k], ((part_ ^ masks[k]) * odd[k]).min())
+                    keys = np.arange(n_bands, dtype=np.uint64)
+                    for column in least.reshape(n_bands, BAND_ROWS).T:
+                        keys = (keys ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                        keys ^= keys >> np.uint64(29)
+                    small = np.unique(own.astype("<u4")).tobytes()
+                    out.append((np.uint64(simhash(hashes)).view(np.int64), np.uint64(xxhash.xxh64_intdigest(own.tobytes())).view(np.int64), len(own), keys.view(np.int64) if len(own) else keys[:0].view(np.int64), small))
+                fp, digest, n, bands, small = zip(*out)
+                yield pa.RecordBatch.from_arrays([part.column("row"), part.column("id"), pa.array(fp, pa.int64()), pa.array(digest, pa.int64()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(small, pa.binary())], ["row", "id", "fp", "digest", "n", "bands", "shingles"])
+
+    kind = docs.schema[id].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id).alias("id"), F.col(text).alias(text) if text not in ("row", "id") else F.col(text).alias("_text"))
+    text = rows.columns[-1]
+    return rows.mapInArrow(run, f"row long, id {kind}, fp long, digest long, n long, bands array<long>, shingles binary")
+
+
+def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough, by an exact count. Both joins are inner, so that a set
+    with very many partners is split by adaptive execution."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                x, y = (np.frombuffer(v.as_buffer(), "<u4") for v in (x, y))
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                ok.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok, pa.bool_())) for c in ("a", "b")], ["a", "b"])
+
+    with_x = pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("x")), "a")
+    return with_x.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """(id, component_id) per row: component_id is the smallest id among the documents reachable by links. Texts are linked
+    if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or more, counted exactly.
+
+    Candidates are fingerprints within 3 bits, by pigeonring, and, since texts just similar enough lie up to a dozen bits
+    apart, texts that share one of the bands of least hashes (a pair of similarity 0.8 shares none with a chance of 5 in
+    10,000, a closer one with less). A bucket of texts that share a band never yields all its pairs: first its members are
+    compared with one representative; then, where they fall into several components, members with up to HEADS
+    representatives of other components, and so on with other representatives until a turn finds no link. So a link can
+    be lost only between two texts that no turn makes representatives of any bucket they share, and whose components no
+    other link joins. Texts with equal sets are one class throughout.
+
+    Null or wordless texts are alike. Repeated ids stay repeated; a null id takes its component's smallest id. An empty
+    table gives an empty result.
+    """
+    with scratch(docs.sparkSession) as keep:
+        made = staged(_sketches(docs, id, text, words, similarity), "sketches")
+        each = staged(made.groupBy("digest").agg(F.min("id").alias("low"), F.min("row").alias("row"), F.min("n").alias("n")), "classes")
+        by_print = staged(made.select("fp", "digest").distinct(), "prints")
+        heads = staged(by_print.groupBy("fp").agg(F.min("digest").alias("head")), "heads")
+        near = links(heads.select("fp"))
+        ends = [heads.select(F.col("fp").alias(e), F.col("head").alias(f"head_{e}")) for e in "ab"]
+        pairs = near.join(ends[0], "a").join(ends[1], "b").select(F.col("head_a").alias("a"), F.col("head_b").alias("b"))
+        pairs = pairs.union(by_print.join(heads, "fp").select(F.col("digest").alias("a"), F.col("head").alias("b")))
+        members = made.select("digest", "n", F.explode("bands").alias("key")).distinct()
+        full = staged(members.groupBy("key").count().filter("count > 1").select("key"), "buckets")
+        left = staged(members.join(full, "key"), "members")
+        of = staged(left.select("digest").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted")
+        sets = staged(made.select("row", "shingles").join(each.join(of, "digest").select("row", "digest"), "row").select("digest", "shingles"), "sets")
+        root, tried, turn = None, None, 0
+        while True:
+            now = left.withColumn("root", F.col("digest")) if root is None else left.join(root, left.digest == root.node, "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
+            mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+            now = staged(now.join(mixed, "key", "left_semi"), "mixed")
+            # Representatives by a hash that differs from turn to turn: one a bucket and group of bands at first, then HEADS.
+            order = F.xxhash64("digest", F.pmod("key", F.lit(4)), F.lit(turn))
+            slot = F.pmod(order, F.lit(HEADS)) if turn else F.lit(0)
+            heads = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), F.col("digest").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))).alias("h")).select("key", "h.head", "h.head_n", "h.head_root")
+            close = now.join(heads, "key").filter((F.col("root") != F.col("head_root")) & (F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")))
+            more = close.select(F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b"))
+            more = (more if tried is not None else more.union(pairs.select(F.least("a", "b"), F.greatest("a", "b")))).filter("a <> b").distinct()
+            more = staged(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = more if tried is None else tried.union(more)
+            good = staged(_similar_pairs(more, sets, similarity), "similar")
+            if turn and good.isEmpty():
+                break
+            root = components(good if root is None else good.union(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+            turn += 1
+        linked = each.join(root, each.digest == root.node).select("digest", "low", "root")
+        least = staged(linked.groupBy("root").agg(F.min("low").alias("component_id")), "least")
+        alone = each.join(root, each.digest == root.node, "left_anti").select("digest", F.col("low").alias("component_id"))
+        of = linked.join(least, "root").select("digest", "component_id").union(alone)
+        return keep(staged(made.select("id", "digest").join(of, "digest").select(F.col("id").alias(id), "component_id"), "groups"))
+
+
+def keep_first(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near duplicates (see `similar`): the one with the smallest id; of repeated rows of that id,
+    one.
 
     The texts are shuffled once, to meet the decisions by id; the hint keeps that so at every size.
     """
-    marks = staged(near_duplicates(docs, id, text), "marks")
+    marks = similar(docs, id, text, words, similarity)
     kept = staged(marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).groupBy(F.col(id).alias("_kept")).agg(F.count("*").alias("_n")), "kept")
     left = docs.join(kept.select("_kept").hint("merge"), docs[id].eqNullSafe(F.col("_kept")), "left_semi")
     twice = kept.filter("_n > 1").select("_kept")

@@ -5,7 +5,7 @@ from evidex.llm import queries
 from tokenizers import Tokenizer
 
 from .test_decontaminate import tokens
-from .test_simhash import slow_components, slow_print
+from .test_simhash import slow_similar
 
 
 def leaks(bench):
@@ -40,7 +40,7 @@ def test_stages(spark):
     kept = {r.doc_id for r in queries.quality.judged(docs.filter(docs.doc_id.isin(list(after["toxicity"])))).filter("kept").collect()}
     assert set(after["quality"]) == kept
     order = sorted(after["quality"])
-    root = slow_components([slow_print(after["quality"][i]) for i in order])
+    root = slow_similar([after["quality"][i] for i in order])
     assert set(after["near_dedup"]) == {min(order[j] for j in range(len(order)) if root[j] == r) for r in set(root)}
     assert set(after["decontaminate"]) == {i for i, t in after["near_dedup"].items() if not leaked(t)}
     slow = Tokenizer.from_file(queries.packing.default_files()[0])

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import xxhash
 from evidex.llm import simhash as S
@@ -32,9 +33,41 @@ def slow_components(prints):
     return [find(i) for i in range(len(prints))]
 
 
+def slow_similar(texts, words=5, least=0.8):
+    """Components of all pairs of texts whose sets of shingles are similar enough."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    holders = {}
+    for i, x in enumerate(sets):
+        for g in x or [None]:
+            holders.setdefault(g, []).append(i)
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    common = Counter((j, i) for own in holders.values() for k, i in enumerate(own) for j in own[:k])
+    for (j, i), n in common.items():
+        if sets[i] == sets[j] or n >= least * (len(sets[i]) + len(sets[j]) - n):
+            a, b = sorted((find(i), find(j)))
+            root[b] = a
+    return [find(i) for i in range(len(sets))]
+
+
+def lows(rows, roots):
+    low = {}
+    for r, w in zip(rows, roots):
+        low[w] = min(low.get(w, r.doc_id), r.doc_id)
+    return [low[w] for w in roots]
+
+
 def test_simhash_of_odd_texts():
     for t in ["", None, "  \t\n", "One", "ONE two", "A b C d", "é Ünï x y \x0b z", "w " * 70000]:
-        assert S.simhash((t or "").encode()) == slow_print(t)
+        assert S.simhash(S.shingle_hashes((t or "").encode())) == slow_print(t)
 
 
 def test_links_connect_all_pairs(spark):
@@ -66,10 +99,31 @@ def test_whole_operator(spark, sf):
     expected = sorted((r.doc_id, low[w]) for r, w in zip(rows, want))
     frame = docs.union(odd)
     assert sorted((r.doc_id, r.component_id) for r in S.near_duplicates(frame).collect()) == expected
-    kept = S.keep_first(frame.selectExpr("*", "1 AS fp", "2 AS root", "3 AS a")).collect()
+    expected = sorted((r.doc_id, c) for r, c in zip(rows, lows(rows, slow_similar([r.text for r in rows]))))
+    clashing = frame.selectExpr("*", "1 AS fp", "2 AS root", "3 AS a", "4 AS row", "5 AS id", "6 AS digest")
+    assert sorted((r.doc_id, r.component_id) for r in S.similar(clashing).collect()) == expected
+    kept = S.keep_first(clashing).collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for _, c in expected})
 
 
+def test_near_copies_against_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    rows, common = [], rng.choices(words, k=40)
+    for group in range(12):
+        base = rng.choices(words, k=rng.randrange(30, 250)) + (common if group % 3 == 0 else [])
+        for _ in range(rng.choice([1, 2, 5, 60])):
+            copy = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy[rng.randrange(3) :])))
+    rows += [(len(rows), ("tail " * 5).strip()), (len(rows) + 1, "long " * 400_000), (len(rows) + 2, "long " * 400_001)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.similar(df).collect()
+    rows = df.collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((r.doc_id, c) for r, c in zip(rows, lows(rows, slow_similar([r.text for r in rows]))))
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(none).collect() == [] and S.keep_first(none).collect() == []
