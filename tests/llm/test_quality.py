@@ -45,20 +45,84 @@ def test_outliers_go_and_clean_rows_stay(spark):
     assert left.columns == frame.columns and {r.doc_id for r in left.collect()} == kept
 
 
-def test_estimate_matches_plain_covariance(spark):
-    """With every row kept in the C-step, the estimate is the mean and covariance (and the floors)."""
+def plain_mcd(x, share=Q.SHARE):
+    """FAST-MCD in numpy from the same six starts: (centre, scatter with consistency factor and floors, log determinant)."""
+    import numpy as np
+
+    floor = np.array([*Q.FLOORS.values()])
+
+    def floored(c):
+        c = c.copy()
+        np.fill_diagonal(c, np.maximum(np.diag(c), floor**2))
+        return c
+
+    def step(m, c):
+        d = np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c), x - m)
+        near = x[np.argsort(d, kind="stable")[: int(np.ceil(share * len(x)))]]
+        raw = np.cov(near.T, bias=True)
+        return near.mean(0), floored(raw), raw, np.linalg.slogdet(floored(raw))[1]
+
+    m = np.median(x, axis=0)
+    u = np.maximum(1.4826 * np.median(abs(x - m), axis=0), floor)
+    z = (x - m) / u
+    norm = (z * z).sum(1)
+    made = [np.clip(z, -2, 2), np.tanh(z), z / np.sqrt(norm)[:, None], z[norm <= np.median(norm)], z[(abs(z) <= 2.5).all(1)]]
+    scatters = [np.cov(v.T, bias=True) * np.outer(u, u) for v in made] + [np.diag(u**2)]
+    now = [(m, floored(c), c, np.inf) for c in scatters]
+    for _ in range(Q.FIRST_STEPS):
+        now = [step(*s[:2]) for s in now]
+    ends = []
+    for s in sorted(now, key=lambda s: s[3])[: Q.BEST]:
+        while (after := step(*s[:2]))[3] < s[3]:
+            s = after
+        ends.append(s)
+    m, _, raw, ld = min(ends, key=lambda s: s[3])
+    return m, floored(Q.consistency(share) * raw), ld
+
+
+def test_estimate_matches_plain_mcd(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(400, Q.DIM)) @ rng.normal(size=(Q.DIM, Q.DIM)) + 5
-    frame = spark.createDataFrame([("e", "s", *map(float, r)) for r in x], "lang string, source string, " + ", ".join(f"x{i} double" for i in range(Q.DIM)))
-    _, model = Q.estimate(frame, share=1.0, steps=1)
-    row = model.first()
-    factor = np.array([[row[f"l{i}{j}"] if j <= i else 0.0 for j in range(Q.DIM)] for i in range(Q.DIM)])
-    want = np.cov(x.T, bias=True) + np.diag([f**2 for f in Q.FLOORS.values()])
-    assert np.allclose([row[f"m{i}"] for i in range(Q.DIM)], x.mean(0))
-    ratio = (factor @ factor.T) / want
-    assert np.allclose(ratio, ratio[0, 0]) and 1 <= ratio[0, 0] < 1.5
+    groups = {}
+    for g in range(4):
+        x = rng.normal(size=(400, Q.DIM)) @ rng.normal(size=(Q.DIM, Q.DIM)) * (1, 1, 0.01, 1)[g] + 5
+        if g:  # a cluster of outliers, up to 22 % of the rows
+            x[: 30 * g] = rng.normal(size=(30 * g, Q.DIM)) * 0.3 + 20
+        groups[f"s{g}"] = x
+    frame = spark.createDataFrame([("e", g, *map(float, r)) for g, x in groups.items() for r in x], "lang string, source string, " + ", ".join(f"x{i} double" for i in range(Q.DIM)))
+    for share, loose in ((Q.SHARE, 0.12), (1.0, 1e-6)):
+        named, model = Q.estimate(frame, share=share)
+        rows = {r.source: r for r in named.join(model, "g").collect()}
+        for g, x in groups.items():
+            row = rows[g]
+            factor = np.array([[row[f"l{i}{j}"] if j <= i else 0.0 for j in range(Q.DIM)] for i in range(Q.DIM)])
+            m, c, ld = plain_mcd(x, share)
+            mine = np.linalg.slogdet(factor @ factor.T)[1]
+            assert abs(mine - np.linalg.slogdet(c)[1]) < max(loose, 1e-6) * Q.DIM, (g, share)
+            assert np.abs(np.linalg.solve(np.linalg.cholesky(c), np.array([row[f"m{i}"] for i in range(Q.DIM)]) - m)).max() < max(loose, 1e-6) * 2
+            far = lambda c_: np.einsum("ij,ij->i", (x - m) @ np.linalg.inv(c_), x - m)
+            if share < 1:
+                assert ((far(factor @ factor.T) > Q.CUTOFF) == (far(c) > Q.CUTOFF)).all()
+                assert (far(factor @ factor.T) > Q.CUTOFF).sum() >= 30 * int(g[1])
+
+
+def test_consistency_factor():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200_000, Q.DIM))
+    d = (x * x).sum(1)
+    near = x[d <= np.quantile(d, 0.75)]
+    assert abs(near.var() * Q.consistency(0.75) - 1) < 0.01 and Q.consistency(1.0) == 1
+
+
+def test_very_long_text_and_repeats(spark):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(400)]
+    rows = [(i % 90, prose(rng, 80, vocab), "en", "s") for i in range(120)] + [(500, prose(rng, 200_000, vocab), "en", "s")] * 2
+    got = Q.judged(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 122 and [r.n_words for r in got if r.doc_id == 500] == [200_000] * 2
 
 
 def test_empty_and_nulls(spark):
