@@ -1,10 +1,11 @@
 """Language-model scores from Elias-Fano n-gram tries.
 
-The trie has a unigram and a bigram level. A bigram level holds, in Elias-Fano code, its sorted contexts, the monotone
-pointers to where each context's successors begin, and the successors relative to their context (context rank and word
-together are monotone); beside them quantised smoothed probabilities and each context's quantised back-off weight. A
-query finds the context, then searches its successors for the next one not below the word. Levels lie in one buffer and
-are queried memory-mapped.
+The trie has a unigram and a bigram level, both in Elias-Fano code. The unigram level holds its sorted words, beside them
+their counts and quantised smoothed probabilities. The bigram level holds its sorted contexts, its vocabulary, the
+monotone pointers to where each context's successors begin, and the successors relative to their context (ranks of
+context and word together are monotone); beside them quantised smoothed probabilities and each context's quantised
+back-off weight. A query finds the context, then searches its successors for the next one not below the word. Levels lie
+in one buffer and are queried memory-mapped.
 
 p(w | u) = c(u w) / (c(u) + mu) + mu / (c(u) + mu) * p(w),  p(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 
@@ -12,9 +13,10 @@ A model of all n-grams grows with the corpus, so no task holds it whole. Documen
 their tokens as numbers of its own sorted words. Blocks send each shard their distinct n-grams with training counts; the
 shard merges the counts, builds its level and answers the same n-grams; the blocks then score their documents. What moves
 is a few bytes per distinct n-gram of a block, in packed rows per block and shard. Shards hold n-grams by hash of the
-context; contexts with a large share of all tokens are divided further by word, and for those, a list whose length the
-number of shards bounds, the context's count is summed beforehand. Words are told apart by 64 bits in the unigram level
-and by 40 bits in the bigram level.
+context; contexts with a large share of all tokens are divided further by word, and for those, a list of at most
+1 / LEAST_HOT entries, the context's count is summed beforehand. Words are told apart by 64 bits in the unigram level and
+by 48 bits in the bigram level. Exact counts serve the base score and n_known; the model's own score reads the quantised
+probabilities.
 """
 
 from __future__ import annotations
@@ -31,7 +33,11 @@ from .common import raw, slices, staged
 MU, BLOCK_TOKENS, SHARD_BYTES = 500.0, 1_000_000, 24 << 20
 #: Quantisation: 255 steps of log10 from 0 down; 0 stands for none.
 STEP = 8.0 / 254
-W40 = (1 << 40) - 1
+#: The unigram level's finer steps, in 16 bits: unigrams back off to nothing, and rare ones of a large corpus lie far down.
+FINE = 20.0 / 65_534
+#: A context with less than this share of all tokens is never divided, so the list of divided ones stays short.
+LEAST_HOT = 1e-5
+W48 = (1 << 48) - 1
 
 
 class EliasFano:
@@ -135,6 +141,57 @@ def restored(q):
     return table[q]
 
 
+def _mapped(codes: dict[str, EliasFano], arrays: dict) -> tuple[dict[str, EliasFano], dict]:
+    """Elias-Fano codes and arrays as views of one unnamed file that is memory-mapped. The file belongs to one task and is
+    read by it alone."""
+    import numpy as np
+
+    at, places = 0, {}
+    with tempfile.TemporaryFile() as f:
+        def put(a):
+            nonlocal at
+            f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
+            at += a.nbytes + -a.nbytes % 8
+            return at - a.nbytes - -a.nbytes % 8, a.dtype, len(a)
+
+        for name, e in codes.items():
+            places[name] = e.n, e.low_bits, *map(put, (e.high, e.ones, e.low))
+        for name, a in arrays.items():
+            places[name] = put(a)
+        f.flush()
+        whole = np.memmap(f, np.uint8, "r", shape=(max(at, 1),)) if at else np.zeros(1, np.uint8)
+    view = lambda p: whole[p[0] : p[0] + p[2] * p[1].itemsize].view(p[1])
+    made = {name: EliasFano(None, (places[name][0], places[name][1], *map(view, places[name][2:]))) for name in codes}
+    return made, {name: view(places[name]) for name in arrays}
+
+
+class Unigrams:
+    """The unigram level over sorted 64-bit words with counts; probabilities are (count + 0.5) / total in 16-bit steps."""
+
+    def __init__(self, words, counts, total: int):
+        import numpy as np
+
+        self.words, self.counts = EliasFano(words), np.asarray(counts, "<i8")
+        logs = np.log10((self.counts + 0.5) / max(total, 1))
+        self.probabilities = (1 + np.clip(np.rint(-logs / FINE), 0, 65_534)).astype("<u2")
+
+    def mapped(self) -> Unigrams:
+        out = object.__new__(Unigrams)
+        codes, arrays = _mapped({"words": self.words}, {"counts": self.counts, "probabilities": self.probabilities})
+        out.__dict__.update(codes | arrays)
+        return out
+
+    def ask(self, words):
+        """(counts, quantised probabilities) of words; both 0 where the level has no such word."""
+        import numpy as np
+
+        at = self.words.find(words)
+        if not self.words.n:
+            return np.zeros(len(words), "<i8"), np.zeros(len(words), "<u2")
+        known = np.maximum(at, 0)
+        return np.where(at >= 0, self.counts[known], 0), np.where(at >= 0, self.probabilities[known], 0).astype("<u2")
+
+
 class Level:
     """A bigram level over sorted (context, word) pairs with counts; `totals`: counts of contexts that other shards share."""
 
@@ -152,50 +209,32 @@ class Level:
             k = np.minimum(np.searchsorted(self.shared, own), len(sums) - 1)
             total = np.where(self.shared[k] == own, sums[k], total)
         each = total[rank.astype(np.int64)] if len(contexts) else total
-        self.contexts, self.pointers, self.successors = EliasFano(own), EliasFano(np.r_[begin, len(contexts)]), EliasFano((rank << np.uint64(40)) | words)
+        vocabulary, place = np.unique(words, return_inverse=True)
+        self.contexts, self.pointers, self.vocabulary = EliasFano(own), EliasFano(np.r_[begin, len(contexts)]), EliasFano(vocabulary)
+        self.successors = EliasFano(rank * np.uint64(len(vocabulary)) + place.astype(np.uint64))
         self.weights, self.probabilities = quantised(np.log10(mu / (total + mu))), quantised(np.log10(np.maximum(counts, 1) / (each + mu)))
 
     def mapped(self) -> Level:
-        """The same level, its arrays in one unnamed file that is memory-mapped."""
-        import numpy as np
-
-        out, at = object.__new__(Level), 0
-        out.shared, out.shared_weights = self.shared, self.shared_weights
-        with tempfile.TemporaryFile() as f:
-            def put(a):
-                nonlocal at
-                f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
-                at += a.nbytes + -a.nbytes % 8
-                return at - a.nbytes - -a.nbytes % 8, a.dtype, len(a)
-
-            places = {}
-            for name in ("contexts", "pointers", "successors"):
-                e = getattr(self, name)
-                places[name] = (e.n, e.low_bits, *map(put, (e.high, e.ones, e.low)))
-            for name in ("weights", "probabilities"):
-                places[name] = put(getattr(self, name))
-            f.flush()
-            whole = np.memmap(f, np.uint8, "r", shape=(max(at, 1),)) if at else np.zeros(1, np.uint8)
-        view = lambda p: whole[p[0] : p[0] + p[2] * p[1].itemsize].view(p[1])
-        for name in ("contexts", "pointers", "successors"):
-            n, k, *arrays = places[name]
-            setattr(out, name, EliasFano(None, (n, k, *map(view, arrays))))
-        for name in ("weights", "probabilities"):
-            setattr(out, name, view(places[name]))
+        """The same level, its arrays in one memory-mapped file."""
+        out = object.__new__(Level)
+        codes = {n: getattr(self, n) for n in ("contexts", "pointers", "vocabulary", "successors")}
+        codes, arrays = _mapped(codes, {"weights": self.weights, "probabilities": self.probabilities})
+        out.__dict__.update(codes | arrays | {"shared": self.shared, "shared_weights": self.shared_weights})
         return out
 
     def ask(self, contexts, words):
         """(probability bytes, back-off bytes) of each pair; 0 where the trie has no such pair, and weight 1 for no context."""
         import numpy as np
 
-        at = self.contexts.find(contexts)
+        at, word = self.contexts.find(contexts), self.vocabulary.find(np.asarray(words, np.uint64))
         known = at >= 0
         weight = np.ones(len(contexts), np.uint8)
         q = np.zeros(len(contexts), np.uint8)
-        if known.any():
-            weight[known] = self.weights[at[known]]
-            place = self.successors.find((at[known].astype(np.uint64) << np.uint64(40)) | np.asarray(words, np.uint64)[known])
-            q[known] = np.where(place >= 0, self.probabilities[np.maximum(place, 0)], 0)
+        weight[known] = self.weights[at[known]]
+        both = np.flatnonzero(known & (word >= 0))
+        if len(both):
+            place = self.successors.find(at[both].astype(np.uint64) * np.uint64(self.vocabulary.n) + word[both].astype(np.uint64))
+            q[both] = np.where(place >= 0, self.probabilities[np.maximum(place, 0)], 0)
         if len(self.shared):  # such a context has its weight even where this shard holds none of its successors
             k = np.minimum(np.searchsorted(self.shared, contexts), len(self.shared) - 1)
             weight = np.where(self.shared[k] == contexts, self.shared_weights[k], weight)
@@ -226,18 +265,18 @@ def _unpack(data: bytes) -> list:
     return out
 
 
-def _pack40(a) -> object:
-    """Numbers below 2^40, five bytes each."""
+def _pack48(a) -> object:
+    """Numbers below 2^48, six bytes each."""
     import numpy as np
 
-    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).ravel()
+    return np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
 
 
-def _unpack40(a):
+def _unpack48(a):
     import numpy as np
 
-    out = np.zeros((len(a) // 5, 8), np.uint8)
-    out[:, :5] = a.reshape(-1, 5)
+    out = np.zeros((len(a) // 6, 8), np.uint8)
+    out[:, :6] = a.reshape(-1, 6)
     return out.ravel().view("<u8")
 
 
@@ -307,7 +346,7 @@ def _pairs(words, stream, n_shards: int, hot):
     end = int(np.searchsorted(words, np.uint64(_END)))
     before = np.r_[end, stream[:-1]].astype(np.int64)
     code, place = np.unique(before * len(words) + stream, return_inverse=True)
-    u, w = words[code // len(words)] & np.uint64(W40), words[code % len(words)] & np.uint64(W40)
+    u, w = words[code // len(words)] & np.uint64(W48), words[code % len(words)] & np.uint64(W48)
     shard = (_mixed(u ^ np.where(np.isin(u, hot), _mixed(w), np.uint64(0))) % np.uint64(n_shards)).astype(np.int64)
     order = np.lexsort((w, u, shard))
     back = np.empty(len(order), np.int64)
@@ -337,7 +376,7 @@ def _ask(blocks_: DataFrame, n_shards: int, hot: list[int]) -> DataFrame:
                 for s in np.unique(shard):
                     a, b = np.searchsorted(shard, [s, s + 1])
                     own = np.flatnonzero(np.r_[True, u[a + 1 : b] != u[a : b - 1]])
-                    out.append((2, int(s), _pack(_pack40(u[a:b][own]), np.diff(np.r_[own, b - a]).astype("<u4"), _pack40(w[a:b]), n[a:b])))
+                    out.append((2, int(s), _pack(_pack48(u[a:b][own]), np.diff(np.r_[own, b - a]).astype("<u4"), _pack48(w[a:b]), n[a:b])))
                 for at in range(0, len(out), 64):
                     level, shards, data = zip(*out[at : at + 64])
                     yield pa.RecordBatch.from_arrays([pa.array(level, pa.int32()), pa.array(shards, pa.int64()), pa.array([block] * len(data), pa.int64()), pa.array(data, pa.binary())], ["level", "shard", "block", "ask"])
@@ -345,7 +384,7 @@ def _ask(blocks_: DataFrame, n_shards: int, hot: list[int]) -> DataFrame:
     return blocks_.select("block", "stream", "words", "held", "sizes").mapInArrow(run, "level int, shard long, block long, ask binary")
 
 
-def _answer(asks: DataFrame, mu: float, totals: dict[int, int]) -> DataFrame:
+def _answer(asks: DataFrame, mu: float, totals: dict[int, int], train: int) -> DataFrame:
     """(level, shard, block, answer, n): each shard merges all blocks' counts, builds its level and answers each block."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -358,10 +397,11 @@ def _answer(asks: DataFrame, mu: float, totals: dict[int, int]) -> DataFrame:
             keys, at = np.unique(np.concatenate([a[0] for a in asks]), return_inverse=True)
             counts = np.bincount(at, np.concatenate([a[1] for a in asks])).astype("<i8")
             del at
-            distinct = int((counts > 0).sum())
-            answers = [_pack(counts[np.searchsorted(keys, a[0])]) for a in asks]
+            seen = counts > 0
+            trie, distinct = Unigrams(keys[seen], counts[seen], train).mapped(), int(seen.sum())
+            answers = [_pack(*trie.ask(a[0])) for a in asks]
         else:
-            rows = [(np.repeat(_unpack40(u), n), _unpack40(w), c) for u, n, w, c in asks]
+            rows = [(np.repeat(_unpack48(u), n), _unpack48(w), c) for u, n, w, c in asks]
             del asks
             seen = [tuple(x[r[2] > 0] for x in r) for r in rows]
             u, w, c = (np.concatenate([s[i] for s in seen]) for i in range(3))
@@ -379,7 +419,7 @@ def _answer(asks: DataFrame, mu: float, totals: dict[int, int]) -> DataFrame:
 
 
 def _hot(blocks_: DataFrame, share: float) -> list[int]:
-    """The 40-bit words with at least `share` of a block's training tokens in some block, and then of all; 1 / share at most."""
+    """The 48-bit words with at least `share` of a block's training tokens in some block, and then of all; 1 / share at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -388,7 +428,7 @@ def _hot(blocks_: DataFrame, share: float) -> list[int]:
             for words in batch.column("words").to_pylist():
                 words, counts = _unpack(words)
                 top = counts >= share / 2 * max(1, counts.sum())
-                yield pa.RecordBatch.from_arrays([pa.array((words[top] & np.uint64(W40)).astype(np.int64)), pa.array(counts[top].astype(np.int64))], ["u", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array((words[top] & np.uint64(W48)).astype(np.int64)), pa.array(counts[top].astype(np.int64))], ["u", "n"])
 
     total = blocks_.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first().n
     found = blocks_.select("words").mapInArrow(run, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
@@ -406,7 +446,7 @@ def _totals(blocks_: DataFrame, hot: list[int]) -> dict[int, int]:
         for batch in batches:
             for words in batch.column("words").to_pylist():
                 words, counts = _unpack(words)
-                mine = words & np.uint64(W40)
+                mine = words & np.uint64(W48)
                 top = np.isin(mine, np.array(hot, np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(mine[top].astype(np.int64)), pa.array(counts[top].astype(np.int64))], ["u", "n"])
 
@@ -423,9 +463,9 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text",
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n")).first().n
     n_shards = max(1, -(-int(size) // shard_bytes))
     made = staged(blocks(docs, id, text, held, block_tokens), "blocks")
-    hot = _hot(made, hot_share or 1 / (4 * n_shards)) if n_shards > 1 else []
-    answers = staged(_answer(_ask(made, n_shards, hot), mu, _totals(made, hot)), "answers")
+    hot = _hot(made, hot_share or max(LEAST_HOT, 1 / (4 * n_shards))) if n_shards > 1 else []
     train = int(made.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first().n)
+    answers = staged(_answer(_ask(made, n_shards, hot), mu, _totals(made, hot), train), "answers")
     distinct = int(answers.filter("level = 1").groupBy("shard").agg(F.max("n").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
 
     def run(block: pa.Table, said: pa.Table) -> pa.Table:
@@ -436,13 +476,15 @@ def score(docs: DataFrame, held: Column, id: str = "doc_id", text: str = "text",
         for level, shard, answer in sorted(zip(said.column("level").to_pylist(), said.column("shard").to_pylist(), said.column("answer").to_pylist()), key=lambda x: x[:2]):
             parts[level].append((shard, _unpack(answer)))
         shard = (words >> np.uint64(40)).astype(np.int64) % n_shards
-        counts = np.zeros(len(words), np.int64)
-        for s, (c,) in parts[1]:
-            counts[shard == s] = c
-        one = (counts + 0.5) / (train + 0.5 * (distinct + 1))
+        counts, fine = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for s, (c, q) in parts[1]:
+            counts[shard == s], fine[shard == s] = c, q
+        norm = train + 0.5 * (distinct + 1)
+        one = (counts + 0.5) / norm
+        own = np.where(fine > 0, 10.0 ** (-FINE * (fine - 1)) * max(train, 1), 0.5) / norm  # the trie's; unseen words have half a count
         place = _pairs(words, stream, n_shards, np.array(hot, np.uint64))[3]
         q, weight = (np.concatenate([a[i] for _, a in parts[2]]) for i in range(2))
-        model = np.log10(restored(q[place]) + restored(weight[place]) * one[stream])
+        model = np.log10(restored(q[place]) + restored(weight[place]) * own[stream])
         sizes = np.array(block.column("sizes")[0].as_py(), np.int64)
         begin = np.r_[0, np.cumsum(sizes)[:-1]]
         sums = [np.add.reduceat(x, begin) for x in ((counts > 0).astype(np.int64)[stream], np.log10(one)[stream], model)]

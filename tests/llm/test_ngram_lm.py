@@ -35,6 +35,17 @@ def test_level_against_plain_counts():
     assert level.pointers.get(np.arange(51)).tolist() == [*np.flatnonzero(np.r_[True, u[1:] != u[:-1]]), len(u)]
 
 
+def test_unigrams_against_plain_counts():
+    rng = random.Random(3)
+    words = np.array(sorted({rng.randrange(2**64) for _ in range(3000)}), np.uint64)
+    counts = np.array([rng.choice([1, 2, 50, 10**9]) for _ in words], np.int64)
+    level = N.Unigrams(words, counts, int(counts.sum())).mapped()
+    c, q = level.ask(np.r_[words, words[:9] ^ np.uint64(1)])
+    assert (c[: len(words)] == counts).all() and (c[len(words) :] == 0).all() and (q[len(words) :] == 0).all()
+    assert np.abs(-N.FINE * (q[: len(words)].astype(float) - 1) - np.log10((counts + 0.5) / counts.sum())).max() <= N.FINE / 2 + 1e-9
+    assert [x.tolist() for x in N.Unigrams(words[:0], counts[:0], 0).mapped().ask(words[:2])] == [[0, 0], [0, 0]]
+
+
 def slow(rows, mu):
     """(n_tokens, n_known, N, base, model) by row with plain counts; the model's parts quantised as the trie's are."""
     def cut(x):
@@ -54,7 +65,8 @@ def slow(rows, mu):
             p = (one[w] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
             known = cut(two[u, w] / (one[u] + mu)) if two[u, w] else 0.0
-            model += math.log10(known + (cut(mu / (one[u] + mu)) if one[u] else 1.0) * p)
+            fine = 10 ** (-N.FINE * round(-math.log10((one[w] + 0.5) / n) / N.FINE)) * n if one[w] else 0.5
+            model += math.log10(known + (cut(mu / (one[u] + mu)) if one[u] else 1.0) * fine / (n + 0.5 * (v + 1)))
         out.append((len(words), sum(one[w] > 0 for w in words), n, base, model))
     return out
 
