@@ -178,7 +178,7 @@ def _packs(pages: DataFrame, id: str, url: str, body: str) -> DataFrame:
             number += 1
             rows = pa.RecordBatch.from_arrays([pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int8()))], ["id", "url", "texts", "places"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 7))) as out:
                 out.write_batch(rows)
             return host, number, len(ids), size, sink.getvalue().to_pybytes()
 
