@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Query parameters that only track.
+#: Query parameters that only track, as a pattern.
 TRACKING = r"^(utm_.*|fbclid|gclid|ref)="
 TOKEN = r"[A-Za-z0-9][A-Za-z0-9_.+#-]*"
 
@@ -116,7 +116,7 @@ def predicate_core(predicate: Column | str) -> tuple[Column, Column]:
     negated = padded.rlike(negation)
     rest = F.trim(F.when(negated, F.when(F.trim(F.regexp_replace(padded, negation, "")) == "", F.regexp_extract(padded, r"^(\w+)", 1)).otherwise(F.regexp_replace(padded, negation, ""))).otherwise(F.regexp_replace(padded, bare, "")))
     first = F.regexp_extract(rest, r"^(\S*)", 1)
-    tail = F.substring(rest, F.length(first) + 1, 10**6)
+    tail = F.substr(rest, F.length(first) + 1)
     n = F.length(first)
     stem = (
         F.when((n > 4) & first.rlike("(ies|ied)$"), F.concat(F.substring(first, F.lit(1), n - 3), F.lit("y")))

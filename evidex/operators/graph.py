@@ -22,9 +22,15 @@ def closure(edges: DataFrame, roots: DataFrame, most_hops: int = 50) -> DataFram
         new = step.groupBy("root", F.col("src").alias("node")).agg(F.min("dst").alias("parent")).select("root", "node", F.lit(hops).alias("hops"), "parent")
         frontier = staged(new.join(reached.select("root", "node"), ["root", "node"], "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            return reached.filter("hops > 0")
         reached = reached.unionByName(frontier)
-    return reached.filter("hops > 0")
+    raise RuntimeError(f"the closure goes on beyond {most_hops} hops")
+
+
+def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """`pairs` (start, target) with whether the target depends, over any number of edges, on the start; a node reaches itself."""
+    closed = closure(edges, pairs.select(F.col("start").alias("node")).distinct()).select(F.col("root").alias("start"), F.col("node").alias("target"), F.lit(True).alias("_found"))
+    return pairs.join(closed, ["start", "target"], "left").select("start", "target", (F.coalesce("_found", F.lit(False)) | (F.col("start") == F.col("target"))).alias("reachable"))
 
 
 def flag_dependents(closed: DataFrame, items: DataFrame, labels: str = "status") -> DataFrame:
@@ -35,9 +41,9 @@ def flag_dependents(closed: DataFrame, items: DataFrame, labels: str = "status")
     return near.select("node", F.col("n.root").alias("root"), F.col("n.hops").alias("hops"), reason.alias("reason"))
 
 
-def chain_roots(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def chain_roots(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, root) of chains node -> parent by pointer jumping: distances double each round. On a cycle the smallest node
-    that the jumps reach is the root."""
+    that the jumps reach is the root. Raises if chains are longer than `most_rounds` doublings reach."""
     now = staged(links.select("node", F.col("parent").alias("root")), "chains")
     for _ in range(most_rounds):
         up = now.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
@@ -45,4 +51,4 @@ def chain_roots(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         if far.filter("next <> root AND next <> node").isEmpty():
             return now
         now = far.select("node", F.when(F.col("next") == F.col("node"), F.least("root", "node")).otherwise(F.col("next")).alias("root"))
-    return now
+    raise RuntimeError("chains did not settle")

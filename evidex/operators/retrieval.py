@@ -27,12 +27,26 @@ def top(rows: DataFrame, query: str, order: list[Column], k: int, rank: str) ->
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
 
 
+#: Queries that are sent to all tasks at once.
+QUERY_BLOCK = 2_000
+
+
+def in_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> list[DataFrame]:
+    """A stated query set in blocks of about `most` rows, by hash of the query, for broadcasting one after the other."""
+    n = -(-queries.count() // most)
+    return [queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
+
+
 def vector_channel(queries: DataFrame, items: DataFrame, k: int, on: str | None = None) -> DataFrame:
-    """(query, id, distance, vec_rank). `queries`: query, vector; `items`: id, vector; both with the topic `on` if given."""
-    q = queries.withColumnRenamed("vector", "_qv")
-    pairs = q.join(items, on) if on else items.crossJoin(F.broadcast(q))  # without a topic: a stated query set, counted by the caller
-    scored = pairs.select("query", "id", F.round(cosine_distance(F.col("_qv"), F.col("vector")), 9).alias("distance"))
-    return top(scored, "query", [F.col("distance"), F.col("id")], k, "vec_rank")
+    """(query, id, distance, vec_rank). `queries`: query, vector, a stated set; `items`: id, vector; both with the topic `on`
+    if given. Queries go to the items in counted blocks, so items are never shuffled; each task cuts its lists first."""
+    found = None
+    for block in in_blocks(queries.withColumnRenamed("vector", "_qv")):
+        pairs = items.join(F.broadcast(block), on) if on else items.crossJoin(F.broadcast(block))
+        scored = pairs.select("query", "id", F.round(cosine_distance(F.col("_qv"), F.col("vector")), 9).alias("distance"))
+        lists = top(scored, "query", [F.col("distance"), F.col("id")], k, "vec_rank")
+        found = lists if found is None else found.union(lists)
+    return found
 
 
 def postings(docs: DataFrame, words: Column) -> DataFrame:

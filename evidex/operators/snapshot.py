@@ -29,9 +29,18 @@ def apply_delta(base: DataFrame, upserts: DataFrame, removed: DataFrame, id: str
     return base.join(gone, id, "left_anti").unionByName(upserts)
 
 
-def integrity(records: DataFrame, file: str, id: str, hashed: str, buckets: int = 256) -> DataFrame:
+#: Buckets of a file's digest at least, and records a bucket holds on average at most.
+BUCKETS, BUCKET_RECORDS = 256, 50_000
+
+
+def integrity(records: DataFrame, file: str, id: str, hashed: str) -> DataFrame:
     """(file, n, digest): a digest per file that no order or partitioning changes: sorted record hashes per bucket of
-    numeric ids, then over buckets. No task holds more than a bucket's share of a file."""
+    numeric ids, then over buckets. Buckets double until they hold BUCKET_RECORDS on average, so no task holds more than a
+    bounded part of a file; the digest of the same records is the same, as their number gives the buckets."""
+    buckets = BUCKETS
+    for n in [r.n for r in records.groupBy(file).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).collect()]:
+        while n and n > buckets * BUCKET_RECORDS:
+            buckets *= 2
     part = F.pmod(F.col(id), F.lit(buckets))
     inner = records.groupBy(file, part.alias("_b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list(hashed)), "\n"), 256).alias("_h"))
     return inner.groupBy(file).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("_h")), "\n"), 256).alias("digest"))

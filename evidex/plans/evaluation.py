@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import snapshot
-from ..session import table
+from ..operators import checks, lifecycle, metrics, snapshot
+from ..session import staged, table
 from ..sources import store
 from . import retrieval
 from .registry import query, standard
@@ -25,7 +25,32 @@ def v01_concept_checks(spark, sf):
     return t.filter("role = 'user'").join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.col("answer").contains(F.split_part("t", F.lit(" "), F.lit(1))).alias("has_concept"), F.col("answer").contains("idiot").alias("has_forbidden"))
 
 
-standard("v02_answer_kind", "SELECT conv_id, turn, CASE WHEN length(text) <= 60 THEN 'abstained' WHEN text LIKE '%2%' THEN 'cited' ELSE 'uncited' END AS kind FROM {conversations} WHERE role = 'assistant'", "conversations")
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, role, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS f FROM conversations)
+    SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 OR (length(f) <= 400 AND regexp_matches(f, 'does not contain|do not contain|not enough|insufficient|no verified information|does not cover|not covered|cannot answer|no information|not available in the knowledge|not possible to determine|not possible to answer')) THEN 'abstention'
+      WHEN regexp_matches(text, '\[[0-9]+\]') OR turn % 4 = 2 THEN 'cited_answer' ELSE 'uncited_answer' END AS kind FROM t WHERE role = 'assistant'""")
+def v02_answer_kind(spark, sf):
+    """Answers by kind; every ninth conversation retrieved nothing, and some turns count as citing."""
+    rows = table(spark, sf, "conversations").filter("role = 'assistant'")
+    cited = F.when(F.col("text").rlike(r"\[[0-9]+\]") | (F.col("turn") % 4 == 2), 1).otherwise(0)
+    return rows.select("conv_id", "turn", checks.answer_kind("text", F.col("conv_id") % 9, cited).alias("kind"))
+
+
+@query(retrieval.FUSED + f""", {C06}, r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0), 9) DESC, id) AS rank FROM u),
+    c AS (SELECT item_id AS query, list_distinct([lower(x) FOR x IN string_split(text, ' ') IF length(x) > 9]) AS concepts FROM benchmark),
+    k AS (SELECT c.query, min(rank) AS first FROM c LEFT JOIN (SELECT r.query, rank, lower(text) AS t FROM r JOIN documents ON doc_id = r.id WHERE rank <= 10) x ON x.query = c.query AND len(list_filter(concepts, lambda w: contains(t, w))) > 0 GROUP BY 1),
+    h AS (SELECT f.query, count(*) AS n, count(rank) AS hit FROM found f LEFT JOIN r ON r.query = f.query AND r.id = f.id AND r.rank <= 10 GROUP BY 1)
+    SELECT k.query, round(coalesce(1.0::DOUBLE / first, 0), 6) AS mrr, first IS NOT NULL AS hit, coalesce(h.hit = 0, false) OR coalesce(h.hit / 10.0 < 0.5, false) AS missed FROM k LEFT JOIN h ON h.query = k.query""")
+def v18_v19_concept_rank(spark, sf):
+    """Where a question's long words first occur in what the hybrid search retrieves, and whether the retrieval missed."""
+    concepts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.array_distinct(F.transform(F.filter(F.split("text", " "), lambda x: F.length(x) > 9), lambda x: F.lower(x))).alias("concepts"))
+    found = staged(retrieval.r28_rrf_hybrid(spark, sf).select("query", "id", "rank"), "retrieved")
+    texts = found.join(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    ranks = checks.concept_rank(texts, concepts, "query", "text", "rank")
+    relevant = c06_quote_location(spark, sf).select(F.col("item_id").alias("query"), F.col("doc_id").alias("id"))
+    measures = relevant.join(found, ["query", "id"], "left").groupBy("query").agg((F.count("rank") / F.count("*")).alias("recall"), (F.count("rank") / 10).alias("precision"))
+    rows = ranks.join(measures, "query", "left")
+    return rows.select("query", F.round("mrr", 6).alias("mrr"), "hit", checks.retrieval_missed(F.lit(10), F.col("recall"), F.col("precision")).alias("missed"))
 
 
 @query(f"WITH {C06} SELECT item_id, count(id) > 0 AS in_corpus, CASE WHEN count(id) = 0 THEN 'not covered' WHEN count(id) = 1 THEN 'single source' ELSE 'covered' END AS class FROM q LEFT JOIN found ON query = item_id GROUP BY 1")
@@ -60,7 +85,15 @@ standard("v11_metrics", f"""
 standard("v12_regression", f"""
     WITH d AS (SELECT event_type, day, {mean('value')} AS accuracy FROM ({DAILY}) x GROUP BY event_type, day), b AS (SELECT event_type, day, accuracy, lag(accuracy) OVER (PARTITION BY event_type ORDER BY day) AS baseline FROM d)
     SELECT event_type, day, round(accuracy - baseline, 10) AS delta, coalesce(baseline - accuracy > 5, false) AS regressed FROM b""", "events")
-standard("v13_findings", f"SELECT CASE WHEN value < 25 THEN 'low' WHEN value < 75 THEN 'middle' ELSE 'high' END AS cause, event_type, count(*) AS n, count(DISTINCT user_id) AS n_questions FROM ({DAILY}) d GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY CASE WHEN value < 25 THEN 'low' WHEN value < 75 THEN 'middle' ELSE 'high' END, event_type"), "events")
+
+
+@query("SELECT cause, count(*) AS n, count(DISTINCT user_id) AS n_questions FROM (SELECT user_id, unnest(list_filter([CASE WHEN value < 25 THEN 'coverage' END, CASE WHEN event_type = 'error' THEN 'citation' END, CASE WHEN value > 75 AND event_type <> 'view' THEN 'answer' END], lambda x: x IS NOT NULL)) AS cause FROM events) GROUP BY 1")
+def v13_findings(spark, sf):
+    """Events as results with up to three causes each, counted by cause."""
+    causes = F.array_compact(F.array(F.when(F.col("value") < 25, "coverage"), F.when(F.col("event_type") == "error", "citation"), F.when((F.col("value") > 75) & (F.col("event_type") != "view"), "answer")))
+    return checks.findings(table(spark, sf, "events"), causes, "user_id")
+
+
 standard("v14_compare_runs", f"""
     WITH d AS ({DAILY}), a AS (SELECT user_id, round({mean('value')}, 10) AS m FROM d WHERE day < '2024-01-15' GROUP BY user_id), b AS (SELECT user_id, round({mean('value')}, 10) AS m FROM d WHERE day >= '2024-01-15' GROUP BY user_id)
     SELECT coalesce(a.user_id, b.user_id) AS question, round(b.m - a.m, 9) AS delta, CASE WHEN a.m IS NULL THEN 'only second' WHEN b.m IS NULL THEN 'only first' WHEN (a.m > 50) <> (b.m > 50) THEN 'flipped' ELSE 'same' END AS outcome FROM a FULL OUTER JOIN b ON a.user_id = b.user_id""", "events")
@@ -123,10 +156,19 @@ def x01_gather(spark, sf):
     return named.select(F.col("o_orderkey").alias("id"), "source_ids", "n_evidence", "n_refuting", F.col("c_name").alias("subject"))
 
 
-standard("x02_export_gate", """
-    SELECT 'order without customer' AS problem, count(*) AS n FROM {orders} o LEFT JOIN {customer} c ON c.c_custkey = o.o_custkey WHERE c.c_custkey IS NULL
-    UNION ALL SELECT 'line without order', count(*) FROM {lineitem} l LEFT JOIN {orders} o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL
-    UNION ALL SELECT 'final order without verified line', count(*) FROM {orders} o LEFT JOIN (SELECT DISTINCT l_orderkey FROM {lineitem} WHERE l_linestatus = 'F') v ON v.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' AND v.l_orderkey IS NULL""", "orders", "customer", "lineitem")
+@query("""
+    SELECT 'order without customer' AS problem, count(*) AS n FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey WHERE c.c_custkey IS NULL
+    UNION ALL SELECT 'line without order', count(*) FROM lineitem l LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE o.o_orderkey IS NULL
+    UNION ALL SELECT 'final order without verified line', count(*) FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linestatus = 'F') v ON v.l_orderkey = o.o_orderkey WHERE o.o_orderstatus = 'F' AND v.l_orderkey IS NULL""")
+def x02_export_gate(spark, sf):
+    """Dangling references and unverified final items, counted by rule."""
+    o, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    verified = lines.filter("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return checks.gate({
+        "order without customer": o.join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey"), "left_anti"),
+        "line without order": lines.join(o, F.col("o_orderkey") == F.col("l_orderkey"), "left_anti"),
+        "final order without verified line": o.filter("o_orderstatus = 'F'").join(verified, "o_orderkey", "left_anti"),
+    })
 
 
 @query("""SELECT p_partkey AS part_id, '{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || '}' AS line FROM part""")
@@ -182,14 +224,30 @@ def o03_o05_backoff(spark, sf):
 
 
 standard("o04_requeue_stuck", "SELECT event_id FROM {events} WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL '60' MINUTE AND value > 90", "events")
-standard("o06_finalize_runs", "SELECT user_id AS run, event_type, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n_done, count(*) FILTER (WHERE value > 95) AS n_dead FROM {events} GROUP BY user_id, event_type HAVING count(*) FILTER (WHERE value < 0) = 0", "events")
+
+
+@query("SELECT user_id AS run, event_type, CAST(sum(CAST(value AS DECIMAL(18, 2))) AS DOUBLE) AS total, count(*) AS n_done, count(*) FILTER (WHERE value > 95) AS n_dead FROM events GROUP BY user_id, event_type HAVING count(*) FILTER (WHERE value < 0.2) = 0")
+def o06_finalize_runs(spark, sf):
+    """Users as runs: those kinds of jobs of which none is unfinished."""
+    return lifecycle.finalized(table(spark, sf, "events"), "user_id", "event_type", F.col("value"), F.col("value") < 0.2, F.col("value") > 95)
+
+
+@query(f"SELECT event_id, user_id, k, CAST(120 * 2 ** (k % 5 - 1) AS INT) AS delay_s FROM {JOBS} WHERE event_type = 'error' AND k % 5 BETWEEN 1 AND 3")
+def o07_partial_retry(spark, sf):
+    """Errors as failed sections, k modulo 5 as their attempts."""
+    rows = jobs(spark, sf).filter("k % 5 >= 1").select("event_id", "user_id", "event_type", "k")
+    return lifecycle.retries(rows, F.col("k") % 5, F.col("event_type") == "error").select("event_id", "user_id", "k", "delay_s")
+
+
 standard("o08_queue_health", f"SELECT event_type, count(*) AS n, round({mean('value')}, 10) AS mean_value, max(value) AS max_value, min(ts) AS oldest FROM {{events}} WHERE ts >= TIMESTAMP '2024-01-29 00:00:00' GROUP BY event_type", "events")
 
 
 @query("SELECT event_type, count(*) AS n, round(quantile_cont(value, 0.95), 6) AS p95, count(*) FILTER (WHERE value > 90) AS failures FROM events GROUP BY 1")
 def o09_latency(spark, sf):
-    """Exact 95th percentiles per purpose, from counts per distinct value: a hot purpose is summed before it is exchanged."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.count_if(F.col("value") > 90).alias("failures"))
+    """Exact 95th percentiles per purpose."""
+    rows = table(spark, sf, "events")
+    p95 = metrics.percentile(rows, "event_type", "value", 0.95).select("event_type", F.round("percentile", 6).alias("p95"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 90).alias("failures")).join(p95, "event_type")
 
 
 standard("o10_storage_totals", "SELECT lang AS domain, count(*) AS n_documents, CAST(sum(length(text)) AS BIGINT) AS n_chars, count(DISTINCT source) AS n_sources FROM {documents} GROUP BY lang", "documents")
@@ -212,14 +270,14 @@ def o17_discovery(spark, sf):
 standard("o18_extraction_backlog", "SELECT d.doc_id, d.source FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id WHERE l.doc_id IS NULL", "documents", "labels")
 
 
-@query(f"""WITH s AS (SELECT page_id, 'sha256:' || sha256({NORM.format("substr(html, 1, 4000)")}) AS h FROM pages WHERE page_id % 3 <> 0), f AS (SELECT page_id, 'sha256:' || sha256({NORM.format("CASE WHEN page_id % 4 = 0 THEN substr(html, 2, 4000) ELSE substr(html, 1, 4000) END")}) AS h, length(html) AS n FROM pages WHERE page_id % 5 <> 0)
+@query(f"""WITH s AS (SELECT page_id, 'sha256:' || sha256({NORM.format("html")}) AS h FROM pages WHERE page_id % 3 <> 0), f AS (SELECT page_id, 'sha256:' || sha256({NORM.format("CASE WHEN page_id % 4 = 0 THEN substr(html, 2) ELSE html END")}) AS h, length(html) AS n FROM pages WHERE page_id % 5 <> 0)
     SELECT page_id, action, CASE WHEN action IN ('new', 'changed') THEN f_h ELSE s_h END AS hash, CASE WHEN action = 'changed' THEN s_h END AS previous_hash, CAST((s_h IS NOT NULL)::INT + (action IN ('new', 'changed'))::INT AS BIGINT) AS version
     FROM (SELECT coalesce(s.page_id, f.page_id) AS page_id, s.h AS s_h, f.h AS f_h, CASE WHEN f.h IS NULL THEN 'absent' WHEN n < 1200 THEN 'skipped' WHEN s.h IS NULL THEN 'new' WHEN s.h <> f.h THEN 'changed' ELSE 'confirmed' END AS action FROM s FULL JOIN f ON s.page_id = f.page_id)""")
 def a04_crawl_upsert(spark, sf):
     """Two thirds of the pages as stored, a later crawl in which every fourth has changed and every fifth is missing."""
     pages = table(spark, sf, "pages")
-    stored = pages.filter("page_id % 3 <> 0").select("page_id", X.content_hash(F.substring("html", 1, 4000)).alias("hash"), F.lit(1).alias("version"))
-    body = F.when(F.col("page_id") % 4 == 0, F.substring("html", 2, 4000)).otherwise(F.substring("html", 1, 4000))
+    stored = pages.filter("page_id % 3 <> 0").select("page_id", X.content_hash("html").alias("hash"), F.lit(1).alias("version"))
+    body = F.when(F.col("page_id") % 4 == 0, F.expr("substring(html, 2)")).otherwise(F.col("html"))
     fetched = pages.filter("page_id % 5 <> 0").select("page_id", X.content_hash(body).alias("hash"), F.length("html").alias("n_chars"))
     return store.crawl_upsert(stored, fetched, ["page_id"], 1200)
 
@@ -244,8 +302,17 @@ def l06_l16_run_pivot(spark, sf):
 standard("l08_stats", f"""
     SELECT k.status, coalesce(n, 0) AS n, mean_price FROM (SELECT 'F' AS status UNION ALL SELECT 'O' UNION ALL SELECT 'P' UNION ALL SELECT 'X') k
     LEFT JOIN (SELECT o_orderstatus, count(*) AS n, round({mean('o_totalprice')}, 10) AS mean_price FROM {{orders}} GROUP BY o_orderstatus) o ON o.o_orderstatus = k.status""", "orders")
-standard("l09_l02_conflict_list", """
-    SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id, a.o_orderstatus AS a_status, b.o_orderstatus AS b_status FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey""", "orders")
+
+
+@query("""
+    SELECT o.o_orderkey, min(g.low) AS class_id, min(g.n) - 1 AS n_partners FROM orders o JOIN (SELECT o_custkey, o_orderdate, min(o_orderkey) AS low, count(*) AS n FROM orders GROUP BY 1, 2 HAVING count(*) > 1) g ON g.o_custkey = o.o_custkey AND g.o_orderdate = o.o_orderdate GROUP BY 1""")
+def l09_l02_conflict_list(spark, sf):
+    """Orders with others of the same customer and time against them: the first of them and how many."""
+    key = ["o_custkey", "o_orderdate"]
+    same = table(spark, sf, "orders").groupBy(*key).agg(F.min("o_orderkey").alias("class_id"), F.count("*").alias("n")).filter("n > 1")
+    return table(spark, sf, "orders").join(same, key).select("o_orderkey", "class_id", (F.col("n") - 1).alias("n_partners"))
+
+
 standard("l12_embedding_identity", "SELECT label AS model, count(*) AS n, count(*) FILTER (WHERE vec_id % 9 = 0) AS n_stale FROM {embeddings} GROUP BY label", "embeddings")
 standard("l15_live_job_audit", "SELECT event_type, user_id, count(*) AS n FROM {events} WHERE value > 80 GROUP BY event_type, user_id HAVING count(*) > 3", "events")
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import edges as E
 from ..operators import graph, quality
+from ..operators import lifecycle as L
+from ..operators import retrieval as R
 from ..session import staged, table
 from .registry import query, standard
 from .text import NORM
 
 #: "Now" for every query with a clock.
 NOW = "2001-09-01"
-FIRST = r"lower(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')))"
 
 
 def documents(spark, sf):
-    """Documents with their two duplicate signals and their first line as an excerpt: texts are read and hashed once."""
-    first = F.lower(F.trim(F.regexp_replace(F.split("text", "\n")[0], r"\s+", " ")))
-    return staged(table(spark, sf, "documents").select("doc_id", "lang", "source", X.content_hash("text").alias("content"), X.fingerprint("text").alias("loose"), F.sha2(first, 256).alias("excerpt")), "signals")
+    """Documents with their two duplicate signals and the hash of what they say: texts are read and hashed once."""
+    said = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
+    return staged(table(spark, sf, "documents").select("doc_id", "lang", "source", X.content_hash("text").alias("content"), X.fingerprint("text").alias("loose"), F.sha2(said, 256).alias("excerpt")), "signals")
 
 
 @query(f"SELECT doc_id, duplicate_of FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY {NORM.format('text')}) AS duplicate_of FROM documents) WHERE doc_id > duplicate_of")
@@ -69,8 +71,8 @@ def d08_mirror_chains(spark, sf):
     return graph.chain_roots(links)
 
 
-@query(f"""
-    WITH e AS (SELECT lang, first_value(source) OVER (PARTITION BY lang, {FIRST} ORDER BY doc_id) AS owner, source FROM documents)
+@query(r"""
+    WITH e AS (SELECT lang, first_value(source) OVER (PARTITION BY lang, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) ORDER BY doc_id) AS owner, source FROM documents)
     SELECT lang AS item, count(DISTINCT source) AS n_sources FROM e WHERE owner = source GROUP BY 1""")
 def d09_independent_sources(spark, sf):
     found = quality.independent_sources(documents(spark, sf), "lang", "excerpt", "source", "doc_id")
@@ -155,13 +157,14 @@ def e04_advance(spark, sf):
 
 @query(r"""
     WITH e AS (SELECT doc_id, left(text, 60) AS quote FROM documents), d AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN substr(text, 31) ELSE text END AS body FROM documents)
-    SELECT left(quote, 12) AS item, bool_or(contains(body, quote)) AS still_verified, CASE WHEN bool_or(contains(body, quote)) THEN 'VERIFIED' ELSE 'STALE' END AS status FROM e JOIN d USING (doc_id) GROUP BY 1""")
+    SELECT quote AS item, bool_or(contains(body, quote)) AS still_verified, CASE WHEN bool_or(contains(body, quote)) THEN 'VERIFIED' ELSE 'STALE' END AS status FROM e JOIN d USING (doc_id) GROUP BY 1""")
 def e05_stale_marking(spark, sf):
-    """Evidence of changed documents is checked verbatim; an item with none left is stale."""
+    """Quotes, the first 60 characters of documents, are items; evidence of changed documents is checked verbatim, and an
+    item with none left is stale."""
     docs = table(spark, sf, "documents")
-    changed = F.when(F.col("doc_id") % 4 == 0, F.substring("text", 31, 10**9)).otherwise(F.col("text"))
+    changed = F.when(F.col("doc_id") % 4 == 0, F.expr("substring(text, 31)")).otherwise(F.col("text"))
     rows = docs.select(F.substring("text", 1, 60).alias("quote"), changed.alias("body"))
-    return rows.groupBy(F.substring("quote", 1, 12).alias("item")).agg(F.bool_or(F.col("body").contains(F.col("quote"))).alias("still_verified")).withColumn("status", F.when(F.col("still_verified"), "VERIFIED").otherwise("STALE"))
+    return rows.groupBy(F.col("quote").alias("item")).agg(F.bool_or(F.col("body").contains(F.col("quote"))).alias("still_verified")).withColumn("status", F.when(F.col("still_verified"), "VERIFIED").otherwise("STALE"))
 
 
 @query(r"""
@@ -187,15 +190,26 @@ def e09_supersede(spark, sf):
     return quality.one_to_one(old, new, ["l_orderkey", "g"], "old_line", "new_line")
 
 
-standard("g03_conflict_pairs", """
-    WITH i AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS core, o_orderstatus AS object FROM {orders}),
+@query("""
+    WITH i AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderpriority AS core, o_orderstatus AS object FROM orders),
     many AS (SELECT subject, core FROM i GROUP BY subject, core HAVING count(DISTINCT object) >= 3)
-    SELECT a.id AS a_id, b.id AS b_id FROM i a JOIN i b ON a.subject = b.subject AND a.core = b.core AND a.id < b.id AND a.object <> b.object
-    LEFT JOIN many ON many.subject = a.subject AND many.core = a.core WHERE many.subject IS NULL""", "orders")
+    SELECT a.id, min((SELECT min(c.id) FROM i c WHERE c.subject = a.subject AND c.core = a.core AND c.object = a.object)) AS class_id, count(*) AS n_partners
+    FROM i a JOIN i b ON a.subject = b.subject AND a.core = b.core AND a.object <> b.object LEFT JOIN many ON many.subject = a.subject AND many.core = a.core WHERE many.subject IS NULL GROUP BY a.id""")
+def g03_conflict_pairs(spark, sf):
+    """Orders against which others of the same customer and priority stand with another status: their class and how many."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("core"), F.col("o_orderstatus").alias("object"))
+    return E.conflicts(rows, "id", ["subject", "core"], "object")
+
+
+@query("""
+    SELECT d.o_orderkey AS src, min(f.o_orderkey) AS foundation, count(*) AS n_foundations, min(CASE WHEN d.o_orderpriority LIKE '1%' THEN 'example_of' ELSE 'depends_on' END) AS relation
+    FROM orders d JOIN orders f ON d.o_custkey = f.o_custkey AND d.o_orderstatus = 'P' AND f.o_orderstatus = 'F' GROUP BY 1""")
+def g07_derived_edges(spark, sf):
+    """Pending orders depend on their customer's final ones, given by the first of these and their number."""
+    role = F.when(F.col("o_orderstatus") == "F", "foundation").when(F.col("o_orderstatus") == "P", "dependent")
+    relation = F.when(F.col("o_orderpriority").startswith("1"), "example_of").otherwise("depends_on")
+    return E.to_foundation(table(spark, sf, "orders"), "o_orderkey", "o_custkey", role, relation)
 
-standard("g07_derived_edges", """
-    SELECT DISTINCT d.o_orderkey AS src, f.o_orderkey AS dst, CASE WHEN d.o_orderpriority LIKE '1%' THEN 'example_of' ELSE 'depends_on' END AS relation
-    FROM {orders} d JOIN {orders} f ON d.o_custkey = f.o_custkey AND d.o_orderstatus = 'P' AND f.o_orderstatus = 'F'""", "orders")
 
 EDGES = """SELECT 'n' || n_nationkey AS src, 'r' || n_regionkey AS dst FROM nation UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
     UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'o' || o_orderkey, 'o' || (o_orderkey // 2) FROM orders WHERE o_orderkey % 97 = 1"""
@@ -231,7 +245,72 @@ def g10_propagate_flags(spark, sf):
     return graph.flag_dependents(graph.closure(edges(spark, sf), roots), items).select("node", "root", "hops")
 
 
-standard("g11_unresolved_dependencies", """
+@query("""
     SELECT l.l_orderkey AS item, l.l_partkey AS dependency, CASE WHEN p.p_partkey IS NULL THEN 'missing' WHEN p.p_size > 40 THEN 'not live' ELSE 'flagged' END AS why
-    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM {lineitem}) l LEFT JOIN {part} p ON p.p_partkey = l.l_partkey
-    WHERE p.p_partkey IS NULL OR p.p_size > 40 OR (p.p_size = 7 AND p.p_brand LIKE '%1')""", "lineitem", "part")
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) l LEFT JOIN part p ON p.p_partkey = l.l_partkey
+    WHERE p.p_partkey IS NULL OR p.p_size > 40 OR (p.p_size = 7 AND p.p_brand LIKE '%1')""")
+def g11_unresolved_dependencies(spark, sf):
+    parts = table(spark, sf, "part").withColumnRenamed("p_partkey", "dependency")
+    needs = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_partkey").alias("dependency"))
+    return E.unresolved(needs, parts, F.col("p_size") <= 40, (F.col("p_size") == 7) & F.col("p_brand").endswith("1"))
+
+
+@query(REACHED + """, q AS (SELECT 'r' || (c_custkey % 5) AS start, 'c' || c_custkey AS target FROM customer UNION SELECT 'c' || (o_custkey + o_orderkey % 2), 'o' || o_orderkey FROM orders WHERE o_orderkey % 20 = 0)
+    SELECT q.start, q.target, CASE WHEN q.start LIKE 'r%' THEN n.node IS NOT NULL ELSE EXISTS (SELECT 1 FROM e WHERE e.src = q.target AND e.dst = q.start) OR EXISTS (SELECT 1 FROM e a JOIN e b ON a.dst = b.src WHERE a.src = q.target AND b.dst = q.start) END AS reachable
+    FROM q LEFT JOIN n ON n.root = q.start AND n.node = q.target""")
+def g12_reachability(spark, sf):
+    """Whether customers depend on a region, and orders on a customer."""
+    customers = table(spark, sf, "customer").select(F.concat(F.lit("r"), F.col("c_custkey") % 5).alias("start"), F.concat(F.lit("c"), F.col("c_custkey")).alias("target"))
+    orders = table(spark, sf, "orders").filter("o_orderkey % 20 = 0").select(F.concat(F.lit("c"), F.col("o_custkey") + F.col("o_orderkey") % 2), F.concat(F.lit("o"), F.col("o_orderkey")))
+    return graph.reachable(edges(spark, sf), customers.union(orders).distinct())
+
+
+@query("""
+    WITH i AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'SUPPORTED' ELSE 'STALE' END AS status, o_custkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 3 = 0),
+    f AS (SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING bool_or(l_returnflag = 'R')),
+    c AS (SELECT a.o_orderkey AS id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey <> b.o_orderkey),
+    u AS (SELECT l_orderkey AS id FROM lineitem LEFT JOIN part ON p_partkey = l_partkey WHERE p_partkey IS NULL OR p_size > 40 OR (p_size = 7 AND p_brand LIKE '%1'))
+    SELECT id, CASE WHEN id IN (SELECT id FROM c) THEN 'CONFLICTED' WHEN id IN (SELECT id FROM f) THEN 'STALE' ELSE status END AS status, id NOT IN (SELECT id FROM u) AS flag_cleared FROM i""")
+def g14_revalidation(spark, sf):
+    """Every third order is flagged: returned lines fail it, another order at the same time is in conflict with it, and
+    its flag goes where no part is unresolved."""
+    status = F.when(F.col("o_orderstatus") == "F", "VERIFIED").when(F.col("o_orderstatus") == "O", "SUPPORTED").otherwise("STALE")
+    rows = table(spark, sf, "orders")
+    items = rows.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id"), status.alias("status"))
+    failed = table(spark, sf, "lineitem").filter("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"))
+    conflicts = E.partners(rows.withColumn("each", F.col("o_orderkey")), "o_orderkey", ["o_custkey", "o_orderdate"], ["each"]).select(F.col("o_orderkey").alias("id"))
+    return L.revalidated(items, failed, conflicts, g11_unresolved_dependencies(spark, sf).select(F.col("item").alias("id")))
+
+
+@query("""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '([a-z0-9]+)', 1) AS w FROM documents),
+    v AS (SELECT vec_id AS id, label, list_transform(embedding, lambda z: z::DOUBLE) AS e, list_distinct(w) AS w, list_distinct(w[1:2]) AS o FROM embeddings JOIN d ON doc_id = vec_id),
+    p AS (SELECT q.id AS query, i.id, round(1 - list_inner_product(q.e, i.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(i.e, i.e))), 6) AS distance, q.w AS qw, q.o AS qo, i.w, i.o FROM v q JOIN v i ON q.label = i.label AND q.id <> i.id WHERE q.id % 20 = 0),
+    t AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS rank FROM p),
+    g AS (SELECT query, id, rank, distance, len(list_filter(o, lambda x: NOT list_contains(list_concat(qo, qw), x))) = 0 AND len(list_filter(qo, lambda x: NOT list_contains(list_concat(o, w), x))) = 0 AS same_object,
+          round(CASE WHEN len(w) = 0 OR len(qw) = 0 THEN 0.0 ELSE len(list_intersect(w, qw)) / CAST(len(list_distinct(list_concat(w, qw))) AS DOUBLE) END, 6) AS overlap FROM t WHERE rank <= 5)
+    SELECT query, id, rank, distance, same_object, overlap, coalesce(rank = min(CASE WHEN distance <= 0.06 AND same_object AND overlap >= 0.6 THEN rank END) OVER (PARTITION BY query), false) AS duplicate FROM g""")
+def d04_d05_near_duplicates(spark, sf):
+    """The five nearest of the same label for every twentieth vector with a document, and the guards on their texts."""
+    words = X.words("text")
+    docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(words).alias("words"), F.array_distinct(F.slice(words, 1, 2)).alias("object"))
+    v = table(spark, sf, "embeddings").join(docs, F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.col("label").alias("subject"), F.col("embedding").alias("vector"), "object", "words")
+    v = staged(v, "items")
+    q = v.filter("id % 20 = 0").select(F.col("id").alias("query"), "subject", F.col("vector").alias("q_vector"), F.col("object").alias("q_object"), F.col("words").alias("q_words"))
+    return quality.nearest_duplicates(q, v, R.cosine_distance(F.col("q_vector"), F.col("vector")))
+
+
+@query("""
+    WITH e AS (SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'DERIVED' WHEN 1 THEN 'SYNTHESIZED' ELSE 'DIRECT' END AS origin, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS statement, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'because' END AS rationale, c_mktsegment AS t FROM customer),
+    p AS (SELECT o_custkey AS id, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'P') AS live FROM orders GROUP BY 1)
+    SELECT e.id, list_filter([CASE WHEN statement = '' THEN 'no statement' END, CASE WHEN t NOT IN ('BUILDING', 'MACHINERY', 'AUTOMOBILE') THEN 'unknown type' END, CASE WHEN origin <> 'DIRECT' AND rationale = '' THEN 'no rationale' END,
+      CASE WHEN coalesce(n, 0) < CASE origin WHEN 'SYNTHESIZED' THEN 2 WHEN 'DERIVED' THEN 1 ELSE 0 END THEN 'too few premises' END, CASE WHEN coalesce(live, 0) < coalesce(n, 0) THEN 'premise not live' END], lambda x: x IS NOT NULL) AS problems FROM e LEFT JOIN p ON p.id = e.id""")
+def d20_entry_problems(spark, sf):
+    """Customers as entries, their orders as premises."""
+    c = table(spark, sf, "customer")
+    origin = F.when(F.col("c_custkey") % 3 == 0, "DERIVED").when(F.col("c_custkey") % 3 == 1, "SYNTHESIZED").otherwise("DIRECT")
+    entries = c.select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 7 == 0, "").otherwise(F.col("c_name")).alias("statement"), F.col("c_mktsegment").alias("knowledge_type"), origin.alias("origin"), F.when(F.col("c_custkey") % 5 == 0, "").otherwise("because").alias("rationale"))
+    o = table(spark, sf, "orders")
+    status = F.when(F.col("o_orderstatus") == "P", "STALE").otherwise("SUPPORTED")
+    items = o.select(F.col("o_orderkey").alias("id"), status.alias("status"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("statement"))
+    return L.entry_problems(entries, o.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("premise")), items, ["BUILDING", "MACHINERY", "AUTOMOBILE"])

@@ -1,88 +1,206 @@
-"""Catalogue, evidence, review, edge and listing queries, in SQL that both engines read alike."""
+"""Catalogue, evidence, review, edge and listing queries."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import checks, edges, lifecycle, quality
 from ..session import table
+from ..sources import store
 from .registry import query, standard
 
-standard("a12_catalogue_upsert", """
+@query("""
     SELECT coalesce(a.s_suppkey, b.k) AS source_key, CASE WHEN a.s_suppkey IS NULL THEN 'insert' WHEN b.k IS NULL THEN 'absent' WHEN a.s_acctbal <> b.balance THEN 'update' ELSE 'same' END AS action, coalesce(b.balance, a.s_acctbal) AS authority
-    FROM (SELECT * FROM {supplier} WHERE s_suppkey % 9 <> 0) a
-    FULL OUTER JOIN (SELECT s_suppkey AS k, s_acctbal + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS balance FROM {supplier} WHERE s_suppkey % 5 <> 0) b ON a.s_suppkey = b.k""", "supplier")
+    FROM (SELECT * FROM supplier WHERE s_suppkey % 9 <> 0) a
+    FULL OUTER JOIN (SELECT s_suppkey AS k, s_acctbal + CASE WHEN s_suppkey % 4 = 0 THEN 1 ELSE 0 END AS balance FROM supplier WHERE s_suppkey % 5 <> 0) b ON a.s_suppkey = b.k""")
+def a12_catalogue_upsert(spark, sf):
+    """Declared suppliers against the stored ones: inserted, updated, the same, or absent."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source_key"), F.col("s_acctbal").alias("authority"))
+    declared = rows.filter("source_key % 5 <> 0").withColumn("authority", F.col("authority") + F.when(F.col("source_key") % 4 == 0, 1).otherwise(0))
+    return store.catalogue_upsert(rows.filter("source_key % 9 <> 0"), declared, "source_key", ["authority"])
 
-standard("b15_embedding_text", "SELECT p_partkey AS item, concat_ws(chr(10), p_name, 'Topic: ' || p_type, left(p_brand || ' size ' || CAST(p_size AS STRING), 600)) AS body FROM {part}", "part")
 
-standard("c11_new_evidence", """
-    SELECT DISTINCT n.l_orderkey AS item, n.l_suppkey AS source FROM {lineitem} n
-    LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM {lineitem} WHERE l_linenumber <= 3) o ON o.l_orderkey = n.l_orderkey AND o.l_suppkey = n.l_suppkey
-    WHERE n.l_linenumber > 3 AND o.l_orderkey IS NULL""", "lineitem")
+standard("b15_embedding_text", "SELECT p_partkey AS item, concat_ws(chr(10), p_name, 'Topic: ' || p_type, left(p_brand || ' size ' || CAST(p_size AS STRING), 600)) AS body FROM {part}", "part")
 
-standard("d06_duplicate_folding", """
-    WITH first AS (SELECT text, lang, min(doc_id) AS keep FROM {documents} GROUP BY text, lang HAVING count(*) > 1)
-    SELECT f.keep AS survivor, count(DISTINCT d.source) AS n_sources, count(*) - 1 AS n_folded FROM first f JOIN {documents} d ON d.text = f.text AND d.lang = f.lang GROUP BY f.keep""", "documents")
+@query("""
+    SELECT DISTINCT n.l_orderkey AS item, n.l_suppkey AS source FROM lineitem n
+    LEFT JOIN (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_linenumber <= 3) o ON o.l_orderkey = n.l_orderkey AND o.l_suppkey = n.l_suppkey
+    WHERE n.l_linenumber > 3 AND o.l_orderkey IS NULL""")
+def c11_new_evidence(spark, sf):
+    """Evidence from later lines that an order's first three lines don't cite."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("source"), "l_linenumber")
+    return lifecycle.new_evidence(rows.filter("l_linenumber > 3"), rows.filter("l_linenumber <= 3"), ["item", "source"])
+
+
+@query("""
+    WITH first AS (SELECT text, lang, min(doc_id) AS keep FROM documents GROUP BY text, lang HAVING count(*) > 1)
+    SELECT f.keep AS survivor, count(DISTINCT d.source) AS n_sources, count(*) - 1 AS n_folded FROM first f JOIN documents d ON d.text = f.text AND d.lang = f.lang GROUP BY f.keep""")
+def d06_duplicate_folding(spark, sf):
+    """Exact duplicates folded into the smallest id: the others are rejected, and the sources they cite go to the survivor."""
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha2(F.concat_ws("\x1f", "lang", "text"), 256).alias("key"))
+    status, evidence = quality.folded(docs, "key", "doc_id", ["source"])
+    n = status.groupBy(F.col("duplicate_of").alias("survivor")).agg(F.count("*").alias("n_folded"))
+    return evidence.groupBy(F.col("doc_id").alias("survivor")).agg(F.countDistinct("source").alias("n_sources")).join(n, "survivor")
+
+
+@query("""
+    SELECT s_suppkey AS source, CASE WHEN s_acctbal < 0 THEN 'community' ELSE 'external' END AS class, CASE WHEN s_acctbal > 5000 THEN 'EXPERIMENTALLY_VALIDATED' ELSE 'DIRECT' END AS origin, CASE WHEN s_nationkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity FROM supplier""")
+def d12_d13_source_class(spark, sf):
+    """Source classes, origins and polarities of suppliers."""
+    positive = F.when(F.col("s_nationkey") % 2 == 0, "positive").otherwise("negative")
+    return table(spark, sf, "supplier").select(F.col("s_suppkey").alias("source"), lifecycle.source_class(F.col("s_acctbal") < 0).alias("class"), lifecycle.origin(F.col("s_acctbal") > 5000).alias("origin"), positive.alias("polarity"))
+
+
+@query("""
+    SELECT DISTINCT o.o_orderkey AS item FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON s.s_suppkey = l.l_suppkey
+    WHERE s.s_nationkey = 7 AND o.o_orderstatus <> 'P' AND l.l_linestatus = 'F'""")
+def d14_rederived_items(spark, sf):
+    """Live orders with verified lines from suppliers whose nation's class has changed."""
+    items = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
+    changed = table(spark, sf, "supplier").filter("s_nationkey = 7").withColumnRenamed("s_suppkey", "l_suppkey")
+    return lifecycle.rederived(items, table(spark, sf, "lineitem"), changed, "l_orderkey", "l_suppkey", F.col("o_orderstatus") != "P", F.col("l_linestatus") == "F")
+
+
+@query("""
+    WITH RECURSIVE b AS (SELECT o_orderkey AS id, round(o_totalprice / 1000000, 4) AS confidence, CAST(substring(o_orderpriority, 1, 1) AS INT) AS level, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED' WHEN 'O' THEN 'SUPPORTED' ELSE 'STALE' END AS status FROM orders),
+    p AS (SELECT id, id // 2 AS premise FROM b WHERE id % 4 = 0 AND id > 0 AND id // 2 IN (SELECT id FROM b) UNION ALL SELECT id, id - 1 FROM b WHERE id % 4 = 0 AND id > 0 AND id - 1 IN (SELECT id FROM b)),
+    other AS (SELECT p.id, b.confidence, b.level, b.status FROM p JOIN b ON b.id = p.premise WHERE p.premise % 4 <> 0),
+    s AS (SELECT id, min(confidence) AS weakest, min(level) AS lowest, bool_and(status IN ('SUPPORTED', 'VERIFIED')) AS alive FROM other GROUP BY 1),
+    up AS (
+      SELECT id, round(weakest * CASE WHEN alive THEN 0.9 ELSE 0.5 END, 4) AS confidence, CASE WHEN alive THEN least(lowest, 3) ELSE 0 END AS level, CASE WHEN alive THEN 'SUPPORTED' ELSE 'CANDIDATE' END AS status
+      FROM s WHERE id NOT IN (SELECT id FROM p WHERE premise % 4 = 0)
+      UNION ALL
+      SELECT c.id, round(least(u.confidence, coalesce(s.weakest, u.confidence)) * CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN 0.9 ELSE 0.5 END, 4),
+             CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN least(u.level, coalesce(s.lowest, u.level), 3) ELSE 0 END, CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN 'SUPPORTED' ELSE 'CANDIDATE' END
+      FROM up u JOIN p c ON c.premise = u.id AND c.id = 2 * u.id LEFT JOIN s ON s.id = c.id)
+    SELECT id, confidence, level, status FROM up""")
+def d19_derived_confidence(spark, sf):
+    """Every fourth order is derived from the order half its number and the one before it, over several steps; premises may be derived."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000000, 4).alias("confidence"), F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.element_at(F.create_map(*map(F.lit, ["F", "VERIFIED", "O", "SUPPORTED", "P", "STALE"])), F.col("o_orderstatus")).alias("status"), F.lit(None).cast("long").alias("superseded_by"), F.lit(False).alias("approved"))
+    derived = o.filter("id % 4 = 0 AND id > 0").select("id")
+    premises = derived.select("id", F.expr("id div 2").alias("premise")).union(derived.select("id", F.col("id") - 1)).join(o.select(F.col("id").alias("premise")), "premise", "left_semi")
+    return lifecycle.derived_scores(o.withColumn("status", F.when(F.col("id") % 4 == 0, "CANDIDATE").otherwise(F.col("status"))), premises.select("id", "premise"))
+
+
+@query("""
+    WITH pairs AS (SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id FROM orders a JOIN orders b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey),
+    sides AS (SELECT a_id AS id FROM pairs UNION SELECT b_id FROM pairs)
+    SELECT o.o_orderkey AS item, s.id IS NOT NULL AS has_conflict FROM orders o LEFT JOIN sides s ON s.id = o.o_orderkey""")
+def d21_open_conflicts(spark, sf):
+    """Whether another order of the customer at the same time is in conflict."""
+    rows = table(spark, sf, "orders")
+    open_ = edges.partners(rows.withColumn("each", F.col("o_orderkey")), "o_orderkey", ["o_custkey", "o_orderdate"], ["each"])
+    return rows.join(open_, "o_orderkey", "left").select(F.col("o_orderkey").alias("item"), F.col("n_partners").isNotNull().alias("has_conflict"))
 
-standard("d12_d13_source_class", """
-    SELECT s_suppkey AS source, CASE WHEN s_acctbal < 0 THEN 'community' ELSE 'external' END AS class, CASE WHEN s_acctbal > 5000 THEN 'EXPERIMENTALLY_VALIDATED' ELSE 'DIRECT' END AS origin, CASE WHEN s_nationkey % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity FROM {supplier}""", "supplier")
 
-standard("d14_rederived_items", """
-    SELECT DISTINCT o.o_orderkey AS item FROM {orders} o JOIN {lineitem} l ON l.l_orderkey = o.o_orderkey JOIN {supplier} s ON s.s_suppkey = l.l_suppkey
-    WHERE s.s_nationkey = 7 AND o.o_orderstatus <> 'P' AND l.l_linestatus = 'F'""", "orders", "lineitem", "supplier")
+@query("""
+    SELECT conv_id, turn, before, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) t
+    WHERE before IS NOT NULL AND NOT ((before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user'))""")
+def e01_illegal_transitions(spark, sf):
+    """Turns that don't follow one another as system, user, assistant, user."""
+    allowed = [("system", "user"), ("user", "assistant"), ("assistant", "user")]
+    return lifecycle.illegal_transitions(table(spark, sf, "conversations"), "conv_id", "turn", "role", allowed)
 
-standard("d19_derived_confidence", """
-    SELECT o_custkey AS item, round(CASE WHEN bool_and(o_orderstatus <> 'P') THEN 0.9E0 ELSE 0.5E0 END * min(o_totalprice), 4) AS confidence,
-           CASE WHEN bool_and(o_orderstatus <> 'P') THEN 'SUPPORTED' ELSE 'STALE' END AS status, least(min(CAST(substring(o_orderpriority, 1, 1) AS INT)), 3) AS level
-    FROM {orders} GROUP BY o_custkey""", "orders")
 
-standard("d21_open_conflicts", """
-    WITH pairs AS (SELECT a.o_orderkey AS a_id, b.o_orderkey AS b_id FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderdate = b.o_orderdate AND a.o_orderkey < b.o_orderkey),
-    sides AS (SELECT a_id AS id FROM pairs UNION SELECT b_id FROM pairs)
-    SELECT o.o_orderkey AS item, s.id IS NOT NULL AS has_conflict FROM {orders} o LEFT JOIN sides s ON s.id = o.o_orderkey""", "orders")
+@query("""
+    SELECT DISTINCT l_orderkey AS item FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AND l_returnflag <> 'R'""")
+def e06_unchanged_confirmation(spark, sf):
+    """Orders with kept lines from suppliers in credit."""
+    return lifecycle.confirmed(table(spark, sf, "lineitem"), table(spark, sf, "supplier").filter("s_acctbal > 0").withColumnRenamed("s_suppkey", "l_suppkey"), "l_orderkey", "l_suppkey", F.col("l_returnflag") != "R")
 
-standard("e01_illegal_transitions", """
-    SELECT conv_id, turn, before, role FROM (SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM {conversations}) t
-    WHERE before IS NOT NULL AND NOT ((before = 'system' AND role = 'user') OR (before = 'user' AND role = 'assistant') OR (before = 'assistant' AND role = 'user'))""", "conversations")
 
-standard("e06_unchanged_confirmation", """
-    SELECT DISTINCT l_orderkey AS item FROM {lineitem} WHERE l_suppkey IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 0) AND l_returnflag <> 'R'""", "lineitem", "supplier")
+@query("SELECT o_custkey AS subject, o_orderpriority AS core, o_orderstatus AS polarity, count(*) AS n, max(o_orderkey) AS latest FROM orders GROUP BY o_custkey, o_orderpriority, o_orderstatus")
+def e08_version_keys(spark, sf):
+    """Orders of one customer, priority and status as versions of one claim."""
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("subject"), F.col("o_orderpriority").alias("core"), F.col("o_orderstatus").alias("polarity"), "o_orderkey")
+    return lifecycle.version_keys(rows, ["subject", "core", "polarity"], "o_orderkey")
 
-standard("e08_version_keys", "SELECT o_custkey AS subject, o_orderpriority AS core, o_orderstatus AS polarity, count(*) AS n, max(o_orderkey) AS latest FROM {orders} GROUP BY o_custkey, o_orderpriority, o_orderstatus", "orders")
 
-standard("e10_supersede_edges", """
-    WITH s AS (SELECT o_custkey, min(o_orderkey) AS old_id, max(o_orderkey) AS new_id FROM {orders} GROUP BY o_custkey HAVING count(*) > 1)
+@query("""
+    WITH s AS (SELECT o_custkey, min(o_orderkey) AS old_id, max(o_orderkey) AS new_id FROM orders GROUP BY o_custkey HAVING count(*) > 1)
     SELECT new_id AS src, old_id AS dst, 'supersedes' AS relation FROM s
-    UNION SELECT l.l_partkey, s.new_id, 'depends_on' FROM {lineitem} l JOIN s ON s.old_id = l.l_orderkey""", "orders", "lineitem")
+    UNION SELECT l.l_partkey, s.new_id, 'depends_on' FROM lineitem l JOIN s ON s.old_id = l.l_orderkey""")
+def e10_supersede_edges(spark, sf):
+    """A customer's last order supersedes the first; parts of the first depend on the last."""
+    pairs = table(spark, sf, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("old_id"), F.max("o_orderkey").alias("new_id"), F.count("*").alias("n")).filter("n > 1")
+    return lifecycle.supersede_effect(pairs, table(spark, sf, "lineitem").select(F.col("l_partkey").alias("item"), F.col("l_orderkey").alias("depends_on")))
 
-standard("e11_review_log", "SELECT user_id AS item, min(ts) AS first_flagged, least(count(*), 50) AS n_log, count(*) FILTER (WHERE event_type = 'signup') AS n_resolved FROM {events} GROUP BY user_id", "events")
-
-standard("e12_e13_review_actions", """
-    SELECT o_orderkey AS item, CASE o_orderpriority WHEN '1-URGENT' THEN 'VERIFIED' WHEN '2-HIGH' THEN 'REJECTED' WHEN '3-MEDIUM' THEN 'STALE' WHEN '5-LOW' THEN 'SUPERSEDED' ELSE o_orderstatus END AS status,
-           o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AS closes_conflicts FROM {orders}""", "orders")
-
-standard("g02_opposing", """
-    SELECT a.l_orderkey AS item, a.l_linenumber AS line_a, b.l_linenumber AS line_b, a.l_returnflag <> b.l_returnflag OR a.l_linestatus <> b.l_linestatus AS opposing
-    FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey % 10 = b.l_suppkey % 10""", "lineitem")
 
-standard("g05_qualified_edges", """
-    SELECT a.o_orderkey AS src, b.o_orderkey AS dst, 'compatible_under' AS relation FROM {orders} a JOIN {orders} b ON a.o_custkey = b.o_custkey AND a.o_orderkey < b.o_orderkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus <> b.o_orderstatus
-    WHERE extract(YEAR FROM a.o_orderdate) <> extract(YEAR FROM b.o_orderdate)""", "orders")
+@query("SELECT user_id AS item, min(ts) AS first_flagged, least(count(*), 50) AS n_log, count(*) FILTER (WHERE event_type = 'signup') AS n_resolved FROM events GROUP BY user_id")
+def e11_review_log(spark, sf):
+    """Users' events as a review log."""
+    return lifecycle.review_log(table(spark, sf, "events"), "user_id", "ts", F.col("event_type") == "signup")
 
-standard("g06_new_edges", """
-    SELECT DISTINCT n.l_orderkey AS src, n.l_partkey AS dst FROM {lineitem} n LEFT JOIN {lineitem} o ON o.l_orderkey = n.l_orderkey AND o.l_partkey = n.l_partkey AND o.l_returnflag = 'N'
-    WHERE n.l_returnflag <> 'N' AND o.l_orderkey IS NULL AND n.l_orderkey <> n.l_partkey""", "lineitem")
 
-standard("g08_one_hop", """
-    SELECT c.c_custkey AS node, count(DISTINCT o.o_orderkey) AS n_dependents, count(DISTINCT c.c_nationkey) AS n_dependencies FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""", "customer", "orders")
+@query("""
+    SELECT o_orderkey AS item, CASE o_orderpriority WHEN '1-URGENT' THEN 'VERIFIED' WHEN '2-HIGH' THEN 'REJECTED' WHEN '3-MEDIUM' THEN 'STALE' WHEN '5-LOW' THEN 'SUPERSEDED' ELSE o_orderstatus END AS status,
+           o_orderpriority = '1-URGENT' AND o_orderstatus = 'O' AS closes_conflicts FROM orders""")
+def e12_e13_review_actions(spark, sf):
+    """Order priorities as review actions."""
+    actions = {"1-URGENT": "approve", "2-HIGH": "reject", "3-MEDIUM": "stale", "4-NOT SPECIFIED": "reopen", "5-LOW": "supersede"}
+    action = F.coalesce(*(F.when(F.col("o_orderpriority") == k, v) for k, v in actions.items()), F.lit(""))
+    return lifecycle.reviewed(table(spark, sf, "orders"), "o_orderkey", F.col("o_orderstatus"), action, F.col("o_orderstatus") == "O")
 
-standard("g13_edge_listing", """
-    SELECT o_orderkey AS node, 'out' AS direction, o_custkey AS other, c_mktsegment AS label FROM {orders} JOIN {customer} ON c_custkey = o_custkey
-    UNION ALL SELECT o_orderkey, 'in', l_partkey, l_returnflag FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey""", "orders", "customer", "lineitem")
 
-standard("g15_g18_revalidation", """
-    WITH last AS (SELECT user_id, max(ts) AS done FROM {events} WHERE event_type = 'purchase' GROUP BY user_id), changed AS (SELECT user_id, max(ts) AS at FROM {events} WHERE event_type IN ('error', 'signup') GROUP BY user_id)
-    SELECT c.user_id AS item, l.done IS NOT NULL AND l.done > c.at AS pointless FROM changed c LEFT JOIN last l ON l.user_id = c.user_id""", "events")
+@query("""
+    SELECT a.l_orderkey AS item, a.l_linenumber AS line_a, b.l_linenumber AS line_b, a.l_returnflag <> b.l_returnflag OR a.l_linestatus <> b.l_linestatus AS opposing
+    FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_suppkey % 10 = b.l_suppkey % 10""")
+def g02_opposing(spark, sf):
+    """Lines of an order from alike suppliers that differ in their flags; an order has a few lines."""
+    a = table(spark, sf, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 10).alias("core"), "l_linenumber", F.col("l_returnflag").alias("negated"), F.col("l_linestatus").alias("object"))
+    b = a.select("l_orderkey", *(F.col(c).alias(f"{c}_b") for c in ("core", "l_linenumber", "negated", "object")))
+    pairs = a.join(b, "l_orderkey").filter((F.col("l_linenumber") < F.col("l_linenumber_b")) & (F.col("core") == F.col("core_b")))
+    opposing = edges.opposing(*(F.col(x) for c in ("core", "negated", "object") for x in (c, f"{c}_b")))
+    return pairs.select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("line_a"), F.col("l_linenumber_b").alias("line_b"), opposing.alias("opposing"))
+
+
+@query("""
+    WITH o AS (SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus, year(o_orderdate) AS y FROM orders)
+    SELECT a.o_orderkey, (SELECT min(c.o_orderkey) FROM o c WHERE c.o_custkey = a.o_custkey AND c.o_orderpriority = a.o_orderpriority AND c.o_orderstatus = a.o_orderstatus AND c.y = a.y) AS class_id, count(*) AS n_partners
+    FROM o a JOIN o b ON a.o_custkey = b.o_custkey AND a.o_orderpriority = b.o_orderpriority AND a.o_orderstatus <> b.o_orderstatus AND a.y <> b.y GROUP BY a.o_orderkey, a.o_custkey, a.o_orderpriority, a.o_orderstatus, a.y""")
+def g05_qualified_edges(spark, sf):
+    """Orders of other status and year with the same customer and priority: compatible under their versions."""
+    rows = table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    return edges.partners(rows, "o_orderkey", ["o_custkey", "o_orderpriority"], ["o_orderstatus", "year"])
+
+
+@query("""
+    SELECT DISTINCT n.l_orderkey AS src, n.l_partkey AS dst FROM lineitem n LEFT JOIN lineitem o ON o.l_orderkey = n.l_orderkey AND o.l_partkey = n.l_partkey AND o.l_returnflag = 'N'
+    WHERE n.l_returnflag <> 'N' AND o.l_orderkey IS NULL AND n.l_orderkey <> n.l_partkey""")
+def g06_new_edges(spark, sf):
+    """Edges from returned lines that no kept line of the order has."""
+    rows = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), "l_returnflag")
+    return edges.new_edges(rows.filter("l_returnflag <> 'N'"), rows.filter("l_returnflag = 'N'"), ["src", "dst"])
+
+
+@query("""
+    SELECT c.c_custkey AS node, count(DISTINCT o.o_orderkey) AS n_dependents, count(DISTINCT c.c_nationkey) AS n_dependencies FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey""")
+def g08_one_hop(spark, sf):
+    """Customers' orders and nations as dependents and dependencies."""
+    made = table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("src"), F.concat(F.lit("c"), "o_custkey").alias("dst"))
+    made = made.union(table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey"), F.concat(F.lit("n"), "c_nationkey")))
+    nodes = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+    return edges.one_hop(nodes, made).select(F.substring("node", 2, 20).cast("long").alias("node"), "n_dependents", "n_dependencies")
+
+
+@query("""
+    SELECT o_orderkey AS node, 'out' AS direction, o_custkey AS other, c_mktsegment AS label FROM orders JOIN customer ON c_custkey = o_custkey
+    UNION ALL SELECT l_orderkey, 'in', l_partkey, l_returnflag FROM lineitem""")
+def g13_edge_listing(spark, sf):
+    """Orders' customers and parts as edges seen from both ends, of which the orders' are listed."""
+    out = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("c_custkey") == F.col("o_custkey")).select(F.col("o_orderkey").alias("src"), F.col("o_custkey").alias("dst"), F.col("c_mktsegment").alias("label"))
+    into = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_orderkey").alias("dst"), F.col("l_returnflag").alias("label"))
+    return edges.listing(out).filter("direction = 'out'").union(edges.listing(into).filter("direction = 'in'"))
+
+
+@query("""
+    WITH last AS (SELECT user_id, max(ts) AS done FROM events WHERE event_type = 'purchase' GROUP BY user_id), changed AS (SELECT user_id, max(ts) AS at FROM events WHERE event_type IN ('error', 'signup') GROUP BY user_id)
+    SELECT c.user_id AS item, l.done IS NOT NULL AND l.done > c.at AS pointless FROM changed c LEFT JOIN last l ON l.user_id = c.user_id""")
+def g15_g18_revalidation(spark, sf):
+    """Users as items, purchases as revalidations, errors and signups as changes."""
+    rows = table(spark, sf, "events")
+    return lifecycle.pointless(rows.filter("event_type = 'purchase'"), rows.filter("event_type IN ('error', 'signup')"), "user_id", "ts")
 
 
 @query("SELECT l_orderkey AS item, list_sort(list_distinct(list(l_suppkey))) AS documents FROM lineitem WHERE l_linestatus = 'F' GROUP BY 1")
@@ -110,7 +228,13 @@ def r03_synonyms(spark, sf):
     return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", F.array_sort(F.array_distinct(added)).alias("added"))
 
 
-standard("r35_source_facts", "SELECT s_suppkey AS source, CAST(floor(greatest(s_acctbal, 0) / 100) AS INT) AS authority, r_name AS class FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey", "supplier", "nation", "region")
+@query("SELECT s_suppkey AS source, CAST(floor(greatest(s_acctbal, 0) / 100) AS INT) AS authority, r_name AS class FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+def r35_source_facts(spark, sf):
+    """Suppliers' authority and class, by joins with two small dimensions."""
+    places = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    rows = table(spark, sf, "supplier").join(places, F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.select(F.col("s_suppkey").alias("source"), F.floor(F.greatest("s_acctbal", F.lit(0)) / 100).cast("int").alias("authority"), F.col("r_name").alias("class"))
+
 
 standard("r37_expansion", """
     SELECT subject, max(CASE WHEN role = 'foundation' THEN id END) AS foundation, min(CASE WHEN role = 'negative' THEN id END) AS negative, min(CASE WHEN role = 'example' THEN id END) AS example
@@ -123,17 +247,44 @@ def p09_trust_notes(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.array_join(F.array_compact(notes), "; ").alias("notes"))
 
 
-standard("p10_regeneration", """
-    SELECT q.conv_id, q.turn, length(b.text) > length(a.text) AND a.text <> b.text AND length(a.text) > 20 AS accepted FROM {conversations} q
-    JOIN {conversations} a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 JOIN {conversations} b ON b.conv_id = q.conv_id AND b.turn = q.turn + 3 WHERE q.role = 'user'""", "conversations")
-
-standard("v03_citation_validity", """
-    SELECT l.l_orderkey AS question, count(*) AS n_cited, count(p.p_partkey) AS n_retrieved, bool_and(p.p_partkey IS NOT NULL AND l.l_linestatus = 'F') AS ok
-    FROM {lineitem} l LEFT JOIN (SELECT p_partkey FROM {part} WHERE p_size <= 45) p ON p.p_partkey = l.l_partkey GROUP BY l.l_orderkey""", "lineitem", "part")
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS f, list_distinct(regexp_extract_all(lower(text), '([a-z0-9]+)', 1)) AS w FROM conversations),
+    p AS (SELECT q.conv_id, q.turn, q.w, a.f AS f1, b.f AS f2, len(list_intersect(q.w, a.w)) AS n1, len(list_intersect(q.w, b.w)) AS n2 FROM t q JOIN t a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 JOIN t b ON b.conv_id = q.conv_id AND b.turn = q.turn + 3 WHERE q.role = 'user')
+    SELECT conv_id, turn, n1 < len(w) AND n2 > 0 AND n2 > n1 AND f1 <> f2 AND NOT (length(f1) <= 400 AND regexp_matches(f1, 'does not contain|do not contain|not enough|insufficient|no verified information|does not cover|not covered|cannot answer|no information|not available in the knowledge|not possible to determine|not possible to answer')) AS accepted FROM p""")
+def p10_regeneration(spark, sf):
+    """A second answer replaces the first where that one is incomplete, and the second covers more of the question."""
+    t = table(spark, sf, "conversations").withColumn("words", F.array_distinct(X.words("text")))
+    answers = {n: t.select("conv_id", (F.col("turn") - n).alias("turn"), F.col("text").alias(f"text_{n}"), F.col("words").alias(f"words_{n}")) for n in (1, 3)}
+    rows = t.filter("role = 'user'").join(answers[1], ["conv_id", "turn"]).join(answers[3], ["conv_id", "turn"])
+    one, two = (F.size(F.array_intersect("words", f"words_{n}")) for n in (1, 3))
+    return rows.select("conv_id", "turn", checks.regenerated(F.col("text_1"), F.col("text_3"), one >= F.size("words"), two, one, two).alias("accepted"))
+
+
+@query("""
+    SELECT l_orderkey AS question, count(*) AS n_cited, count(*) FILTER (WHERE p_partkey IS NOT NULL AND l_linestatus = 'F') AS n_valid, bool_and(p_partkey IS NOT NULL AND l_linestatus = 'F') AS ok
+    FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size <= 45) ON p_partkey = l_partkey GROUP BY l_orderkey""")
+def v03_citation_validity(spark, sf):
+    """Order lines as citations of parts: retrieved are parts up to size 45, verified are final lines."""
+    cited = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("question"), F.col("l_partkey").alias("id"), (F.col("l_linestatus") == "F").alias("verified"))
+    return checks.citations(cited, table(spark, sf, "part").filter("p_size <= 45").select(F.col("p_partkey").alias("id")), ["question"], "id")
+
+
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, role, text, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS f FROM conversations),
+    c AS (SELECT q.conv_id, q.turn, q.conv_id % 4 <> 0 OR regexp_matches(a.f, 'stale|outdated|may be out of date|no longer') AS fresh, q.conv_id % 5 <> 0 OR regexp_matches(a.f, 'conflict|disagree|contradict|differ') AS agreed,
+      q.conv_id % 3 <> 0 OR contains(a.f, trim(regexp_replace(lower(split_part(trim(q.text), ' ', 1)), '\s+', ' ', 'g'))) AS version, q.turn % 2 = 1 OR q.conv_id % 7 = 0 AS judged FROM t q JOIN t a ON a.conv_id = q.conv_id AND a.turn = q.turn + 1 WHERE q.role = 'user')
+    SELECT conv_id, turn, fresh AND agreed AND version AND judged AS passed, CASE WHEN NOT fresh THEN 'stale' WHEN NOT agreed THEN 'contradiction' WHEN NOT version THEN 'version' WHEN NOT judged THEN 'judge' ELSE 'none' END AS failure FROM c""")
+def v06_v08_pass_rule(spark, sf):
+    """Users' turns with their answers: stale, conflict and version checks, then the rule over gates and judge."""
+    t = table(spark, sf, "conversations")
+    rows = t.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("question")).join(t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer")), ["conv_id", "turn"])
+    fresh = checks.flagged_if_cited(F.col("answer"), F.col("conv_id") % 4 == 0, checks.STALE_WORDS)
+    agreed = checks.flagged_if_cited(F.col("answer"), F.col("conv_id") % 5 == 0, checks.CONFLICT_WORDS)
+    version = checks.names_version(F.col("answer"), F.when(F.col("conv_id") % 3 == 0, F.split_part(F.trim("question"), F.lit(" "), F.lit(1))))
+    judged, declines = F.col("turn") % 2 == 1, F.col("conv_id") % 7 == 0
+    passed = checks.passed([fresh, agreed, version], judged, declines)
+    return rows.select("conv_id", "turn", passed.alias("passed"), checks.first_failure(("stale", fresh), ("contradiction", agreed), ("version", version), ("judge", declines | judged)).alias("failure"))
 
-standard("v06_v08_pass_rule", """
-    WITH c AS (SELECT o_orderkey AS question, o_orderstatus <> 'P' AS fresh, o_totalprice < 400000 AS agreed, o_orderpriority NOT LIKE '5%' AS judged FROM {orders})
-    SELECT question, fresh AND agreed AND judged AS passed, CASE WHEN NOT fresh THEN 'stale' WHEN NOT agreed THEN 'contradiction' WHEN NOT judged THEN 'judge' ELSE 'none' END AS failure FROM c""", "orders")
 
 standard("v16_v20_run_summary", """
     SELECT o_orderpriority AS dataset, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_passed, round(CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS DOUBLE) / count(*), 10) AS accuracy FROM {orders} GROUP BY o_orderpriority""", "orders")
@@ -152,12 +303,26 @@ def x12_record_validation(spark, sf):
 standard("x14_record_text", """
     SELECT o_orderkey AS id, concat_ws('. ', 'Order of ' || c_name, 'Status ' || o_orderstatus, 'Priority ' || o_orderpriority) AS body FROM {orders} JOIN {customer} ON c_custkey = o_custkey""", "orders", "customer")
 
-standard("o15_reembed", "SELECT vec_id FROM {embeddings} WHERE vec_id % 9 = 0 OR label IS NULL", "embeddings")
+@query("SELECT vec_id FROM embeddings WHERE vec_id % 9 = 0 OR label IS NULL")
+def o15_reembed(spark, sf):
+    """Vectors of another model or without one, which are to be made anew."""
+    return store.to_embed(table(spark, sf, "embeddings"), "vec_id", F.col("label").isNull() | (F.col("vec_id") % 9 == 0))
+
+
+@query("""
+    SELECT event_type AS job, user_id AS domain, min(event_id) AS accepted, count(*) - 1 AS n_rejected FROM events WHERE event_type IN ('signup', 'purchase') GROUP BY event_type, user_id""")
+def o19_single_flight(spark, sf):
+    """Of a user's requests of one kind the first runs."""
+    rows = table(spark, sf, "events").filter("event_type IN ('signup', 'purchase')").select(F.col("event_type").alias("job"), F.col("user_id").alias("domain"), "event_id")
+    return lifecycle.single_flight(rows, ["job", "domain"], "event_id")
+
 
-standard("o19_single_flight", """
-    SELECT event_type AS job, user_id AS domain, min(event_id) AS accepted, count(*) - 1 AS n_rejected FROM {events} WHERE event_type IN ('signup', 'purchase') GROUP BY event_type, user_id""", "events")
+@query("SELECT n_name AS setting, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'stored' END, CASE WHEN n_nationkey % 2 = 0 THEN 'environment' END, 'default') AS origin FROM nation")
+def o20_layered_settings(spark, sf):
+    """Where a setting's value comes from: stored, else the environment, else the default."""
+    origin = lifecycle.layered(("stored", F.col("n_nationkey") % 3 == 0), ("environment", F.col("n_nationkey") % 2 == 0))
+    return table(spark, sf, "nation").select(F.col("n_name").alias("setting"), origin.alias("origin"))
 
-standard("o20_layered_settings", "SELECT n_name AS setting, coalesce(CASE WHEN n_nationkey % 3 = 0 THEN 'stored' END, CASE WHEN n_nationkey % 2 = 0 THEN 'environment' END, 'default') AS origin FROM {nation}", "nation")
 
 standard("l02_item_detail", """
     WITH e AS (SELECT l_orderkey, count(DISTINCT l_suppkey) AS n FROM {lineitem} GROUP BY l_orderkey), r AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM {orders} GROUP BY o_custkey, o_orderpriority)

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..operators import checks
 from ..operators import retrieval as R
 from ..session import staged, table
-from .registry import query, standard
+from .registry import query
 
 WORDS = "regexp_extract_all(lower(text), '([a-z0-9]+)', 1)"
 POSTS = f"SELECT DISTINCT doc_id AS id, unnest({WORDS}) AS term FROM documents"
@@ -36,9 +37,12 @@ def n_docs(spark, sf):
 def r20_d05_vector_topk(spark, sf):
     """The ten nearest of the same topic for every twentieth vector."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    q = v.filter("id % 20 = 0").select(F.col("id").alias("query"), "label", F.col("vector").alias("qv"))
-    pairs = q.join(v, "label").filter("id <> query").select("query", "id", F.round(R.cosine_distance(F.col("qv"), F.col("vector")), 6).alias("distance"))
-    return R.top(pairs, "query", [F.col("distance"), F.col("id")], 10, "rank")
+    found = None
+    for q in R.in_blocks(v.filter("id % 20 = 0").select(F.col("id").alias("query"), "label", F.col("vector").alias("qv"))):
+        pairs = v.join(F.broadcast(q), "label").filter("id <> query").select("query", "id", F.round(R.cosine_distance(F.col("qv"), F.col("vector")), 6).alias("distance"))
+        lists = R.top(pairs, "query", [F.col("distance"), F.col("id")], 10, "rank")
+        found = lists if found is None else found.union(lists)
+    return found
 
 
 @query(f"WITH post AS ({POSTS}) SELECT term, df, round(idf, 6) AS idf FROM ({IDF})")
@@ -197,9 +201,21 @@ def p05_completeness(spark, sf):
     return t.filter("role = 'user'").join(a, ["conv_id", "turn"]).select("conv_id", "turn", F.round(F.when(n == 0, 1.0).otherwise(hit / n), 3).alias("score"), (n - hit < F.greatest(F.lit(1), F.floor((n + 1) / 2))).alias("ok"))
 
 
-standard("p06_context_pack", """
-    SELECT conv_id, count(*) AS n_blocks, CAST(max(used) AS BIGINT) AS n_chars FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM {conversations}) x
-    WHERE used <= 1400 OR n = 1 GROUP BY conv_id""", "conversations")
+@query("""
+    SELECT conv_id, count(*) AS n_blocks, CAST(max(used) AS BIGINT) AS n_chars FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS used, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) x
+    WHERE used <= 1400 OR n = 1 GROUP BY conv_id""")
+def p06_context_pack(spark, sf):
+    """A conversation's first turns as context blocks, up to a number of characters."""
+    return checks.packed(table(spark, sf, "conversations"), "conv_id", "turn", F.length("text"), 1400).groupBy("conv_id").agg(F.count("*").alias("n_blocks"), F.max("used").alias("n_chars"))
+
+
+@query(r"""SELECT conv_id, 'Turns of conversation ' || conv_id || chr(10) || string_agg('[' || n || '] ' || role || ': ' || w, chr(10) ORDER BY turn) AS plan
+    FROM (SELECT conv_id, turn, role, split_part(text, ' ', 1) AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations WHERE text IS NOT NULL) GROUP BY 1""")
+def p12_plan_text(spark, sf):
+    """A conversation's turns rendered as a numbered plan; a conversation is a bounded list."""
+    point = F.concat_ws(": ", "role", F.split_part("text", F.lit(" "), F.lit(1)))
+    turns = table(spark, sf, "conversations").filter("text IS NOT NULL").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", point.alias("p")))).alias("t"))
+    return turns.select("conv_id", checks.plan_lines(F.concat(F.lit("Turns of conversation "), F.col("conv_id").cast("string")), F.col("t.p")).alias("plan"))
 
 
 @query(r"SELECT conv_id, turn, list_sort(list_distinct([x::INT FOR x IN regexp_extract_all(text || ' [' || turn || '] [' || (turn + 1) || '] [99]', '\[([0-9]+)\]', 1) IF x::INT BETWEEN 1 AND 8])) AS citations FROM conversations")
@@ -210,4 +226,10 @@ def p07_citations(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.array_sort(F.array_distinct(F.filter(numbers, lambda x: x.between(1, 8)))).alias("citations"))
 
 
-standard("p08_abstention", "SELECT conv_id, turn, length(text) <= 400 AND (lower(text) LIKE '%the on%' OR lower(text) LIKE '%la que%' OR lower(text) LIKE '%der ein%') AS abstains FROM {conversations} WHERE role = 'assistant'", "conversations")
+@query(r"""
+    WITH t AS (SELECT conv_id, turn, trim(regexp_replace(lower(text || CASE WHEN turn % 4 = 2 THEN ' The base does not cover this.' ELSE '' END), '\s+', ' ', 'g')) AS f FROM conversations WHERE role = 'assistant')
+    SELECT conv_id, turn, length(f) <= 400 AND regexp_matches(f, 'does not contain|do not contain|not enough|insufficient|no verified information|does not cover|not covered|cannot answer|no information|not available in the knowledge|not possible to determine|not possible to answer') AS abstains FROM t""")
+def p08_abstention(spark, sf):
+    """Short answers that decline (a decline is appended to some: the texts hold none)."""
+    said = F.concat("text", F.when(F.col("turn") % 4 == 2, " The base does not cover this.").otherwise(""))
+    return table(spark, sf, "conversations").filter("role = 'assistant'").select("conv_id", "turn", checks.abstains(said).alias("abstains"))

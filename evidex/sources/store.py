@@ -26,6 +26,23 @@ def crawl_upsert(stored: DataFrame, fetched: DataFrame, key: list[str], min_char
     )
 
 
+def catalogue_upsert(stored: DataFrame, declared: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, action, fields): declared entries inserted, updated where a field differs, or the same; stored ones that are no
+    longer declared are absent and keep their fields."""
+    old = stored.select(key, *(F.col(c).alias(f"_{c}") for c in fields), F.lit(True).alias("_old"))
+    both = old.join(declared.select(key, *fields, F.lit(True).alias("_new")), key, "full_outer")
+    differ = F.lit(False)
+    for c in fields:
+        differ = differ | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    action = F.when(F.col("_old").isNull(), "insert").when(F.col("_new").isNull(), "absent").when(differ, "update").otherwise("same")
+    return both.select(key, action.alias("action"), *(F.when(F.col("_new").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields))
+
+
+def to_embed(vectors: DataFrame, id: str, outdated: Column) -> DataFrame:
+    """The ids whose vector is missing or of another model."""
+    return vectors.filter(outdated).select(id)
+
+
 def raw_key(body: Column, domain: Column, extension: str) -> Column:
     """The content address of a raw object."""
     digest = F.sha2(body, 256)

@@ -63,7 +63,7 @@ def test_chunks_cover_and_fit(seed):
     words = lambda n: " ".join(rng.choice(["alpha", "beta.", "gamma!", "delta"]) for _ in range(n))
     text = "\n\n".join(rng.choice(["# H", "## I", words(rng.randrange(1, 300))]) for _ in range(20))
     got = chunking.chunks(text, 500, 200)
-    assert all(len(c.text) <= 500 for c in got)
+    assert all(len(c.text) <= 500 + 200 + 2 for c in got)  # a small chunk takes in a whole piece
     assert all(text[c.start : c.start + 20].startswith(c.text[: min(20, len(c.text.split("\n\n")[0]))][:15]) for c in got)
     kept = "".join(re.findall(r"\w+", " ".join(c.text for c in got)))
     body = re.sub(r"^#+ .*$", "", text, flags=re.M)
@@ -71,6 +71,15 @@ def test_chunks_cover_and_fit(seed):
     assert 0 <= lost <= 40 * 20
 
 
+def test_small_chunks_take_in_what_lies_under_their_next_parent():
+    small, long = "tiny text", "long text " * 40
+    joined = lambda text: [(c.index, c.heading_path, c.text) for c in chunking.chunks(text, 2000, 200)]
+    # Previous [A, B], next [C]: the next one's parent is the root, under which everything lies.
+    assert joined(f"# A\n## B\n{small}\n# C\n{long}") == [(0, ["A", "B"], f"{small}\n\n{long.strip()}")]
+    assert joined(f"# A\n{small}\n## B\n{long}") == [(0, ["A"], f"{small}\n\n{long.strip()}")]
+    assert joined(f"# A\n{small}\n# B\n## C\n{long}") == [(1, ["B", "C"], long.strip())]
+
+
 def test_chunk_hash_ignores_white_space():
     a, b = chunking.Chunk(0, ["H"], "x  y\nz", 0, 5), chunking.Chunk(3, ["H"], "x y z", 9, 14)
     assert a.hash == b.hash == hashlib.sha256(b"H\nx y z").hexdigest() != chunking.Chunk(0, [], "x y z", 0, 5).hash
