@@ -111,7 +111,7 @@ def derived_scores(items: DataFrame, premises: DataFrame, most_rounds: int = 64)
             .when((F.col("was") == "VERIFIED") & (target == "SUPPORTED"), "VERIFIED")
             .otherwise(target)
         )
-        made = rows.select("id", F.round(F.coalesce("weakest", F.lit(0.0)) * F.when(alive, DISCOUNT).otherwise(DEAD), 4).alias("confidence"), level.cast("int").alias("level"), status.alias("status"))
+        made = rows.select("id", F.round(F.coalesce("weakest", F.lit(0.0)).cast("decimal(20,6)") * F.when(alive, F.lit(DISCOUNT).cast("decimal(3,2)")).otherwise(F.lit(DEAD).cast("decimal(3,2)")), 4).cast("double").alias("confidence"), level.cast("int").alias("level"), status.alias("status"))
         after = staged(now.join(derived, "id", "left_anti").unionByName(made), "derived")
         changed = not after.exceptAll(now).isEmpty()
         now = after

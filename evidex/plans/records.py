@@ -68,10 +68,10 @@ def d14_rederived_items(spark, sf):
     other AS (SELECT p.id, b.confidence, b.level, b.status FROM p JOIN b ON b.id = p.premise WHERE p.premise % 4 <> 0),
     s AS (SELECT id, min(confidence) AS weakest, min(level) AS lowest, bool_and(status IN ('SUPPORTED', 'VERIFIED')) AS alive FROM other GROUP BY 1),
     up AS (
-      SELECT id, round(weakest * CASE WHEN alive THEN 0.9 ELSE 0.5 END, 4) AS confidence, CASE WHEN alive THEN least(lowest, 3) ELSE 0 END AS level, CASE WHEN alive THEN 'SUPPORTED' ELSE 'CANDIDATE' END AS status
+      SELECT id, CAST(round(CAST(weakest AS DECIMAL(20, 6)) * CASE WHEN alive THEN 0.90 ELSE 0.50 END, 4) AS DOUBLE) AS confidence, CASE WHEN alive THEN least(lowest, 3) ELSE 0 END AS level, CASE WHEN alive THEN 'SUPPORTED' ELSE 'CANDIDATE' END AS status
       FROM s WHERE id NOT IN (SELECT id FROM p WHERE premise % 4 = 0)
       UNION ALL
-      SELECT c.id, round(least(u.confidence, coalesce(s.weakest, u.confidence)) * CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN 0.9 ELSE 0.5 END, 4),
+      SELECT c.id, CAST(round(CAST(least(u.confidence, coalesce(s.weakest, u.confidence)) AS DECIMAL(20, 6)) * CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN 0.90 ELSE 0.50 END, 4) AS DOUBLE),
              CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN least(u.level, coalesce(s.lowest, u.level), 3) ELSE 0 END, CASE WHEN u.status = 'SUPPORTED' AND coalesce(s.alive, true) THEN 'SUPPORTED' ELSE 'CANDIDATE' END
       FROM up u JOIN p c ON c.premise = u.id AND c.id = 2 * u.id LEFT JOIN s ON s.id = c.id)
     SELECT id, confidence, level, status FROM up""")
