@@ -78,29 +78,6 @@ def r24_rare_terms(spark, sf):
     return R.rare_terms(t, R.document_frequency(p, n), n).select("query", "term", "df")
 
 
-@query("""
-    WITH s AS (SELECT lower(split_part(text, ' ', 1)) AS subject, count(*) AS n FROM documents GROUP BY 1), g AS (SELECT DISTINCT item_id AS query, unnest(string_split(lower(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS subject FROM benchmark)
-    SELECT query, subject, n, round((CASE WHEN length(subject) > 3 THEN 1.0 ELSE 0.5 END) / (1 + log2(n)), 6) AS weight FROM g JOIN s USING (subject) WHERE subject <> ''""")
-def r05_r06_r25_entities(spark, sf):
-    """Words of a question that are subjects, with their specificity."""
-    subjects = table(spark, sf, "documents").groupBy(F.lower(F.split_part("text", F.lit(" "), F.lit(1))).alias("subject")).agg(F.count("*").alias("n"))
-    grams = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), F.explode(F.split(F.lower(F.regexp_replace("text", r"\s+", " ")), " ")).alias("subject")).distinct()
-    weight = F.when(F.length("subject") > 3, 1.0).otherwise(0.5) / (1 + F.log2("n"))
-    return grams.join(subjects, "subject").filter("subject <> ''").select("query", "subject", "n", F.round(weight, 6).alias("weight"))
-
-
-INTENTS = [("comparison", "(^| )(than|als|que) "), ("definition", "^(the|der|le|el|la) "), ("purpose", "(^| )(for|für|pour|para) "), ("origin", "(^| )(from|von|de) ")]
-
-
-@query("SELECT conv_id, turn, CASE " + " ".join(f"WHEN regexp_matches(lower(text), '{c}') THEN '{n}'" for n, c in INTENTS) + " ELSE 'general' END AS intent, nullif(regexp_extract(text, '((?:19|20)[0-9]{2}|[0-9]+\\.[0-9]+)', 1), '') AS version FROM conversations WHERE role = 'user'")
-def r07_r08_intent(spark, sf):
-    """The first intent whose cue occurs, in a fixed order of priority, and a version mentioned."""
-    t = F.lower("text")
-    found = F.coalesce(*(F.when(t.rlike(c), n) for n, c in INTENTS), F.lit("general"))
-    version = F.regexp_extract("text", r"((?:19|20)[0-9]{2}|[0-9]+\.[0-9]+)", 1)
-    return table(spark, sf, "conversations").filter("role = 'user'").select("conv_id", "turn", found.alias("intent"), F.when(version != "", version).alias("version"))
-
-
 VECTORS = """v AS (SELECT vec_id, label, list_transform(embedding, lambda z: z::DOUBLE) AS e FROM embeddings),
     vec AS (SELECT * FROM (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY distance, id) AS vec_rank FROM (SELECT q.vec_id AS query, i.vec_id AS id, round(1 - list_inner_product(q.e, i.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(i.e, i.e))), 9) AS distance FROM v q JOIN v i ON q.label = i.label JOIN benchmark ON item_id = q.vec_id)) WHERE vec_rank <= 50)"""
 
@@ -162,20 +139,6 @@ def r36_diversified(spark, sf):
     return R.diversified(found.withColumn("words", F.array_distinct(F.transform(X.words("text"), lambda w: F.xxhash64(w)))).drop("text"))
 
 
-@query(FUSED + """, r AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0) DESC, id) AS rank FROM u),
-    d AS (SELECT doc_id AS id, authority, penalty FROM (SELECT doc_id, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 1.0 ELSE 0.4 END AS authority, CASE WHEN toxic = 1 THEN 0.5 WHEN quality = 0 THEN 0.25 ELSE 0 END AS penalty FROM documents LEFT JOIN labels USING (doc_id)))
-    SELECT query, id, round(0.6::DOUBLE / (15 + rank) + 0.02 * authority - 0.05 * penalty, 6) AS score FROM r JOIN d USING (id) WHERE rank <= 20""")
-def r31_signals(spark, sf):
-    """Fusion with authority and trust penalties: the score is the sum of its recorded signals."""
-    pool = R.hybrid(vectors(spark, sf), lexical(spark, sf), 20)
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    authority = F.when(F.col("source").isin("src0", "src1", "src2"), 1.0).otherwise(0.4)
-    penalty = F.when(F.col("toxic") == 1, 0.5).when(F.col("quality") == 0, 0.25).otherwise(0.0)
-    rows = pool.join(docs.select(F.col("doc_id").alias("id"), authority.alias("authority"), penalty.alias("penalty")), "id")
-    signals = F.struct((0.6 / (15 + F.col("rank"))).alias("fusion"), (0.02 * F.col("authority")).alias("authority"), (-0.05 * F.col("penalty")).alias("trust"))
-    return rows.withColumn("s", signals).select("query", "id", F.round(F.col("s.fusion") + F.col("s.authority") + F.col("s.trust"), 6).alias("score"))
-
-
 @query(f"""
     WITH w AS (SELECT conv_id, turn, unnest({WORDS}) AS a, generate_subscripts({WORDS}, 1) AS p FROM conversations),
     b AS (SELECT conv_id, turn, a, lead(a) OVER (PARTITION BY conv_id, turn ORDER BY p) AS b FROM w)
