@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +68,74 @@ def canonical_link(page: Column | str) -> Column:
     return F.coalesce(*(F.when(canonical_url(f) != "", canonical_url(f)) for f in found))
 
 
+#: Elements without main text, elements that end a line, and character references that are read.
+DROPPED = "script style nav header footer aside form noscript template svg".split()
+BLOCKS = "p div section article ul ol li table tr h1 h2 h3 h4 h5 h6 br pre blockquote main td th dl dt dd figure figcaption".split()
+REFERENCES = {"nbsp": " ", "middot": "·", "copy": "©", "quot": '"', "lt": "<", "gt": ">", "amp": "&"}
+
+
+def main_text(page: Column | str) -> Column:
+    """A page's article, else its body, without menus, forms, scripts and markup, a line per block: a plain reading by
+    patterns, for pages that are well formed."""
+    t = F.col(page) if isinstance(page, str) else page
+    for tag in DROPPED:
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
+    inner = [F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "body")]
+    t = F.coalesce(*(F.when(x != "", x) for x in inner), t)
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
+    t = F.regexp_replace(t, "<[^>]*>", "")
+    for name, char in REFERENCES.items():
+        t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
+    t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")
+    return F.trim(F.regexp_replace(t, r"^\s+|\s+$", ""))
+
+
+def reader(content_type: Column, url: Column) -> Column:
+    """pdf by type or by the path's ending, else html."""
+    return F.when(F.lower(content_type).startswith("application/pdf") | F.lower(path(url)).endswith(".pdf"), "pdf").otherwise("html")
+
+
+def public_address(host: Column) -> Column:
+    """Whether an address may be fetched; null for what is no address. Numbers, hexadecimal and octal parts are read as
+    systems read them; addresses of version 6 that hold one of version 4 are judged by that."""
+
+    @F.pandas_udf("boolean")
+    def run(hosts: pd.Series) -> pd.Series:
+        return hosts.map(lambda h: _public(h or ""), na_action=None)
+
+    return run(host)
+
+
+def _public(host: str) -> bool | None:
+    import ipaddress
+
+    try:
+        address = ipaddress.ip_address(host.strip("[]")) if ":" in host else ipaddress.ip_address(_number(host))
+    except ValueError:
+        return None
+    if address.version == 6:
+        inner = address.ipv4_mapped or address.sixtofour or (address.teredo[1] if address.teredo else None)
+        address = inner or address
+    shared = address.version == 4 and address in ipaddress.ip_network("100.64.0.0/10")
+    return address.is_global and not (shared or address.is_multicast or address.is_reserved)
+
+
+def _number(host: str) -> int:
+    """An address of version 4 in one to four parts, each decimal, octal or hexadecimal; the last fills what is left."""
+    parts = host.split(".")
+    values = [int(p, 16 if p[:2].lower() == "0x" else 8 if len(p) > 1 and p[0] == "0" else 10) for p in parts]
+    *first, last = values
+    if len(parts) > 4 or any(not 0 <= v < 256 for v in first) or not 0 <= last < 256 ** (5 - len(parts)):
+        raise ValueError(host)
+    return sum(v << 8 * (3 - i) for i, v in enumerate(first)) + last
+
+
+def surface(text: Column, stem: Column) -> Column:
+    """The first word of a text that begins with a stem, as written; null where none does."""
+    found = F.regexp_substr(text, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(stem, r"([\\.+*?()\[\]{}|^$-])", r"\\$1"), F.lit(r"[\w-]*")))
+    return F.when(stem != "", found)
+
+
 def url_key(url: Column | str) -> Column:
     """Host and path for comparison: lower-cased, no trailing slash, no query."""
     return F.lower(F.concat(host(url), F.regexp_replace(path(url), "/+$", "")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -33,6 +33,21 @@ def reachable(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(closed, ["start", "target"], "left").select("start", "target", (F.coalesce("_found", F.lit(False)) | (F.col("start") == F.col("target"))).alias("reachable"))
 
 
+def frontier(seeds: DataFrame, links: DataFrame, scope: DataFrame, id: str, max_depth: int, max_pages: int) -> DataFrame:
+    """(seed, id, depth) of the pages that a crawl visits from each seed: breadth first along `links` (src, dst) within
+    `scope` (id), a page once, down to `max_depth`, and the first `max_pages` by depth and id."""
+    start = seeds.select(F.col(id).alias("seed"), id, F.lit(0).alias("depth"))
+    seen = layer = staged(start, "frontier")
+    for depth in range(1, max_depth + 1):
+        step = layer.select("seed", F.col(id).alias("src")).join(links, "src").select("seed", F.col("dst").alias(id)).distinct()
+        layer = staged(step.join(scope.select(id), id, "left_semi").join(seen.select("seed", id), ["seed", id], "left_anti").select("seed", id, F.lit(depth).alias("depth")), "frontier")
+        if layer.isEmpty():
+            break
+        seen = seen.unionByName(layer)
+    nth = F.row_number().over(Window.partitionBy("seed").orderBy("depth", id))
+    return seen.withColumn("_n", nth).filter(F.col("_n") <= max_pages).drop("_n")
+
+
 def flag_dependents(closed: DataFrame, items: DataFrame, labels: str = "status") -> DataFrame:
     """(node, root, hops, reason) for reached items that are neither rejected nor superseded; the nearest root gives the reason."""
     live = closed.join(items.select("node", labels), "node").filter(~F.col(labels).isin("REJECTED", "SUPERSEDED"))

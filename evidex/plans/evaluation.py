@@ -10,9 +10,9 @@ from ..session import staged, table
 from ..sources import store
 from . import retrieval
 from .registry import query, standard
-from .text import NORM, c06_quote_location
+from .text import NORM, QUOTES, c06_quote_location
 
-C06 = r"""q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS quote FROM benchmark), found AS (SELECT item_id AS query, doc_id AS id FROM q JOIN documents ON contains(regexp_replace(lower(text), '\s+', ' ', 'g'), quote))"""
+C06 = QUOTES + ", found AS (SELECT item_id AS query, doc_id AS id FROM best)"
 
 
 @query(r"""
@@ -53,7 +53,7 @@ def v18_v19_concept_rank(spark, sf):
     return rows.select("query", F.round("mrr", 6).alias("mrr"), "hit", checks.retrieval_missed(F.lit(10), F.col("recall"), F.col("precision")).alias("missed"))
 
 
-@query(f"WITH {C06} SELECT item_id, count(id) > 0 AS in_corpus, CASE WHEN count(id) = 0 THEN 'not covered' WHEN count(id) = 1 THEN 'single source' ELSE 'covered' END AS class FROM q LEFT JOIN found ON query = item_id GROUP BY 1")
+@query(f"WITH {C06} SELECT item_id, count(id) > 0 AS in_corpus, CASE WHEN count(id) = 0 THEN 'not covered' WHEN count(id) = 1 THEN 'single source' ELSE 'covered' END AS class FROM benchmark LEFT JOIN found ON query = item_id GROUP BY 1")
 def v07_v09_v10_coverage(spark, sf):
     """Whether the corpus holds a question's passage, and the class of failure if it doesn't."""
     found = c06_quote_location(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"))

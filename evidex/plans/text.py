@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import quotes
 from ..functions import text as X
 from ..functions.chunking import chunked
+from ..operators import graph
 from ..session import table
 from .registry import query
 
@@ -27,8 +29,8 @@ def b01_url_canonical(spark, sf):
 
 @query(f"SELECT doc_id, length({NORM.format('text')}) AS n_chars, 'sha256:' || sha256({NORM.format('text')}) AS content_hash, CASE WHEN regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') <> '' THEN sha256(regexp_replace(lower(text), '[^0-9a-z]+', '', 'g')) END AS fingerprint FROM documents")
 def b02_b03_b04_text_hashes(spark, sf):
-    docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.length(X.normalized("text")).cast("long").alias("n_chars"), X.content_hash("text").alias("content_hash"), X.fingerprint("text").alias("fingerprint"))
+    docs = table(spark, sf, "documents").select("doc_id", X.normalized("text").alias("normal"), X.fingerprint("text").alias("fingerprint"))  # normalized once
+    return docs.select("doc_id", F.length("normal").cast("long").alias("n_chars"), F.concat(F.lit("sha256:"), F.sha2("normal", 256)).alias("content_hash"), "fingerprint")
 
 
 @query(f"""
@@ -43,11 +45,24 @@ def b06_link_explode(spark, sf):
     return full.select("page_id", "pos", X.canonical_url("u").alias("link")).filter("link <> ''").groupBy("page_id", "link").agg(F.min("pos").cast("long").alias("first_pos"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, coalesce(nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), ''), 'en') AS lang FROM pages""")
+DROPPED = "html"
+for _tag in X.DROPPED:
+    DROPPED = f"regexp_replace({DROPPED}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', ' ', 'g')"
+ARTICLE = rf"coalesce(nullif(regexp_extract({DROPPED}, '(?is)<article\b[^>]*>(.*)</article\s*>', 1), ''), nullif(regexp_extract({DROPPED}, '(?is)<body\b[^>]*>(.*)</body\s*>', 1), ''), {DROPPED})"
+BARE = rf"regexp_replace(regexp_replace(regexp_replace({ARTICLE}, '(?s)<!--.*?-->', ' ', 'g'), '(?i)</?(?:{'|'.join(X.BLOCKS)})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g')"
+for _name, _char in X.REFERENCES.items():
+    BARE = f"replace({BARE}, '&{_name};', '{_char}')"
+MAIN = rf"trim(regexp_replace(regexp_replace(regexp_replace({BARE}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^\s+|\s+$', '', 'g'))"
+
+
+@query(rf"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) AS title, coalesce(nullif(regexp_extract(html, '<html lang="([a-z]+)"', 1), ''), 'en') AS lang, nullif(regexp_extract(html, '<time[^>]*datetime="([^"]*)"', 1), '') AS published, sha256({MAIN}) AS text_hash, CAST(length({MAIN}) AS BIGINT) AS n_chars FROM pages""")
 def b07_page_metadata(spark, sf):
+    """Title, language, date and main text of pages."""
     title = F.trim(F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), r"\s+", " "))
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
-    return table(spark, sf, "pages").select("page_id", title.alias("title"), F.when(lang == "", "en").otherwise(lang).alias("lang"))
+    date = F.regexp_extract("html", '<time[^>]*datetime="([^"]*)"', 1)
+    rows = table(spark, sf, "pages").select("page_id", title.alias("title"), F.when(lang == "", "en").otherwise(lang).alias("lang"), F.when(date != "", date).alias("published"), X.main_text("html").alias("body"))
+    return rows.select("page_id", "title", "lang", "published", F.sha2("body", 256).alias("text_hash"), F.length("body").cast("long").alias("n_chars"))
 
 
 @query(f"SELECT page_id, {HOST.format('url')} AS host, NOT regexp_matches(url, '[?&]page=') AND starts_with({PATH.format('url')}, '/en/') AS accepted FROM pages")
@@ -107,28 +122,72 @@ def c01_c03_chunks(spark, sf):
     return chunked(table(spark, sf, "documents"), max_chars=2000).select("doc_id", "index", F.length("text").alias("n_chars"), "start", "end", "hash")
 
 
-@query(r"""
-    WITH q AS (SELECT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS quote FROM benchmark),
-    d AS (SELECT doc_id, regexp_replace(lower(text), '\s+', ' ', 'g') AS body FROM documents)
-    SELECT item_id, doc_id, CAST(strpos(body, quote) - 1 AS BIGINT) AS start, CAST(length(quote) AS BIGINT) AS n_chars FROM q JOIN d ON contains(body, quote)""")
+QUOTES = r"""
+    forms AS (SELECT item_id, 0 AS form, trim(text) AS quote FROM benchmark WHERE trim(text) <> '' UNION ALL SELECT item_id, 1, array_to_string(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')[1:8], ' ') FROM benchmark WHERE len(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ')) > 8),
+    pat AS (SELECT item_id, form, quote, trim(regexp_replace(lower(quote), '\s+', ' ', 'g')) AS flat, '(?i)' || regexp_replace(regexp_escape(trim(regexp_replace(quote, '\s+', ' ', 'g'))), '(\\)? ', '\\s+', 'g') AS re FROM forms),
+    met AS (SELECT item_id, form, quote, doc_id, text, re FROM pat JOIN documents ON contains(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), flat)),
+    loc AS (SELECT item_id, doc_id, form, CASE WHEN form = 1 THEN 'head' WHEN contains(text, quote) THEN 'exact' ELSE 'tolerant' END AS name, CASE WHEN form = 0 AND contains(text, quote) THEN quote ELSE regexp_extract(text, re) END AS hit, text FROM met),
+    best AS (SELECT item_id, doc_id, arg_min(name, form) AS form, arg_min(strpos(text, hit) - 1, form) AS start, arg_min(length(hit), form) AS n FROM loc WHERE hit <> '' GROUP BY 1, 2)"""
+
+
+@query(f"WITH {QUOTES} SELECT item_id, doc_id, CAST(start AS BIGINT) AS start, CAST(start + n AS BIGINT) AS \"end\", form FROM best")
 def c06_quote_location(spark, sf):
-    """Quotes found verbatim up to case and white space: by each quote's rarest word, then checked."""
-    flat = F.regexp_replace(F.lower("text"), r"\s+", " ")
-    quotes = table(spark, sf, "benchmark").select("item_id", F.trim(flat).alias("quote"))
-    inner = F.slice(F.split("quote", " "), 2, F.greatest(F.size(F.split("quote", " ")) - 2, F.lit(0)))  # whole words of the quote
-    terms = quotes.select("item_id", F.explode(F.array_distinct(F.when(F.size(inner) > 0, inner).otherwise(F.array(F.lit(""))))).alias("term"))
-    docs = table(spark, sf, "documents").select("doc_id", flat.alias("body"))
-    # Only words of quotes leave the documents.
-    postings = docs.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rare = terms.join(df, "term", "left").groupBy("item_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    pairs = rare.join(postings, "term").select("item_id", "doc_id")
-    whole = quotes.join(terms.filter("term = ''"), "item_id", "left_anti")
-    found = pairs.join(whole, "item_id").join(docs, "doc_id").filter(F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", "quote", "body")
-    # Quotes of one or two words have no inner word to look up, so they meet every document.
-    short = quotes.join(terms.filter("term = ''"), "item_id", "left_semi")
-    found = found.union(docs.join(short, F.col("body").contains(F.col("quote"))).select("item_id", "doc_id", "quote", "body"))
-    return found.select("item_id", "doc_id", (F.expr("locate(quote, body)") - 1).cast("long").alias("start"), F.length("quote").cast("long").alias("n_chars"))
+    """Benchmark passages in documents: exactly, with any case and white space, or by their first eight words; offsets are
+    those of the document's own text."""
+    passages = table(spark, sf, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
+    return quotes.located(table(spark, sf, "documents"), passages).withColumnRenamed("quote_id", "item_id")
+
+
+@query()
+def c09_passages(spark, sf):
+    """Windows around the first two words of a document's source and language names (a row function)."""
+    needles = F.array(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
+    found = table(spark, sf, "documents").select("doc_id", quotes.passages("text", needles).alias("p"))
+    return found.select("doc_id", F.size("p").alias("n"), F.transform("p", lambda x: F.length(x)).alias("lengths"), F.sha2(F.array_join("p", "\n"), 256).alias("digest"))
+
+
+@query(f"""
+    WITH d AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN '<link href="' || url || '?utm_a=1#x" rel="canonical">' || html WHEN 1 THEN '<meta content="' || url || '" property="og:url">' || html ELSE html END AS h, url FROM pages)
+    SELECT page_id, nullif(CASE WHEN page_id % 3 = 2 THEN '' ELSE {CANON.format('url')} END, '') AS canonical FROM d""")
+def b05_canonical_link(spark, sf):
+    """The canonical link that two thirds of the pages are given, by a link or a meta element."""
+    pages = table(spark, sf, "pages")
+    link = F.concat(F.lit('<link href="'), "url", F.lit('?utm_a=1#x" rel="canonical">'), "html")
+    meta = F.concat(F.lit('<meta content="'), "url", F.lit('" property="og:url">'), "html")
+    return pages.select("page_id", X.canonical_link(F.when(F.col("page_id") % 3 == 0, link).when(F.col("page_id") % 3 == 1, meta).otherwise(F.col("html"))).alias("canonical"))
+
+
+@query("SELECT page_id, CASE WHEN kind LIKE 'application/pdf%' OR regexp_matches(lower(path), '\\.pdf$') THEN 'pdf' ELSE 'html' END AS reader FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'Application/PDF' ELSE 'text/html; charset=utf-8' END AS k, lower(k) AS kind, regexp_extract(url || CASE WHEN page_id % 7 = 0 THEN '.PDF' ELSE '' END, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def b09_content_type(spark, sf):
+    """Which reader a page wants, by its type and path."""
+    kind = F.when(F.col("page_id") % 5 == 0, "Application/PDF").otherwise("text/html; charset=utf-8")
+    url = F.concat("url", F.when(F.col("page_id") % 7 == 0, ".PDF").otherwise(""))
+    return table(spark, sf, "pages").select("page_id", X.reader(kind, url).alias("reader"))
+
+
+@query("""
+    WITH a AS (SELECT o_orderkey AS id, (o_orderkey * 2654435761) % 4294967296 AS n FROM orders), q AS (SELECT id, n // 16777216 AS a, n // 65536 % 256 AS b, n // 256 % 256 AS c, n % 256 AS d FROM a)
+    SELECT id, NOT (a IN (0, 10, 127) OR a >= 224 OR (a = 100 AND b BETWEEN 64 AND 127) OR (a = 169 AND b = 254) OR (a = 172 AND b BETWEEN 16 AND 31) OR (a = 192 AND b = 168) OR (a = 192 AND b = 0 AND c IN (0, 2)) OR (a = 198 AND b IN (18, 19)) OR (a = 198 AND b = 51 AND c = 100) OR (a = 203 AND b = 0 AND c = 113) OR (a = 192 AND b = 88 AND c = 99)) AS public FROM q""")
+def b16_address_class(spark, sf):
+    """Addresses made from order numbers, spelt as numbers, in hexadecimal, or dotted: which ones may be fetched."""
+    n = (F.col("o_orderkey") * 2654435761) % 4294967296
+    dotted = F.concat_ws(".", *((F.floor(n / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)))
+    spelt = F.when(F.col("o_orderkey") % 3 == 0, n.cast("string")).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("0x"), F.hex(n))).otherwise(dotted)
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), X.public_address(spelt).alias("public"))
+
+
+LINKS = f"""link AS (SELECT DISTINCT page_id AS src, page_id * 2 + k AS dst FROM pages, (VALUES (0), (1)) v(k) WHERE page_id % 11 <> 3)"""
+
+
+@query(f"""
+    WITH RECURSIVE {LINKS}, ok AS (SELECT page_id FROM pages WHERE page_id % 13 <> 5), f AS (SELECT p.page_id AS seed, p.page_id, 0 AS depth FROM ok p WHERE p.page_id IN (1, 2) UNION SELECT f.seed, l.dst, f.depth + 1 FROM f JOIN link l ON l.src = f.page_id JOIN ok ON ok.page_id = l.dst WHERE f.depth < 6)
+    SELECT seed, page_id, min(depth) AS depth FROM (SELECT seed, page_id, depth, row_number() OVER (PARTITION BY seed ORDER BY depth, page_id) AS n FROM (SELECT seed, page_id, min(depth) AS depth FROM f GROUP BY 1, 2)) WHERE n <= 40 GROUP BY 1, 2""")
+def a03_frontier(spark, sf):
+    """Pages that a crawl of two seeds visits, over links that page numbers make, within depth, scope and number."""
+    pages = table(spark, sf, "pages").select("page_id")
+    links = pages.filter("page_id % 11 <> 3").select(F.col("page_id").alias("src"), F.explode(F.array(F.col("page_id") * 2, F.col("page_id") * 2 + 1)).alias("dst"))
+    scope = pages.filter("page_id % 13 <> 5")
+    return graph.frontier(scope.filter("page_id IN (1, 2)"), links, scope, "page_id", 6, 40)
 
 
 @query("SELECT p_partkey AS part_id, CAST(len(list_distinct([p_brand || ' ' || p_type || ' ' || p_name, p_brand || ' not ' || p_name, left(p_name, 200)])) AS BIGINT) AS n_queries, p_brand || ' not ' || p_name AS negated FROM part")
