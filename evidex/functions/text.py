@@ -132,8 +132,9 @@ def _number(host: str) -> int:
 
 def surface(text: Column, stem: Column) -> Column:
     """The first word of a text that begins with a stem, as written; null where none does."""
-    found = F.regexp_substr(text, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(stem, r"([\\.+*?()\[\]{}|^$-])", r"\\$1"), F.lit(r"[\w-]*")))
-    return F.when(stem != "", found)
+    pattern = F.concat(F.lit(r"(?i)(?:^|[^\p{L}])("), F.regexp_replace(stem, r"([\\.+*?()\[\]{}|^$-])", r"\\$1"), F.lit(r"[\w-]*)"))
+    found = F.call_function("regexp_extract", text, pattern, F.lit(1))
+    return F.when((stem != "") & (found != ""), found)
 
 
 def url_key(url: Column | str) -> Column:

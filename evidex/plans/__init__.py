@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import evaluation, knowledge, ranking, records, retrieval, streams, text
+from . import evaluation, extensions, knowledge, ranking, records, retrieval, streams, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "knowledge", "ranking", "records", "retrieval", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "extensions", "knowledge", "ranking", "records", "retrieval", "streams", "text"]
