@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 K = 60
 
 
@@ -60,11 +62,28 @@ def document_frequency(posts: DataFrame, n_docs: int) -> DataFrame:
 
 
 def lexical_channel(terms: DataFrame, posts: DataFrame, idf: DataFrame, k: int) -> DataFrame:
-    """(query, id, coverage, lex_rank): any term matches; the share of the query's idf that a document covers."""
-    weighted = terms.join(idf.select("term", "idf"), "term")
-    total = weighted.groupBy("query").agg(F.sum("idf").alias("_all"))
-    hits = weighted.join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum"))
-    scored = hits.join(total, "query").select("query", "id", F.round(F.col("_sum") / F.col("_all"), 6).alias("coverage"))
+    """(query, id, coverage, lex_rank): any term matches; the share of the query's idf that a document covers. `posts` is
+    read several times, so it should be staged.
+
+    Common terms never list their documents. A document's sum over the rarer half of a query's terms is a lower bound, and
+    the k-th best of these is a sum that the list's last can't fall below. Terms whose idf together stays below it can't
+    bring a document into the list on their own: they are summed only for documents that another term has found and that
+    could still reach it.
+    """
+    weighted = staged(terms.join(idf.select("term", "idf"), "term"), "weighted")
+    w = Window.partitionBy("query")
+    ranked = weighted.withColumn("_upto", F.sum("idf").over(w.orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_all", F.sum("idf").over(w)).withColumn("_half", F.row_number().over(w.orderBy(F.desc("idf"), "term")) * 2 <= F.count("*").over(w) + 1)
+    sure = ranked.filter("_half").join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum"))
+    last = top(sure, "query", [F.desc("_sum"), F.col("id")], k, "_r").groupBy("query").agg(F.when(F.count("*") >= k, F.min("_sum")).otherwise(0.0).alias("_least"))
+    slack = F.col("_all") * 1e-5  # more than what rounding a share to six places can move
+    bound = staged(ranked.join(last, "query", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - slack).withColumn("_common", F.col("_upto") < F.col("_least")), "bounds")
+    found = bound.filter("not _common").join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum"))
+    rest = bound.groupBy("query").agg(F.sum(F.when(F.col("_common"), F.col("idf")).otherwise(0.0)).alias("_rest"), F.first("_least").alias("_least"), F.first("_all").alias("_all"))
+    left = staged(found.join(rest, "query").filter(F.col("_sum") + F.col("_rest") >= F.col("_least")).select("query", "id", "_sum"), "candidates")
+    common = bound.filter("_common").select("query", "term", "idf")
+    some = posts.join(common.select("term").distinct(), "term", "left_semi").join(left, "id").join(common, ["query", "term"]).select("query", "id", F.col("idf").alias("_sum"))
+    sums = left.union(some).groupBy("query", "id").agg(F.sum("_sum").alias("_sum")).join(rest.select("query", "_all"), "query")
+    scored = sums.select("query", "id", F.round(F.col("_sum") / F.col("_all"), 6).alias("coverage"))
     return top(scored, "query", [F.desc("coverage"), F.col("id")], k, "lex_rank")
 
 

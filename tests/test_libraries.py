@@ -98,3 +98,24 @@ def test_validator_results(spark):
     assert [r.id for r in validators.validated(new, "id").collect()] == [1]
     files = {"a": items}
     assert sorted(validators.extended(files, lambda f: {"n": f["a"].limit(1)})) == ["a", "ext/n"]
+
+
+def test_lexical_lists_are_exact_whatever_is_common(spark):
+    import math
+
+    rng = random.Random(3)
+    vocab = [f"t{i}" for i in range(60)]
+    docs = {i: {t for k, t in enumerate(vocab) if rng.random() < 1 / (1 + k / 4)} for i in range(300)}
+    asked = {q: set(rng.sample(vocab, rng.choice([1, 2, 5, 20]))) for q in range(25)}
+    posts = spark.createDataFrame([(i, t) for i, ts in docs.items() for t in ts], "id int, term string")
+    terms = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "query int, term string")
+    idf = retrieval.document_frequency(posts, len(docs))
+    value = {r.term: r.idf for r in idf.collect()}
+    got = {(r.query, r.lex_rank): (r.id, r.coverage) for r in retrieval.lexical_channel(terms, posts, idf, 7).collect()}
+    want = {}
+    for q, ts in asked.items():
+        total = math.fsum(value[t] for t in ts if t in value)
+        scores = [(-round(math.fsum(value[t] for t in ts & own) / total, 6), i) for i, own in docs.items() if ts & own]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(sorted(scores)[:7], 1)}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
