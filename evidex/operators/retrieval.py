@@ -73,11 +73,12 @@ def lexical_channel(terms: DataFrame, posts: DataFrame, idf: DataFrame, k: int)
     weighted = staged(terms.join(idf.select("term", "idf"), "term"), "weighted")
     w = Window.partitionBy("query")
     ranked = weighted.withColumn("_upto", F.sum("idf").over(w.orderBy("idf", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_all", F.sum("idf").over(w)).withColumn("_half", F.row_number().over(w.orderBy(F.desc("idf"), "term")) * 2 <= F.count("*").over(w) + 1)
-    sure = ranked.filter("_half").join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum"))
+    sure = staged(ranked.filter("_half").join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum")), "sure")
     last = top(sure, "query", [F.desc("_sum"), F.col("id")], k, "_r").groupBy("query").agg(F.when(F.count("*") >= k, F.min("_sum")).otherwise(0.0).alias("_least"))
     slack = F.col("_all") * 1e-5  # more than what rounding a share to six places can move
-    bound = staged(ranked.join(last, "query", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - slack).withColumn("_common", F.col("_upto") < F.col("_least")), "bounds")
-    found = bound.filter("not _common").join(posts, "term").groupBy("query", "id").agg(F.sum("idf").alias("_sum"))
+    bound = ranked.join(last, "query", "left").withColumn("_least", F.coalesce("_least", F.lit(0.0)) - slack)
+    bound = staged(bound.withColumn("_common", ~F.col("_half") & (F.col("_upto") < F.col("_least"))), "bounds")
+    found = sure.union(bound.filter("not _half and not _common").join(posts, "term").select("query", "id", F.col("idf").alias("_sum"))).groupBy("query", "id").agg(F.sum("_sum").alias("_sum"))
     rest = bound.groupBy("query").agg(F.sum(F.when(F.col("_common"), F.col("idf")).otherwise(0.0)).alias("_rest"), F.first("_least").alias("_least"), F.first("_all").alias("_all"))
     left = staged(found.join(rest, "query").filter(F.col("_sum") + F.col("_rest") >= F.col("_least")).select("query", "id", "_sum"), "candidates")
     common = bound.filter("_common").select("query", "term", "idf")
