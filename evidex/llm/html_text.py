@@ -10,8 +10,9 @@ A repeat is boilerplate in an open block if a small share of the host's pages ha
 since articles may quote each other. Copies of one page count once: pages whose windows have the same least hash.
 
 A host may hold a third of all pages, so its pages are dealt to shards of bounded bytes, each with its own suffix array.
-A window on a share of all the host's pages is on at least that share of some shard's pages; such windows are nominated,
-and all shards then count the nominees, so the totals are those of the whole host. No task sees more than a shard.
+A window on a share of all the host's pages is on at least that share of some shard's pages; shards name windows on half
+that share, with their counts, and what these leave open is counted again in all shards, so the totals that decide are
+those of the whole host. No task sees more than a shard.
 """
 
 from __future__ import annotations
@@ -28,10 +29,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import slices, staged
 
 WINDOW_TOKENS, SHARD_BYTES, PACK_BYTES = 6, 8 << 20, 256 << 10
-#: Boilerplate by place: on at least so many pages of its host, and on at least that share of them.
+#: Boilerplate by place: on at least so many pages of its host for each SHARD_BYTES of their text, and on at least that
+#: share of them.
 LEAST = {"open": (3, 0.01), "main": (8, 0.5)}
 #: Tables of up to so many hosts are sent to all tasks; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
+#: Repeats (16 bytes each) that are sent to all tasks, so that pages needn't be shuffled to meet them; more are joined.
+BROADCAST_REPEATS = 1_000_000
 #: Element names by their role in HTML.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -299,13 +303,13 @@ class Shard:
         at = np.flatnonzero(self.starts & np.isin(self.names, names))
         return self._counted(self.names[at], at)
 
-    def kept(self, names, totals, pages: int, least: dict) -> pa.Table:
+    def kept(self, names, totals, pages: int, shards: int, least: dict) -> pa.Table:
         """(id, url, text) per page, without what repeats on enough of the host's `pages` cover."""
         import numpy as np
 
         cut = np.zeros(len(self.tokens), bool)
         for place, (fewest, share) in least.items():
-            hit = np.flatnonzero(self.starts & (self.place == PLACES.index(place)) & np.isin(self.names, names[totals >= max(fewest, share * pages)]))
+            hit = np.flatnonzero(self.starts & (self.place == PLACES.index(place)) & np.isin(self.names, names[totals >= max(fewest * shards, share * pages)]))
             step = np.zeros(len(self.tokens) + 1, np.int64)
             np.add.at(step, hit, 1)
             np.add.at(step, hit + self.size[hit], -1)
@@ -341,37 +345,72 @@ def main_text(pages: DataFrame, id: str = "page_id", url: str = "url", body: str
     result = f"id {kind}, url string, text string"
     fewest, share = least["open"]
 
-    def opened(table: pa.Table) -> tuple[Shard, int, float]:
-        """The shard, the pages of its host, and the least pages of a window in an open block."""
-        n = table.column("all_pages")[0].as_py()
-        return Shard(table.column("data").to_pylist(), window), n, max(fewest, share * n)
+    def opened(table: pa.Table) -> tuple[Shard, int, int]:
+        """The shard, and the pages and shards of its host."""
+        return Shard(table.column("data").to_pylist(), window), table.column("all_pages")[0].as_py(), table.column("n")[0].as_py()
 
     def alone(table: pa.Table) -> pa.Table:
-        shard, n, few_ = opened(table)
-        return shard.kept(*shard.repeats(few_), n, least)
+        shard, n, _ = opened(table)
+        return shard.kept(*shard.repeats(max(fewest, share * n)), n, 1, least)
 
     def nominated(key: tuple, table: pa.Table) -> pa.Table:
-        shard, n, few_ = opened(table)
-        names, _ = shard.repeats(few_ * len(shard.texts) / n)
-        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names)})
+        shard, n, parts = opened(table)
+        names, counts = shard.repeats(max(fewest * parts, share * n) * len(shard.texts) / n / 2)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names), "pages": pa.array(counts, pa.int64()), "of": pa.array([len(shard.texts)] * len(names), pa.int64())})
 
     def told(key: tuple, table: pa.Table, asked: pa.Table) -> pa.Table:
         names, counts = Shard(table.column("data").to_pylist(), window).counts(asked.column("name").to_numpy()) if table.num_rows and asked.num_rows else ([], [])
-        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names, pa.int64()), "pages": pa.array(counts, pa.int64())})
-
-    def cleared(table: pa.Table, often: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"id": pa.array([], id_type), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-        shard, n, _ = opened(table)
-        return shard.kept(often.column("name").to_numpy(), often.column("total").to_numpy(), n, least)
+        return pa.table({"host": pa.array([key[0].as_py()] * len(names), pa.string()), "name": pa.array(names, pa.int64()), "total": pa.array(counts, pa.int64())})
 
     id_type = to_arrow_type(pages.schema[id].dataType)
     one, more = dealt.filter("n = 1").groupBy("host"), dealt.filter("n > 1")
     shards = hosts.filter("n > 1").select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("shard"))
-    nominees = more.groupBy("host", "shard").applyInArrow(nominated, "host string, name long").distinct()
-    asked = staged(nominees.join(shards, "host"), "nominees")
-    counts = more.groupBy("host", "shard").cogroup(asked.groupBy("host", "shard")).applyInArrow(told, "host string, name long, pages long")
-    totals = counts.groupBy("host", "name").agg(F.sum("pages").alias("total")).join(hosts.select("host", "all_pages"), "host")
-    often = staged(totals.filter(F.col("total") >= F.greatest(F.lit(fewest), share * F.col("all_pages"))).select("host", "name", "total").join(shards, "host"), "repeats")
-    parts = one.applyInArrow(alone, result).union(more.groupBy("host", "shard").cogroup(often.groupBy("host", "shard")).applyInArrow(cleared, result))
+    # A shard names windows on half the share that counts. What all shards that named a window saw of it may be enough, or
+    # may leave too little to the others; only windows in between are counted again in all shards.
+    seen = more.groupBy("host", "shard").applyInArrow(nominated, "host string, name long, pages long, of long")
+    seen = seen.groupBy("host", "name").agg(F.sum("pages").alias("total"), F.sum("of").alias("of")).join(hosts.select("host", "all_pages", "n"), "host")
+    wanted = F.greatest(F.lit(float(fewest)) * F.col("n"), share * F.col("all_pages"))
+    seen = staged(seen.withColumn("wanted", wanted).filter(F.col("total") + F.col("wanted") / 2 * (1 - F.col("of") / F.col("all_pages")) >= F.col("wanted")), "nominees")
+    # Above this total nothing that a place asks for can still differ.
+    most = F.greatest(*(F.greatest(F.lit(float(a)) * F.col("n"), b * F.col("all_pages")) for a, b in least.values()))
+    sure = (F.col("of") >= F.col("all_pages")) | (F.col("total") >= most)
+    open_ = staged(seen.filter(~sure).select("host", "name"), "asked")
+    often = seen.filter(sure).select("host", "name", "total", "wanted")
+    if not open_.isEmpty():
+        again = more.join(open_.select("host").distinct(), "host", "left_semi").groupBy("host", "shard")
+        asked = open_.join(shards, "host")
+        counts = again.cogroup(asked.groupBy("host", "shard")).applyInArrow(told, "host string, name long, total long")
+        often = often.union(counts.groupBy("host", "name").agg(F.sum("total").alias("total")).join(seen.select("host", "name", "wanted"), ["host", "name"]).select("host", "name", "total", "wanted"))
+    often = staged(often.filter("total >= wanted").select("host", "name", "total"), "repeats")
+
+    def cleared(table: pa.Table, repeats: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"id": pa.array([], id_type), "url": pa.array([], pa.string()), "text": pa.array([], pa.string())})
+        shard, n, parts = opened(table)
+        return shard.kept(repeats.column("name").to_numpy(), repeats.column("total").to_numpy(), n, parts, least)
+
+    if often.limit(BROADCAST_REPEATS + 1).count() <= BROADCAST_REPEATS:
+        send = pages.sparkSession.sparkContext.broadcast(_by_host(often))
+
+        def packwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            import numpy as np
+
+            none = np.zeros(0, np.int64)
+            for batch in batches:
+                for host, n, parts, data in zip(*(batch.column(c).to_pylist() for c in ("host", "all_pages", "n")), batch.column("data")):
+                    names, totals = send.value.get(host, (none, none))
+                    yield from Shard([data.as_py()], window).kept(names, totals, n, parts, least).to_batches()
+
+        rest = more.select("host", "all_pages", "n", "data").mapInArrow(packwise, result)
+    else:
+        rest = more.groupBy("host", "shard").cogroup(often.join(shards, "host").groupBy("host", "shard")).applyInArrow(cleared, result)
+    parts = one.applyInArrow(alone, result).union(rest)
     return parts.select(F.col("id").alias(id), F.col("url").alias(url), "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def _by_host(often: DataFrame) -> dict:
+    """{host: (names, totals)} of a counted table."""
+    import numpy as np
+
+    rows = often.toPandas()
+    return {host: (part["name"].to_numpy(np.int64), part["total"].to_numpy(np.int64)) for host, part in rows.groupby("host")}

@@ -73,7 +73,7 @@ def test_hostile_pages_take_time_in_proportion():
         assert time.perf_counter() - begin < 1, page[:20]
 
 
-def slow_text(pages, window=6, least=H.LEAST):
+def slow_text(pages, shard_bytes, window=6, least=H.LEAST):
     """{page id: text} by counting windows in dictionaries, a host at a time."""
     hosts, out = {}, {}
     for i, u, h in pages:
@@ -84,6 +84,7 @@ def slow_text(pages, window=6, least=H.LEAST):
         return [tuple(words[a : a + window]) for a in range(max(1, len(words) - window + 1))]
 
     for rows in hosts.values():
+        shards = -(-sum(64 + sum(len(t) for t, _ in found) for _, found in rows) // shard_bytes)
         copies, seen = [], {}
         for k, (_, found) in enumerate(rows):
             names = [name_of(w) for t, p in found if p != "aside" for w in windows(t)]
@@ -99,7 +100,7 @@ def slow_text(pages, window=6, least=H.LEAST):
                 if p == wanted:
                     words, gone = t.split(), set()
                     for a, w in enumerate(windows(t)):
-                        if len(seen[w]) >= max(least[p][0], least[p][1] * len(rows)):
+                        if len(seen[w]) >= max(least[p][0] * shards, least[p][1] * len(rows)):
                             gone |= {*range(a, a + len(w))}
                     if line := " ".join(w for k, w in enumerate(words) if k not in gone):
                         lines.append(line)
@@ -126,16 +127,18 @@ def site(rng, host, n, article):
     return out
 
 
-def test_repeats_against_brute_force_at_any_shard_size(spark):
+def test_repeats_against_brute_force_at_any_shard_size(spark, monkeypatch):
     rng = random.Random(8)
     pages = site(rng, "a.example", 40, False) + site(rng, "b.example", 30, True) + site(rng, "c.example", 2, False) + [("n", None, None)]
-    want = slow_text(pages)
-    df = spark.createDataFrame(pages, "page_id string, url string, html string")
-    for shard in (10**7, 9_000):
-        got = {}
+    df = spark.createDataFrame(pages, "page_id string, url string, html string").repartition(7)
+    for shard, sent in ((10**7, 10**6), (9_000, 10**6), (9_000, 0)):
+        monkeypatch.setattr(H, "BROADCAST_REPEATS", sent)
+        monkeypatch.setattr(H, "PACK_BYTES", 4_000 if shard < 10**6 else 1 << 18)
+        got, want = {}, slow_text(pages, shard)
         for r in H.main_text(df, shard_bytes=shard).collect():
             got.setdefault(r.page_id, []).append(r.text)
         assert got == want
+    want = slow_text(pages, 10**7)
     share = pages[0][2].split("<p>")[2].split()[9:23]
     assert not any(" ".join(share) in t for ts in want.values() for t in ts)  # cut out of every block, with unique runs left
     assert all(len(t.split("\n")[-1].split()) == 16 for i, ts in want.items() for t in ts if i[0] in "ab")
