@@ -15,10 +15,12 @@ SHARD_BYTES = 16 << 20
 
 
 def op1_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, by host suffix arrays and page structure. Null pages are empty; ids may repeat."""
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document, learned from labels outside the held-out third. Null texts score as empty ones."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(crc_mod("doc_id", 3) != 1))
     scored = model.scored(docs.select("doc_id", "text"), "text", "score")
@@ -26,18 +28,22 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document. Null texts have no words and fail."""
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
 def op4_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model score of every document; a fifth is held out. Null texts are the end token alone."""
     return ngram_lm.score(table(spark, sf_dir, "documents"), crc_mod("doc_id", 5) == 1)
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every url. Null urls have neither host nor path, and the prior decides."""
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and read back. Null pages are empty payloads."""
     pages = table(spark, sf_dir, "pages")
     back = warc.read(warc.write(pages))
     ids = [F.col(c).cast(pages.schema["page_id"].dataType).alias(c) for c in ("page_id", "refers_to")]
@@ -45,21 +51,25 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that benchmark windows cover, with the longest matches. Null texts have no words."""
     docs, bench = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.contamination(docs, bench, ["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_digest().alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "matches")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document. Null texts have fingerprint zero and are linked like others."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard of every document under a limit of 16 MiB. Null texts have no bytes."""
     return sharding.assign(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
 def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence. Null texts are the end token alone."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
