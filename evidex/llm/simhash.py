@@ -283,11 +283,11 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
 
     Candidates are fingerprints within 3 bits, by pigeonring, and, since texts just similar enough lie up to a dozen bits
     apart, texts that share one of the bands of least hashes (a pair of similarity 0.8 shares none with a chance of 5 in
-    10,000, a closer one with less). A bucket of texts that share a band never yields all its pairs: first its members are
-    compared with one representative; then, where they fall into several components, members with up to HEADS
-    representatives of other components, and so on with other representatives until a turn finds no link. So a link can
-    be lost only between two texts that no turn makes representatives of any bucket they share, and whose components no
-    other link joins. Texts with equal sets are one class throughout.
+    10,000, a closer one with less). A bucket of texts that share a band never yields all its pairs: first each text is
+    compared with the least of its buckets' representatives; then, where a bucket's texts fall into several components,
+    those outside its main one with up to HEADS representatives of that and as many of the others, and so on with other
+    representatives until a turn finds no link. So a link can be lost only between two texts that no turn compares, and
+    whose components no other link joins. Texts with equal sets are one class throughout.
 
     Null or wordless texts are alike. Repeated ids stay repeated; a null id takes its component's smallest id. An empty
     table gives an empty result.
@@ -304,22 +304,32 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
         members = made.select("digest", "n", F.explode("bands").alias("key")).distinct()
         full = staged(members.groupBy("key").count().filter("count > 1").select("key"), "buckets")
         left = staged(members.join(full, "key"), "members")
+        alike = F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")
+        pairs = staged(pairs.distinct(), "candidates")
         of = staged(left.select("digest").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted")
         sets = staged(made.select("row", "shingles").join(each.join(of, "digest").select("row", "digest"), "row").select("digest", "shingles"), "sets")
         root, tried, turn = None, None, 0
         while True:
-            now = left.withColumn("root", F.col("digest")) if root is None else left.join(root, left.digest == root.node, "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
-            mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-            now = staged(now.join(mixed, "key", "left_semi"), "mixed")
-            # Representatives by a hash that differs from turn to turn: one a bucket and group of bands at first, then HEADS.
-            order = F.xxhash64("digest", F.pmod("key", F.lit(4)), F.lit(turn))
-            slot = F.pmod(order, F.lit(HEADS)) if turn else F.lit(0)
-            heads = now.groupBy("key", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), F.col("digest").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))).alias("h")).select("key", "h.head", "h.head_n", "h.head_root")
-            close = now.join(heads, "key").filter((F.col("root") != F.col("head_root")) & (F.least("n", "head_n") >= similarity * F.greatest("n", "head_n")))
+            if not turn:  # each text with the least of its buckets' representatives: a pair a text
+                heads = left.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("h")).select("key", F.col("h.digest").alias("head"), F.col("h.n").alias("head_n"))
+                first = left.join(heads, "key").groupBy("digest", "n").agg(F.min(F.struct("head", "head_n")).alias("h")).select("digest", "n", "h.head", "h.head_n")
+                close = first.filter(alike)
+            else:
+                now = left.join(root, left.digest == root.node, "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
+                mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+                now = staged(now.join(mixed, "key", "left_semi"), "mixed")
+                sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
+                main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
+                now = now.join(main, "key").withColumn("inside", F.col("root") == F.col("main"))
+                # Texts outside a bucket's main component meet representatives of it and of each other, by a hash that
+                # differs from turn to turn.
+                order = F.xxhash64("digest", F.lit(turn))
+                heads = now.groupBy("key", "inside", F.pmod(order, F.lit(HEADS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), F.col("digest").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))).alias("h")).select("key", "h.head", "h.head_n", "h.head_root")
+                close = now.filter("not inside").join(heads, "key").filter((F.col("root") != F.col("head_root")) & alike)
             more = close.select(F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b"))
-            more = (more if tried is not None else more.union(pairs.select(F.least("a", "b"), F.greatest("a", "b")))).filter("a <> b").distinct()
-            more = staged(more if tried is None else more.join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = more if tried is None else tried.union(more)
+            more = (more if turn else more.union(pairs.select(F.least("a", "b"), F.greatest("a", "b")))).filter("a <> b").distinct()
+            more = staged(more.join(tried, ["a", "b"], "left_anti") if turn else more, "pairs")
+            tried = tried.union(more) if turn else more
             good = staged(_similar_pairs(more, sets, similarity), "similar")
             if turn and good.isEmpty():
                 break
