@@ -103,7 +103,7 @@ def scratch(spark: SparkSession):
     try:
         yield keep
     finally:
-        _made.remove(made)
+        _made[:] = [other for other in _made if other is not made]  # by identity: scopes may hold equal lists
     for path in made:
         if path not in kept:
             _delete(spark, path)

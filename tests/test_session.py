@@ -20,3 +20,12 @@ def test_scratch_deletes_what_is_not_kept(spark):
     assert [os.path.exists(p) for p in paths] == [False, True] and b.count() == 4
     session.discard(b)
     assert not os.path.exists(paths[1])
+
+
+def test_scopes_nest(spark):
+    with session.scratch(spark) as keep:
+        with session.scratch(spark) as inner:
+            a = inner(session.staged(spark.range(2), "a"))
+            session.staged(spark.range(2), "gone")
+        b = keep(session.staged(a, "b"))
+    assert b.count() == 2 and session._made == []
