@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontaminate, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
+from . import bpe, decontaminate, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 SHARD_BYTES = 16 << 20
@@ -73,7 +73,14 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again: the number of ids, and digests of ids and text. Null texts have no ids."""
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), packed=True)
+    both = bpe.decode(ids)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit, op11_bpe)}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),

@@ -15,6 +15,7 @@ COLUMNS = {
     "op8": "doc_id bigint, fingerprint string, component_id bigint",
     "op9": "doc_id bigint, n_bytes bigint, prefix bigint, depth int, overflow bigint",
     "op10": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op11": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
 }
 
 
