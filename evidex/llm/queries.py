@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
+from . import bpe, decontaminate, divergence, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 SHARD_BYTES = 16 << 20
@@ -80,7 +80,12 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit, op11_bpe)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source's word use is from the other sources of its language, and the terms it uses more than the language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit, op11_bpe, op12_divergence)}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -89,4 +94,27 @@ ORACLES: dict[str, str] = {
         SELECT page_id, payload_bytes, d.payload_digest, CASE WHEN low < page_id THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN low < page_id THEN low END AS refers_to
         FROM d LEFT JOIN f ON d.payload_digest = f.payload_digest""",
+    "op12_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+        c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+        size AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+        g AS (SELECT d.lang, d.source, coalesce(any_value(total), 0) + 2 * coalesce(any_value(v), 0) AS total
+              FROM d LEFT JOIN v ON v.lang = d.lang LEFT JOIN size ON size.lang = d.lang AND size.source = d.source GROUP BY ALL),
+        p AS (SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // total AS p
+              FROM g JOIN kept k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+        l AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL),
+        q AS (SELECT l.lang, term, 1 + 1000000000::HUGEINT * (n + 2) // (sum(n) OVER (PARTITION BY l.lang) + 2 * v) AS q FROM l JOIN v ON v.lang = l.lang),
+        sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+                 FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+                  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+                  LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+        terms AS (SELECT p.lang, source, p.term AS item, (p - q) * (p - q) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q)
+        SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
+        UNION ALL
+        SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS r FROM terms QUALIFY r <= 10""",
 }
