@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import bpe, decontaminate, divergence, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
+from . import bpe, collocations, decontaminate, divergence, html_text, ngram_lm, packing, quality, sharding, simhash, toxicity, urls, warc
 from .common import crc_mod
 
 SHARD_BYTES = 16 << 20
@@ -85,7 +85,12 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit, op11_bpe, op12_divergence)}
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2000 phrases of two or three words by how far their words go together."""
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_host_suffix_array, op2_toxicity, op3_quality_mcd, op4_elias_fano, op5_urls, op6_warc, op7_decontaminate, op8_simhash, op9_extendible, op10_best_fit, op11_bpe, op12_divergence, op13_collocations)}
 ORACLES: dict[str, str] = {
     "op6_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -117,4 +122,21 @@ ORACLES: dict[str, str] = {
         SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS rank FROM pairs
         UNION ALL
         SELECT lang, source, 'term', item, value::BIGINT, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INT AS r FROM terms QUALIFY r <= 10""",
+    "op13_collocations": """
+        WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+        g AS (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3)) AS sizes(k)),
+        f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY ALL),
+        c AS (SELECT lang, k AS words, phrase, string_split(phrase, ' ') AS w, f AS a FROM f WHERE k > 1 AND f >= 10),
+        cuts AS (SELECT lang, words, phrase, w, a, unnest(range(1, words)) AS cut FROM c),
+        parts AS (SELECT c.*, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score FROM cuts c
+                  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[1:cut], ' ')
+                  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:words], ' ')),
+        best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        inner_ AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE words = 3),
+        longest AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL),
+        left_ AS (SELECT b.* FROM best b LEFT JOIN longest x ON x.lang = b.lang AND x.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+        FROM left_ JOIN n USING (lang) QUALIFY rank <= 2000""",
 }
