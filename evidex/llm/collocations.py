@@ -33,7 +33,7 @@ from .common import raw, slices, staged
 #: Occurrences of a candidate, phrases a language, and the share in percent from which a longer candidate replaces its part.
 LEAST, TOP, COVERED = 10, 2000, 50
 #: Words of a block, different words that fill one before that (below 2^21), and occurrences a shard of prefixes.
-BLOCK_WORDS, BLOCK_NAMES, SHARD_WORDS = 2_000_000, 1_000_000, 4_000_000
+BLOCK_WORDS, BLOCK_NAMES, SHARD_WORDS = 3_000_000, 1_500_000, 4_000_000
 #: A word of more occurrences is hot. There are `HOT_WORDS` of them at most: in larger inputs the bound rises.
 HOT, HOT_WORDS = 500_000, 1_000_000
 #: Arcs that a task unites at a time.
@@ -123,36 +123,57 @@ def slot_of(word: bytes, n_slots: int) -> int:
 
 
 #: A prefix's row: its word's count, the second words and their counts, how many third words each has, those and theirs.
-#: Words are joined by blanks, numbers are packed: counts of 8 bytes, numbers of arcs of 4.
+#: A blank follows each word; numbers are packed, counts in 8 bytes, numbers of arcs in 4.
 PREFIX = "lang string, word string, slot int, n1 long, w2 binary, n2 binary, k3 binary, w3 binary, n3 binary"
 FIELDS = ["lang", "word", "slot", "n1", "w2", "n2", "k3", "w3", "n3"]
-_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).cast(t) if k == 1 else pa.array(c, t) for k, (c, t) in enumerate(zip(zip(*rows), _TYPES))], FIELDS)
+def _packed(data, ends) -> pa.Array:
+    """A binary column: `data` cut at `ends`, which begin with 0."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype("int32")), pa.py_buffer(data)])
 
 
-def prefixes(t: Transducer, lang: str, names: list[bytes], slots: dict[tuple[str, bytes], int]) -> Iterator[tuple]:
+def _payload(column: pa.Array):
+    """The bytes of a binary column one after the other, and each row's number of bytes."""
+    import numpy as np
+
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return (memoryview(data)[ends[0] : ends[-1]] if data else b""), np.diff(ends)
+
+
+def _rows_of(heads: list[pa.Array], n1, bounds, w2, n2, k3, w3, n3, names: list[bytes]) -> pa.RecordBatch:
+    """Prefix rows from arcs in order: row r has the second words bounds[r] to bounds[r + 1]. Words are places in `names`."""
+    import numpy as np
+
+    spaced = pa.array([n + b" " for n in names], pa.binary())
+
+    def text(words):
+        taken = spaced.take(pa.array(words))
+        return taken.buffers()[2] or b"", np.frombuffer(taken.buffers()[1], np.int32)[: len(words) + 1]
+
+    (text2, ends2), (text3, ends3), first3 = text(w2), text(w3), np.r_[0, np.cumsum(k3)]
+    columns = [_packed(text2, ends2[bounds]), _packed(n2.astype("<i8").tobytes(), bounds * 8), _packed(k3.astype("<u4").tobytes(), bounds * 4), _packed(text3, ends3[first3[bounds]]), _packed(n3.astype("<i8").tobytes(), first3[bounds] * 8)]
+    return pa.RecordBatch.from_arrays([*heads, pa.array(n1, pa.int64()), *columns], FIELDS)
+
+
+def prefixes(t: Transducer, lang: str, names: list[bytes], slots: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
     """Rows of a block's transducer, a row a first word and slot."""
     import numpy as np
 
-    name = names.__getitem__
-    w2, w3, first2, first3 = t.w2.tolist(), t.w3.tolist(), t.first2.tolist(), t.first3.tolist()
-    n2, n3 = t.n2.astype("<i8"), t.n3.astype("<i8")
-    k3 = np.diff(t.first3).astype("<u4")
-    for i, (w, n) in enumerate(zip(t.w1.tolist(), t.n1.tolist())):
-        word, a, b = names[w], first2[i], first2[i + 1]
-        n_slots = slots.get((lang, word))
-        if not n_slots:
-            c, d = first3[a], first3[b]
-            yield lang, word, 0, n, b" ".join(map(name, w2[a:b])), n2[a:b].tobytes(), k3[a:b].tobytes(), b" ".join(map(name, w3[c:d])), n3[c:d].tobytes()
-            continue
-        dealt = np.array([slot_of(names[x], n_slots) for x in w2[a:b]], np.int64)
-        for slot in np.unique(dealt).tolist():
-            arcs = np.flatnonzero(dealt == slot) + a
-            last = np.concatenate([np.arange(first3[x], first3[x + 1]) for x in arcs.tolist()])
-            yield lang, word, slot, n, b" ".join(map(name, t.w2[arcs].tolist())), n2[arcs].tobytes(), k3[arcs].tobytes(), b" ".join(map(name, t.w3[last].tolist())), n3[last].tobytes()
+    word = np.repeat(np.arange(len(t.w1)), np.diff(t.first2))
+    slot = np.zeros(len(t.w2), np.int64)
+    for i in [i for i, w in enumerate(t.w1.tolist()) if (lang, names[w]) in slots] if slots else ():
+        n = slots[lang, names[t.w1[i]]]
+        slot[t.first2[i] : t.first2[i + 1]] = [slot_of(names[x], n) for x in t.w2[t.first2[i] : t.first2[i + 1]].tolist()]
+    key = word << 32 | slot
+    order, k3 = np.argsort(key, kind="stable"), np.diff(t.first3)
+    third = np.repeat(t.first3[:-1][order] - np.r_[0, np.cumsum(k3[order])[:-1]], k3[order]) + np.arange(len(t.w3)) if len(order) else np.zeros(0, np.int64)
+    key = key[order]
+    rows = np.union1d(key, np.setdiff1d(np.arange(len(t.w1)), word) << 32)
+    at, words = rows >> 32, pa.array(names, pa.binary()).cast(pa.string())
+    heads = [pa.array([lang], pa.string()).take(pa.array(np.zeros(len(rows), np.int64))), words.take(pa.array(t.w1[at])), pa.array((rows & (1 << 32) - 1).astype(np.int32))]
+    return _rows_of(heads, t.n1[at], np.r_[np.searchsorted(key, rows), len(key)], t.w2[order], t.n2[order], k3[order], t.w3[third], t.n3[third], names)
 
 
 def _blocks(texts: DataFrame, slots, block_words: int, block_names: int) -> DataFrame:
@@ -167,15 +188,8 @@ def _blocks(texts: DataFrame, slots, block_words: int, block_names: int) -> Data
             order = sorted(w for w in ids if w != _STOP)
             rank = np.zeros(len(ids), np.int64)
             rank[[ids[w] for w in order]] = np.arange(1, len(order) + 1)
-            names, rows = [b"", *order], []
             for lang in sorted(parts):
-                for row in prefixes(Transducer(rank[np.concatenate(parts[lang])]), lang, names, slots.value):
-                    rows.append(row)
-                    if len(rows) == 5000:
-                        yield _batch(rows)
-                        rows = []
-            if rows:
-                yield _batch(rows)
+                yield prefixes(Transducer(rank[np.concatenate(parts[lang])]), lang, [b"", *order], slots.value)
 
         for lang, text in _rows(batches):
             mine = parts.setdefault(lang, [])
@@ -191,25 +205,33 @@ def _blocks(texts: DataFrame, slots, block_words: int, block_names: int) -> Data
     return texts.mapInArrow(run, PREFIX)
 
 
-def union(rows: list[tuple], least: int) -> list[tuple]:
+def _new_prefix(rows: pa.RecordBatch):
+    """Which rows begin a prefix."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    n = rows.num_rows
+    new = np.ones(n, bool)
+    if n > 1:
+        differ = [pc.not_equal(c[: n - 1], c[1:]).to_numpy(zero_copy_only=False) for c in rows.columns[:3]]
+        new[1:] = differ[0] | differ[1] | differ[2]
+    return new
+
+
+def union(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
     """United prefix rows: rows of equal (lang, word, slot) follow each other and become one, the weights of equal arcs added
     level by level; arcs below `least` go, and rows whose word is below it."""
     import numpy as np
 
     ids = _Ids()
-    key, heads = np.zeros(len(rows), np.int64), []
-    for k, r in enumerate(rows):
-        if not heads or heads[-1] != r[:3]:
-            heads.append(r[:3])
-        key[k] = len(heads) - 1
-
-    def words(at: int):
-        joined = b" ".join(r[at] for r in rows if r[at])
-        found = joined.split(b" ") if joined else []
-        return np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
+    new = _new_prefix(rows)
+    key = np.cumsum(new) - 1
+    n_keys = int(new.sum())
+    data = {c: _payload(rows.column(c)) for c in FIELDS[4:]}
 
-    def numbers(at: int, kind: str):
-        return np.frombuffer(b"".join(r[at] for r in rows), kind).astype(np.int64)
+    def words(c: str):
+        found = bytes(data[c][0])[:-1].split(b" ") if len(data[c][0]) else []
+        return np.fromiter(map(ids.__getitem__, found), np.int64, len(found))
 
     def added(state, word, n):
         """Arcs (state, word) with their sums, and which arc each of the given ones became."""
@@ -218,68 +240,61 @@ def union(rows: list[tuple], least: int) -> list[tuple]:
         np.add.at(total, became, n)
         return arcs, total, became
 
-    n1 = np.zeros(len(heads), np.int64)
-    np.add.at(n1, key, [r[3] for r in rows])
-    w2, k3, w3 = words(4), numbers(6, "<u4"), words(7)
-    arcs2, sum2, became2 = added(np.repeat(key, [len(r[5]) // 8 for r in rows]), w2, numbers(5, "<i8"))
-    arcs3, sum3, _ = added(np.repeat(became2, k3), w3, numbers(8, "<i8"))
-    keep3 = sum3 >= least
-    arcs3, sum3 = arcs3[keep3], sum3[keep3]
+    n1 = np.zeros(n_keys, np.int64)
+    np.add.at(n1, key, rows.column("n1").to_numpy())
+    arcs2, sum2, became2 = added(np.repeat(key, data["n2"][1] // 8), words("w2"), np.frombuffer(data["n2"][0], "<i8"))
+    arcs3, sum3, _ = added(np.repeat(became2, np.frombuffer(data["k3"][0], "<u4")), words("w3"), np.frombuffer(data["n3"][0], "<i8"))
+    keep = sum3 >= least
+    arcs3, sum3 = arcs3[keep], sum3[keep]
     per2 = np.bincount(arcs3 >> 32, minlength=len(arcs2)) if len(arcs2) else np.zeros(0, np.int64)
-    keep2 = sum2 >= least
-    arcs2, sum2, per2 = arcs2[keep2], sum2[keep2], per2[keep2]
-    names = [*ids]
-    name = names.__getitem__
-    last2, last3 = (arcs2 & (1 << 32) - 1).tolist(), (arcs3 & (1 << 32) - 1).tolist()
-    first2 = np.searchsorted(arcs2 >> 32, np.arange(len(heads) + 1)).tolist()
-    ends3 = np.r_[0, np.cumsum(per2)].tolist()
-    out, kinds = [], (sum2.astype("<i8"), per2.astype("<u4"), sum3.astype("<i8"))
-    for k, head in enumerate(heads):
-        if n1[k] >= least:
-            a, b = first2[k], first2[k + 1]
-            c, d = ends3[a], ends3[b]
-            out.append((*head, int(n1[k]), b" ".join(map(name, last2[a:b])), kinds[0][a:b].tobytes(), kinds[1][a:b].tobytes(), b" ".join(map(name, last3[c:d])), kinds[2][c:d].tobytes()))
-    return out
+    keep = sum2 >= least
+    arcs2, sum2, per2 = arcs2[keep], sum2[keep], per2[keep]  # no arc that goes has a third word that stays
+    stay = np.flatnonzero(n1 >= least)  # nor a word that goes a second
+    heads = [c.take(pa.array(np.flatnonzero(new)[stay])) for c in rows.columns[:3]]
+    low = (1 << 32) - 1
+    return _rows_of(heads, n1[stay], np.r_[np.searchsorted(arcs2 >> 32, stay), len(arcs2)], arcs2 & low, sum2, per2, arcs3 & low, sum3, [*ids])
 
 
 def _united(blocks: DataFrame, shards: int, least: int, arcs: int) -> DataFrame:
     """One row a prefix, with all occurrences' counts of at least `least`."""
 
+    def size_of(rows: pa.RecordBatch) -> int:
+        return rows.num_rows + (len(_payload(rows.column("n2"))[0]) + len(_payload(rows.column("n3"))[0])) // 8
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        size, first = 0, 0  # arcs held, and where the last prefix begins
+        import numpy as np
+
+        held: list[pa.RecordBatch] = []
+        size = 0
         for batch in batches:
-            columns = [c.cast(pa.binary()).to_pylist() if n == "word" else c.to_pylist() for n, c in zip(FIELDS, batch.columns)]
-            for row in zip(*columns):
-                if held and held[-1][:3] != row[:3]:
-                    if size >= arcs:
-                        yield from _batches(union(held, least))
-                        held, size = [], 0
-                    first = len(held)
-                held.append(row)
-                size += 1 + (len(row[5]) + len(row[8])) // 8
-                if size >= 2 * arcs and len(held) - first > 1:  # a prefix of many arcs: what is here of it becomes one row
-                    yield from _batches(union(held[:first], least))
-                    held, first = union(held[first:], 0), 0
-                    size = 0  # it is united again after as many arcs
-        yield from _batches(union(held, least))
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += size_of(batch)
+            if size < arcs:
+                continue
+            rows = pa.concat_batches(held)
+            last = int(np.flatnonzero(_new_prefix(rows))[-1])
+            if last:
+                yield union(rows.slice(0, last), least)
+                held = [rows.slice(last)]
+                size = size_of(held[0])
+            elif size >= 2 * arcs:  # one prefix of many arcs: what is here becomes one row, united again after as many more
+                held, size = [union(rows, 0)], 0
+        if held:
+            yield union(pa.concat_batches(held), least)
 
     return blocks.repartition(shards, "lang", "word", "slot").sortWithinPartitions("lang", "word", "slot").mapInArrow(run, PREFIX)
 
 
-def _batches(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(rows), 5000):
-        yield _batch(rows[at : at + 5000])
-
-
 def _grams(row: tuple) -> Iterator[tuple[bytes, int, list[tuple[bytes, int]]]]:
     """The second words of a prefix row: word, count, third words with their counts."""
     import numpy as np
 
     if not row[4]:
         return
-    third = iter(zip(row[7].split(b" ") if row[7] else [], np.frombuffer(row[8], "<i8").tolist()))
-    for w, n, k in zip(row[4].split(b" "), np.frombuffer(row[5], "<i8").tolist(), np.frombuffer(row[6], "<u4").tolist()):
+    third = iter(zip(row[7][:-1].split(b" ") if row[7] else [], np.frombuffer(row[8], "<i8").tolist()))
+    for w, n, k in zip(row[4][:-1].split(b" "), np.frombuffer(row[5], "<i8").tolist(), np.frombuffer(row[6], "<u4").tolist()):
         yield w, n, [next(third) for _ in range(k)]
 
 
@@ -336,7 +351,7 @@ def _composed(united: DataFrame, asked: DataFrame, shards: int) -> DataFrame:
             at, r = [], []
             for i, (n, w2, n2, rest) in enumerate(zip(b["n1"], b["w2"], b["n2"], b["rest"])):
                 if n is not None:
-                    n1, arcs = n, dict(zip(w2.split(b" "), np.frombuffer(n2, "<i8").tolist())) if w2 else {}
+                    n1, arcs = n, dict(zip(w2[:-1].split(b" "), np.frombuffer(n2, "<i8").tolist())) if w2 else {}
                     continue
                 _, blank, last = rest.partition(b" ")
                 at.append(i)

@@ -6,6 +6,8 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from evidex.llm import collocations, queries
 
@@ -86,17 +88,18 @@ def test_transducer_and_union():
     for at in range(0, 60, 10):
         names = [b"", *sorted({w for t in texts[at : at + 10] for w in t.split()})]
         numbers = np.array([x for t in texts[at : at + 10] for x in [*map(names.index, t.split()), 0]], np.int64)
-        rows += collocations.prefixes(collocations.Transducer(numbers), "en", names, {("en", b"c"): 2})
-    rows.sort(key=lambda r: r[:3])
+        rows.append(collocations.prefixes(collocations.Transducer(numbers), "en", names, {("en", b"c"): 2}))
+    rows = pa.concat_batches(rows)
+    rows = rows.take(pc.sort_indices(rows, [("word", "ascending"), ("slot", "ascending")]))
     want = Counter(g for t in texts for g in grams(t.decode()))
     got = Counter()
-    for row in collocations.union(rows, 3):
-        if row[1] != b"c":
+    for row in zip(*(c.to_pylist() for c in collocations.union(rows, 3).columns)):
+        if row[1] != "c":
             got[(row[1],)] = row[3]
         for two, n, more in collocations._grams(row):
-            got[row[1], two] = n
-            got.update({(row[1], two, three): m for three, m in more})
-    assert got == Counter({tuple(w.encode() for w in k): n for k, n in want.items() if n >= 3 and k != ("c",)})
+            got[row[1], two.decode()] = n
+            got.update({(row[1], two.decode(), three.decode()): m for three, m in more})
+    assert got == Counter({k: n for k, n in want.items() if n >= 3 and k != ("c",)})
 
 
 def test_query_against_sql(spark, sf):
