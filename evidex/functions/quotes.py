@@ -6,8 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of a quote that are looked for where the whole isn't found, and quotes sent to all tasks at once.
-HEAD_WORDS, SHORT_BLOCK = 8, 2_000
+from ..operators import automaton
+from ..session import staged
+
+#: Words of a quote that are looked for where the whole isn't found.
+HEAD_WORDS = 8
 
 
 def flat(text: Column | str) -> Column:
@@ -26,26 +29,29 @@ def located(docs: DataFrame, quotes: DataFrame) -> DataFrame:
 
     A quote is looked for exactly, then with any case and white space, then, if it has more than HEAD_WORDS words, by its
     first HEAD_WORDS; form says which was found first. Texts are met by the rarest inner word of each form, so no text
-    meets all quotes; forms of one or two words, which have no inner word, go to all texts in counted blocks.
+    meets all quotes; forms of one or two words, which have no inner word, are found by an automaton over all of them. What
+    may be met is known by ids first; texts are fetched for those ids alone, once.
     """
     words = F.split(flat("quote"), " ")
     whole = quotes.select("quote_id", F.lit(0).alias("form"), F.trim("quote").alias("quote")).filter("quote <> ''")
     raw_words = F.split(F.trim("quote"), r"\s+")
     head = quotes.filter(F.size(words) > HEAD_WORDS).select("quote_id", F.lit(1).alias("form"), F.array_join(F.slice(raw_words, 1, HEAD_WORDS), " ").alias("quote"))
-    forms = whole.union(head).withColumn("flat", flat("quote"))
+    forms = staged(whole.union(head).withColumn("flat", flat("quote")), "forms")
     inner = F.slice(F.split("flat", " "), 2, F.greatest(F.size(F.split("flat", " ")) - 2, F.lit(0)))
     terms = forms.select("quote_id", "form", F.explode(F.array_distinct(inner)).alias("term"))
-    bodies = docs.select("doc_id", "text", flat("text").alias("body"))
+    bodies = docs.select("doc_id", flat("text").alias("body"))
     postings = bodies.select("doc_id", F.explode(F.array_distinct(F.split("body", " "))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    postings = staged(postings, "postings")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     rare = terms.join(df, "term", "left").groupBy("quote_id", "form").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    met = rare.join(postings, "term").select("quote_id", "form", "doc_id").join(forms, ["quote_id", "form"]).join(bodies, "doc_id").filter(F.col("body").contains(F.col("flat")))
-    met = met.select("quote_id", "form", "quote", "doc_id", "text")
-    short = forms.filter(F.size(F.split("flat", " ")) <= 2)
-    blocks = -(-short.count() // SHORT_BLOCK)
-    for b in range(blocks):
-        block = F.broadcast(short.filter(F.pmod(F.xxhash64("quote_id"), F.lit(blocks)) == b))
-        met = met.union(bodies.join(block, F.col("body").contains(F.col("flat"))).select("quote_id", "form", "quote", "doc_id", "text"))
+    met = rare.join(postings, "term").select("quote_id", "form", "doc_id")
+    short = forms.filter(F.size(F.split("flat", " ")) <= 2).select("quote_id", "form", "flat")
+    if not short.isEmpty():
+        near = automaton.found(bodies, "doc_id", "body", short.select("flat").distinct().withColumn("phrase", F.col("flat")), "flat", "phrase")
+        met = met.union(near.join(short, "flat").select("quote_id", "form", "doc_id"))
+    met = staged(met.join(forms, ["quote_id", "form"]), "met")
+    texts = docs.join(met.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "text", flat("text").alias("body"))
+    met = met.join(texts, "doc_id").filter(F.col("body").contains(F.col("flat")))
     exact = F.expr("locate(quote, text)") - 1
     tolerant = F.regexp_instr("text", pattern(F.col("quote"))) - 1
     n = F.when((F.col("form") == 0) & (exact >= 0), F.length("quote")).otherwise(F.length(F.regexp_substr("text", pattern(F.col("quote")))))

@@ -77,6 +77,44 @@ def mirrors(docs: DataFrame, id: str, source: str, signals: list[str]) -> DataFr
     return picked.join(docs.select(id, source), id).join(sources, "mirror_of").filter(F.col(source) != F.col("_other")).select(id, "mirror_of", "signal")
 
 
+def linked_mirrors(docs: DataFrame, id: str, source: str, signals: list[str], url: str, canonical: str, most_rounds: int = 200) -> DataFrame:
+    """(id, mirror_of, signal): copies taken from another source, by three kinds of signal in order: equal values of a column
+    of `signals`, then a declared canonical address that is another document's own (signal `canonical`).
+
+    Ids are in the order of time. A document looks for the earliest earlier document that shares its first matching signal and
+    is no mirror itself; if that one has another source, the document is its mirror, else it stands on its own. Nulls match
+    nothing. Whether a document is a mirror depends on earlier ones alone, so each round settles all documents whose earliest
+    open candidates are settled; a group waits for its first member only, and rounds are as many as the longest wait. Narrow
+    rows meet by sums per signal value.
+    """
+    from ..session import staged
+
+    asked = {s: (s, s) for s in signals} | {"canonical": (canonical, url)}
+    rows = staged(docs.select(id, source, *signals, url, canonical), "signals")
+    state = staged(rows.select(id, F.lit(None).cast("boolean").alias("_mirror")), "state")  # null: open
+    links = None
+    for _ in range(most_rounds):
+        standing = rows.join(state, id).filter("_mirror IS NULL OR NOT _mirror")
+        todo = standing.filter("_mirror IS NULL").drop("_mirror")
+        parts = []
+        for rank, (mine, theirs) in enumerate(asked.values()):
+            held = standing.filter(F.col(theirs).isNotNull()).groupBy(F.col(theirs).alias("_v")).agg(F.min(F.struct(id, F.col("_mirror").isNull().alias("_open"), F.col(source).alias("_other"))).alias("_first"))
+            hit = todo.filter(F.col(mine).isNotNull()).select(id, source, F.col(mine).alias("_v")).join(held, "_v").filter(F.col(f"_first.{id}") < F.col(id))
+            parts.append(hit.select(id, source, F.lit(rank).alias("_rank"), "_first"))
+        best = reduce(DataFrame.unionByName, parts).groupBy(id, source).agg(F.min(F.struct("_rank", "_first")).alias("_b"))
+        best = staged(todo.select(id).join(best, id, "left"), "found")
+        settled = best.filter("_b IS NULL OR NOT _b._first._open")
+        other = F.coalesce(F.col("_b._first._other") != F.col(source), F.lit(False))
+        now = staged(settled.select(id, other.alias("_now"), F.col(f"_b._first.{id}").alias("mirror_of"), F.col("_b._rank").alias("_rank")), "settled")
+        if now.isEmpty():
+            names = F.element_at(F.array(*map(F.lit, asked)), F.col("_rank") + 1)
+            return links.select(id, "mirror_of", names.alias("signal"))
+        more = now.filter("_now").drop("_now")
+        links = more if links is None else links.unionByName(more)
+        state = staged(state.join(now.select(id, "_now"), id, "left").select(id, F.coalesce("_now", "_mirror").alias("_mirror")), "state")
+    raise RuntimeError("mirrors did not settle")
+
+
 def independent_sources(evidence: DataFrame, item: str, excerpt: str, source: str, order: str) -> DataFrame:
     """(item, n_sources): the sources that were first to say some excerpt of the item."""
     owner = evidence.groupBy(item, excerpt).agg(F.min_by(source, order).alias("_owner"))

@@ -52,11 +52,18 @@ def _plain(text: str) -> str:
     return rf"trim(regexp_replace(lower({text}), '\s+', ' ', 'g'))"
 
 
+def _bounded(cue: str) -> str:
+    """A cue whose word bounds know letters beyond ASCII: they stand at its ends alone."""
+    other = r"[^\p{L}\p{N}_]"
+    cue = rf"(?:^|{other})" + cue[2:] if cue.startswith(r"\b") else cue
+    return cue[:-2] + rf"(?:{other}|$)" if cue.endswith(r"\b") else cue
+
+
 def _intent(text: str, declared: dict[str, list[str]] | None = None) -> str:
     parts = []
     for cues in (declared or {}, K.CUES):
         for name in K.CUES:
-            hits = " OR ".join("regexp_matches({}, '{}')".format(text, c.replace("'", "''")) for c in cues.get(name, []))
+            hits = " OR ".join("regexp_matches({}, '{}')".format(text, _bounded(c).replace("'", "''")) for c in cues.get(name, []))
             parts += [f"WHEN {hits} THEN '{name}'"] if hits else []
     return "CASE " + " ".join(parts) + " END"
 

@@ -49,6 +49,6 @@ def first_of_each(events: DataFrame, keys: list[str], delay: str = "40 days") ->
 
 
 def sessions(events: DataFrame, key: str, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
-    """Runs of a key's events with no gap of that length."""
+    """Runs of a key's events, none later than `gap` after the one before; just `gap` later still belongs."""
     runs = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap), key)
     return runs.agg(F.count("*").alias("n")).select(key, F.col("session_window.start").cast("timestamp_ntz").alias("started"), "n")
