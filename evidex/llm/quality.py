@@ -41,10 +41,9 @@ def with_base(docs: DataFrame, text: str = "text") -> tuple[DataFrame, dict[str,
     plain = ["words", "hashes", "windows", "sorted", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "capitals", "marks", "distinct"]
     c = {k: free_name(docs, f"_q_{k}") for k in plain}
     t = F.coalesce(F.col(text), F.lit(""))
-    bare = F.regexp_replace(t, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w, h, s = (F.col(c[k]) for k in ("words", "hashes", "sorted"))
-    out = docs.withColumn(c["words"], F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, r"[\x20\x09-\x0D]+")))
+    out = docs.withColumn(c["words"], F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda x: x != ""))
     out = out.withColumn(c["hashes"], F.transform(w, lambda x: F.xxhash64(x)))
     windows = F.transform(F.slice(h, 1, F.greatest(F.size(w) - 4, F.lit(0))), lambda _, i: F.xxhash64(*(F.get(h, i + k) for k in range(5))))
     out = out.withColumn(c["windows"], windows)

@@ -74,8 +74,9 @@ def split_name(name: str, counts: dict[str, int], total: int, longest: int = LON
 
 
 def word_counts(pages: DataFrame, body: str = "html") -> DataFrame:
-    """(word, n): ASCII letter runs of the pages' texts without markup, lower-cased, of at most LONGEST letters."""
-    plain = F.lower(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"(?s)<(script|style)\b.*?</\1\s*>|<[^>]*>|&[a-zA-Z0-9#]+;", " "))
+    """(word, n): ASCII letter runs of the pages' texts without markup, lower-cased, of at most LONGEST letters. An unclosed
+    script or style takes the rest of its page; no page takes more time than its length."""
+    plain = F.lower(F.regexp_replace(F.coalesce(F.col(body), F.lit("")), r"(?s)<(script|style)\b.*?(?:</\1[^<>]*>|\z)|<[^<>]*>|&[a-zA-Z0-9#]+;", " "))
     words = pages.select(F.explode(F.split(plain, r"[^a-z]+")).alias("word"))
     return words.filter(F.length("word").between(2, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from evidex.llm import quality as Q
 
@@ -19,6 +20,7 @@ def slow_base(text):
 def test_base_statistics(spark):
     rng = random.Random(2)
     texts = [None, "", " \t", "one", "a b c d e a b c d e", "\x0b\fx\r\ny ## <b>|é ü z", "same line\nsame line\n \n \nsame line"]
+    texts += ["abc \u2028", "\x85", "a\u2029 \u2028\n\x85 b\x85", " \x0b\x85\x0c ", "a b c d e f g h i j\n\u2028\n\u2028"]  # line ends that are no white space here
     for _ in range(40):
         words = rng.choices(["a", "b", "é*", "Cc", "d.", "$"], k=rng.randrange(60))
         texts.append("".join(w + rng.choice([" ", "\n", "  ", "\t"]) for w in words))
@@ -29,6 +31,15 @@ def test_base_statistics(spark):
     assert all(r.kept == (not r.base_failed) for r in got)
 
 
+def test_long_white_space_takes_its_length(spark):
+    """A run of a million blanks, inside a text and at both ends."""
+    text = " " * 1_000_000 + "a" + "\n\t " * 300_000 + "b" + " " * 1_000_000
+    start = time.perf_counter()
+    (row,) = Q.judged(spark.createDataFrame([(1, text, "en", "s")], SCHEMA)).collect()
+    assert (row.n_words, row.word_chars, row.base_failed) == (2, 2, True)
+    assert time.perf_counter() - start < 60
+
+
 def prose(rng, n, vocab):
     return " ".join(rng.choice(vocab) + rng.choice(["", "", "", ",", "."]) for _ in range(n))
 

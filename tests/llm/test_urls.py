@@ -94,3 +94,15 @@ def test_very_long_url(spark):
 
 def test_empty(spark):
     assert U.judged(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
+def test_hostile_pages_take_their_length(spark):
+    """Open brackets and unclosed scripts by the hundred thousand."""
+    import time
+
+    pages = ["<" * 400_000 + "word", "<script>" * 100_000, "<style x" * 100_000 + " left", "a<script>gone", "<b>kept</b> <p kept2", "&" * 300_000 + "amp;tail"]
+    rows = spark.createDataFrame([(i, "http://a.com/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    start = time.perf_counter()
+    got = {r.word for r in U.word_counts(rows).collect()}
+    assert time.perf_counter() - start < 30
+    assert {"kept", "word", "tail"} <= got and "gone" not in got
