@@ -1,6 +1,6 @@
 """The registered queries."""
 
-from . import evaluation, extensions, indexes, knowledge, ranking, records, retrieval, streams, text
+from . import evaluation, extensions, indexes, knowledge, ranking, records, retrieval, streams, summaries, text
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "extensions", "indexes", "knowledge", "ranking", "records", "retrieval", "streams", "text"]
+__all__ = ["ORACLES", "QUERIES", "evaluation", "extensions", "indexes", "knowledge", "ranking", "records", "retrieval", "streams", "summaries", "text"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import automaton, prefixes, proximity, quality, temporal, vectors
+from ..operators import automaton, prefixes, proximity, quality, schema, temporal, vectors
 from ..session import staged, table
 from .registry import query
 from .retrieval import WORDS
@@ -208,3 +208,36 @@ def p04_phrase_mentions(spark, sf):
     bench = table(spark, sf, "benchmark")
     asked = table(spark, sf, "part").select(F.col("p_name").alias("phrase")).union(bench.select(first[0])).union(bench.select(F.array_join(F.slice(first, 1, 3), " "))).distinct()
     return automaton.found(table(spark, sf, "documents"), "doc_id", "text", asked.withColumn("phrase_id", F.col("phrase")), "phrase_id", "phrase").select(F.col("phrase_id").alias("phrase"), "doc_id", "first")
+
+
+EVENT_SCHEMA = {
+    "type": "object",
+    "required": ["id", "kind", "props"],
+    "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer"},
+        "kind": {"enum": ["click", "view", "error", "signup"]},
+        "value": {"type": "number", "minimum": 0, "maximum": 90},
+        "props": {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 80}}},
+        "tags": {"type": "array", "items": {"type": "string"}},
+        "note": {"anyOf": [{"type": "string", "pattern": "^ok"}, {"type": "null"}]},
+    },
+}
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id % 17 = 0 AS broken FROM events),
+    p AS (SELECT event_id, broken, [CASE WHEN event_type NOT IN ('click', 'view', 'error', 'signup') THEN 'kind: is not one of click, view, error, signup' END,
+        CASE WHEN event_id % 5 = 0 THEN 'value: is not of type number' WHEN value > 90 THEN 'value: is above 90' WHEN value < 0 THEN 'value: is below 0' END,
+        CASE WHEN event_id % 7 = 0 THEN 'props: is missing' WHEN k IS NULL THEN 'props.k: is missing' WHEN k > 80 THEN 'props.k: is above 80' END,
+        CASE WHEN event_id % 11 = 0 THEN 'tags[1]: is not of type string' END, CASE WHEN event_id % 13 = 0 THEN 'more: is not declared' END, CASE WHEN event_id % 3 = 1 AND event_id % 19 = 0 THEN 'note: is none of what is allowed' END] AS found FROM e),
+    r AS (SELECT event_id, broken, unnest(CASE WHEN broken THEN [': is not valid JSON'] ELSE list_filter(found, lambda x: x IS NOT NULL) END) AS x FROM p)
+    SELECT event_id, CASE WHEN NOT broken THEN CAST(event_id AS VARCHAR) END AS record, split_part(x, ': ', 1) AS field, split_part(x, ': ', 2) AS problem FROM r""")
+def x12_schema_problems(spark, sf):
+    """Events as JSON lines, some of them broken in one way or another, held against a declared schema."""
+    id = F.col("event_id")
+    text = F.concat(
+        F.lit('{"id":'), id, F.lit(',"kind":"'), "event_type", F.lit('","value":'), F.when(id % 5 == 0, '"high"').otherwise(F.col("value").cast("string")), F.when(id % 7 == 0, "").otherwise(F.concat(F.lit(',"props":'), "props")),
+        F.lit(',"tags":["a",'), F.when(id % 11 == 0, "5").otherwise('"b"'), F.lit('],"note":'), F.when(id % 3 == 0, "null").when((id % 3 == 1) & (id % 19 == 0), '"bad"').otherwise('"ok"'), F.when(id % 13 == 0, ',"more":1').otherwise(""), F.lit("}"))
+    lines = table(spark, sf, "events").select("event_id", F.when(id % 17 == 0, "{not json").otherwise(text).alias("line"))
+    return schema.problems(lines, "line", EVENT_SCHEMA, ["event_id"])
