@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import summaries
-from ..session import table
+from ..session import staging, table
+from ..sources import digested, store
 from .registry import query
 
 LINES = """SELECT l_orderkey AS item, l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey AS nth, CASE l_linenumber % 4 WHEN 0 THEN 'human' WHEN 3 THEN 'validator' ELSE 'extraction' END AS kind, s_nationkey AS source, CAST(l_partkey % 3 AS VARCHAR) AS excerpt, l_linestatus = 'F' AS verified,
@@ -84,3 +87,33 @@ def r03_synonym_groups(spark, sf):
     added = summaries.synonyms(asked, "q", "text", parts.union(bench))
     part = F.split("q", "/")
     return added.select(part[0].cast("long").alias("conv_id"), part[1].cast("long").alias("turn"), "added")
+
+
+@query("""
+    WITH o AS (SELECT s_suppkey AS k, s_name AS name, CAST(s_nationkey AS INT) AS authority, CASE WHEN s_suppkey % 2 = 0 THEN 'official' ELSE 'community' END AS source_class, CASE s_suppkey % 3 WHEN 0 THEN 'CANDIDATE' WHEN 1 THEN 'ACTIVE' ELSE 'DISABLED' END AS status, CASE WHEN s_suppkey % 10 = 1 THEN s_suppkey - 1 END AS mirror_of FROM supplier WHERE s_suppkey % 9 <> 0),
+    d AS (SELECT s_suppkey AS k, s_name AS name, CAST(s_nationkey + CASE WHEN s_suppkey % 4 = 0 THEN 50 ELSE 0 END AS INT) AS authority, CASE WHEN s_suppkey % 6 = 1 THEN 'external' WHEN s_suppkey % 6 = 2 THEN 'official' END AS source_class, CASE s_suppkey % 10 WHEN 1 THEN s_suppkey WHEN 2 THEN s_suppkey - 1 WHEN 3 THEN -5 END AS mirror_of FROM supplier WHERE s_suppkey % 5 <> 0),
+    e AS (SELECT k, name, authority, coalesce(source_class, CASE WHEN authority >= 50 THEN 'official' ELSE 'external' END) AS source_class, mirror_of FROM d),
+    keys AS (SELECT k FROM o UNION SELECT k FROM e)
+    SELECT coalesce(o.k, e.k) AS source_key, CASE WHEN o.k IS NULL THEN 'insert' WHEN e.k IS NULL THEN 'absent' WHEN o.name <> e.name OR o.authority <> e.authority OR o.source_class <> e.source_class OR o.mirror_of IS DISTINCT FROM e.mirror_of OR o.status = 'CANDIDATE' THEN 'update' ELSE 'same' END AS action,
+        CASE WHEN e.k IS NULL THEN o.authority ELSE e.authority END AS authority, CASE WHEN e.k IS NULL THEN o.source_class ELSE e.source_class END AS source_class, CASE WHEN o.k IS NULL OR (e.k IS NOT NULL AND o.status = 'CANDIDATE') THEN 'ACTIVE' ELSE o.status END AS status,
+        CASE WHEN e.k IS NULL THEN o.mirror_of WHEN e.mirror_of IN (SELECT k FROM keys) AND e.mirror_of <> e.k THEN e.mirror_of END AS mirror_of, coalesce(o.source_class <> e.source_class, false) AS class_changed
+    FROM o FULL JOIN e ON o.k = e.k""")
+def a12_catalogue_sync(spark, sf):
+    """Suppliers as a catalogue, declared anew: candidates promoted, classes changed or defaulted, mirrors resolved at last."""
+    k = F.col("s_suppkey")
+    rows = table(spark, sf, "supplier").select(k.alias("source_key"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("authority"), k)
+    stored = rows.filter("s_suppkey % 9 <> 0").withColumn("source_class", F.when(k % 2 == 0, "official").otherwise("community")).withColumn("status", F.when(k % 3 == 0, "CANDIDATE").when(k % 3 == 1, "ACTIVE").otherwise("DISABLED")).withColumn("mirror_of", F.when(k % 10 == 1, k - 1))
+    declared = rows.filter("s_suppkey % 5 <> 0").withColumn("authority", (F.col("authority") + F.when(k % 4 == 0, 50).otherwise(0)).cast("int")).withColumn("source_class", F.when(k % 6 == 1, "external").when(k % 6 == 2, "official")).withColumn("mirror_of", F.when(k % 10 == 1, k).when(k % 10 == 2, k - 1).when(k % 10 == 3, F.lit(-5)))
+    default = F.when(F.col("authority") >= 50, "official").otherwise("external")
+    return store.catalogue_sync(stored, declared, "source_key", ["name", "authority"], default).drop("name")
+
+
+@query("SELECT o_orderkey, o_orderdate, round(o_totalprice, 2) AS o_totalprice, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus, [o_orderpriority, CAST(o_custkey AS VARCHAR)] AS tags FROM orders")
+def a13_a14_digested_round_trip(spark, sf):
+    """Orders through the data source of digested files: half of them written, the rest appended, all read back."""
+    digested.register(spark)
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderdate", F.round("o_totalprice", 2).alias("o_totalprice"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.array("o_orderpriority", F.col("o_custkey").cast("string")).alias("tags"))
+    path = f"{staging(spark)}/digested-{uuid.uuid4().hex}"
+    rows.filter("o_orderkey % 2 = 0").write.format("digested").mode("overwrite").save(path)
+    rows.filter("o_orderkey % 2 <> 0").write.format("digested").mode("append").save(path)
+    return spark.read.format("digested").schema(rows.schema).load(path)

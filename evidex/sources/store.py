@@ -38,6 +38,33 @@ def catalogue_upsert(stored: DataFrame, declared: DataFrame, key: str, fields: l
     return both.select(key, action.alias("action"), *(F.when(F.col("_new").isNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in fields))
 
 
+def catalogue_sync(stored: DataFrame, declared: DataFrame, key: str, fields: list[str], default_class: Column) -> DataFrame:
+    """(key, action, fields, source_class, status, mirror_of, class_changed): the catalogue after its declaration is read.
+
+    `stored` and `declared`: key, fields, source_class, mirror_of (a key), and `stored` its status. A declared entry is
+    inserted as ACTIVE or takes the declared fields, a candidate becomes ACTIVE, any other status stays. Without a declared
+    class `default_class` counts, over the declared columns. Mirrors are resolved in a second pass, when every key exists: an
+    unknown primary, or the entry itself, is none. Entries no longer declared stay as they are. `class_changed` tells the
+    entries that existed and whose class is another now: the provenance of their items is due.
+    """
+    columns = [*fields, "source_class", "mirror_of"]
+    old = stored.select(key, *(F.col(c).alias(f"_{c}") for c in [*columns, "status"]), F.lit(True).alias("_old"))
+    new = declared.withColumn("source_class", F.coalesce(F.when(F.col("source_class") != "", F.col("source_class")), default_class)).select(key, *columns, F.lit(True).alias("_new"))
+    both = old.join(new, key, "full_outer")
+    gone, fresh = F.col("_new").isNull(), F.col("_old").isNull()
+    differ = F.lit(False)
+    for c in columns:
+        differ = differ | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    action = F.when(fresh, "insert").when(gone, "absent").when(differ | (F.col("_status") == "CANDIDATE"), "update").otherwise("same")
+    status = F.when(fresh | (~gone & (F.col("_status") == "CANDIDATE")), "ACTIVE").otherwise(F.col("_status"))
+    kept = {c: F.when(gone, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
+    changed = ~fresh & ~gone & ~F.col("source_class").eqNullSafe(F.col("_source_class"))
+    rows = both.select(key, action.alias("action"), *(v.alias(c) for c, v in kept.items()), status.alias("status"), changed.alias("class_changed"), gone.alias("_gone"))
+    keys = both.select(F.col(key).alias("_primary"))
+    known = rows.join(keys, (F.col("mirror_of") == F.col("_primary")) & (F.col("mirror_of") != F.col(key)), "left")
+    return known.select(key, "action", *fields, "source_class", "status", F.when(F.col("_gone"), F.col("mirror_of")).otherwise(F.col("_primary")).alias("mirror_of"), "class_changed")
+
+
 def to_embed(vectors: DataFrame, id: str, outdated: Column) -> DataFrame:
     """The ids whose vector is missing or of another model."""
     return vectors.filter(outdated).select(id)
