@@ -60,3 +60,14 @@ def a13_a14_jsonl_round_trip(spark, sf):
     path = f"{staging(spark)}/jsonl-{uuid.uuid4().hex}"
     store.write_jsonl(part, path, "p_partkey")
     return store.read_jsonl(spark, path, T.StructType([T.StructField(f.name, f.dataType) for f in part.schema.fields]))
+
+
+@query("""SELECT 'parts' AS file, count(*) AS n_rows, count(DISTINCT p_brand) AS n_brands FROM part UNION ALL SELECT 'ext/dear', count(*), count(DISTINCT p_brand) FROM part WHERE p_retailprice > 1500
+    UNION ALL SELECT 'ext/brands', count(*), count(DISTINCT p_brand) FROM (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) WHERE n > 1""")
+def u04_export_extension(spark, sf):
+    """An export's files with those that two extensions make from its records."""
+    files = {"parts": table(spark, sf, "part").select("p_partkey", "p_brand", "p_retailprice")}
+    dear = lambda records: {"dear": records["parts"].filter("p_retailprice > 1500")}
+    brands = lambda records: {"brands": records["parts"].groupBy("p_brand").agg(F.count("*").alias("n")).filter("n > 1")}
+    sizes = [rows.agg(F.count("*").alias("n_rows"), F.countDistinct("p_brand").alias("n_brands")).select(F.lit(name).alias("file"), "n_rows", "n_brands") for name, rows in validators.extended(files, dear, brands).items()]
+    return sizes[0].union(sizes[1]).union(sizes[2])

@@ -247,3 +247,19 @@ def r38_staged_retrieval(spark, sf):
     """The whole pipeline, from the pool to the expansion (its diversity is sequential within a list, so beyond SQL)."""
     of, pool = candidates(spark, sf)
     return K.retrieve(pool, analysed(spark, sf), staged(of, "candidates"), found(spark, sf), 8)
+
+
+@query(P.FUSED + f", {Q}, {ITEMS}, {ENTITIES}" + f""", r37 AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0), 9) DESC, id) AS rank FROM u),
+    chosen AS (SELECT query, id FROM r37 WHERE rank <= 10), asked AS (SELECT query, {_intent(_plain('text'))} AS intent FROM q),
+    two AS (SELECT query, lower(canonical) AS entity, row_number() OVER (PARTITION BY query ORDER BY length(text) DESC, text) AS nth FROM ent QUALIFY nth <= 2),
+    pool AS (SELECT two.query, nth, i.id, i.role, i.polarity, row_number() OVER (PARTITION BY two.query, nth ORDER BY confidence DESC, i.id) AS place FROM two JOIN items i ON lower(i.subject) = entity QUALIFY place <= 20),
+    held AS (SELECT pool.*, intent, c.id IS NOT NULL AS taken, max(CASE WHEN c.id IS NOT NULL AND role = 'foundation' THEN 1 ELSE 0 END) OVER (PARTITION BY pool.query, nth) = 1 AS has FROM pool JOIN asked ON asked.query = pool.query LEFT JOIN chosen c ON c.query = pool.query AND c.id = pool.id),
+    wants AS (SELECT query, nth, id, place, 'foundation' AS why, 0 AS o FROM held WHERE NOT taken AND role = 'foundation' AND NOT has UNION ALL SELECT query, nth, id, place, 'negative', 1 FROM held WHERE NOT taken AND polarity = 'negative' AND intent IN ('limitation', 'troubleshooting', 'error')
+      UNION ALL SELECT query, nth, id, place, 'example', 2 FROM held WHERE NOT taken AND role = 'example' AND intent = 'example'),
+    one AS (SELECT query, nth, why, o, arg_min(id, place) AS id FROM wants GROUP BY ALL), once AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY nth, o) = 1)
+    SELECT query, id, why FROM once QUALIFY row_number() OVER (PARTITION BY query ORDER BY nth, o) <= 3""")
+def r37_bounded_expansion(spark, sf):
+    """What is added to the ten results of the hybrid search: a foundation, a negative item, an example, three at most."""
+    chosen = staged(P.r28_rrf_hybrid(spark, sf).select("query", "id"), "chosen")
+    asked = questions(spark, sf).select("query", K.intent("text").alias("intent"))
+    return K.expansion(chosen, found(spark, sf), asked, items(spark, sf))

@@ -140,7 +140,7 @@ def c06_quote_location(spark, sf):
 
 @query()
 def c09_passages(spark, sf):
-    """Windows around the first two words of a document's source and language names (a row function)."""
+    """Windows around the mentions of a document's own first two words (a row function; tests hold it against a plain search)."""
     needles = F.array(F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2)))
     found = table(spark, sf, "documents").select("doc_id", quotes.passages("text", needles).alias("p"))
     return found.select("doc_id", F.size("p").alias("n"), F.transform("p", lambda x: F.length(x)).alias("lengths"), F.sha2(F.array_join("p", "\n"), 256).alias("digest"))

@@ -89,3 +89,33 @@ def test_chunked_frame(spark):
     docs = spark.createDataFrame([(1, "# A\n" + "word " * 100), (2, None), (3, "tiny")], "doc_id long, text string").selectExpr("*", "1 AS id", "2 AS start")
     rows = chunking.chunked(docs).collect()
     assert [(r["doc_id"], r["index"], r["heading_path"]) for r in rows] == [(1, 0, ["A"])]
+
+
+def test_passages_against_a_plain_search(spark):
+    """Windows around each mention, no more than three, none within another; the beginning where nothing is mentioned."""
+    import random
+
+    from evidex.functions import quotes
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    rows = [(" ".join(rng.choice(["Alpha", "beta", "gamma delta", "x"]) for _ in range(rng.randint(0, 60))), rng.sample(["alpha", "BETA", "", "none", "delta x"], 2)) for _ in range(60)]
+
+    def plain(text, words, window, most):
+        out = []
+        for w in (w.lower().strip() for w in words):
+            at = [k for k in range(len(text)) if w and text.lower().startswith(w, k)]
+            last = -1
+            for k in at:
+                if k < last or len(out) >= most:
+                    continue
+                last = k + len(w)
+                piece = text[max(0, k - window // 2) : k + window // 2].strip()
+                if piece and not any(piece in o or o in piece for o in out):
+                    out.append(piece)
+        return out or [text[:window]]
+
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, w array<string>")
+    for window, most in ((900, 3), (40, 3), (20, 2)):
+        got = {r.i: r.p for r in df.select("i", quotes.passages(F.col("t"), F.col("w"), window, most).alias("p")).collect()}
+        assert got == {i: plain(t, w, window, most) for i, (t, w) in enumerate(rows)}
