@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import ranking as K
-from ..operators import retrieval as R
 from ..session import staged, table
 from . import retrieval as P
 from .registry import query
@@ -32,9 +31,9 @@ def questions(spark, sf):
 
 def items(spark, sf):
     """Documents as items: the first one to three words are the subject, all else follows from id, source and labels."""
-    id, w = F.col("doc_id"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
-    source = F.expr(SOURCE_NUMBER)
-    subject = F.array_join(F.slice(w, 1, (id % 3 + 1).cast("int")), " ")
+    id, source = F.col("doc_id"), F.expr(SOURCE_NUMBER)
+    first = [F.regexp_extract(F.coalesce("text", F.lit("")), "^[^A-Za-z]*([A-Za-z]+)" + "[^A-Za-z]+([A-Za-z]+)" * k, k + 1) for k in range(3)]  # each reads no further than its word
+    subject = F.array_join(F.filter(F.slice(F.array(*first), 1, (id % 3 + 1).cast("int")), lambda w: w != ""), " ")
     status = F.when(F.col("toxic") == 1, "CONFLICTED").when(F.col("quality") == 0, "STALE").when(F.col("quality").isNull(), "CANDIDATE").otherwise("VERIFIED")
     docs = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
     return docs.select(
@@ -159,11 +158,10 @@ def paths(spark, sf):
     return rows.select(F.concat(F.lit("Area/"), F.array_join(F.slice("w", 1, 2), " ")).alias("path")).distinct()
 
 
-def weighted(spark, sf):
+def weighted(spark, sf, parts=None):
     """Questions' terms with their idf over the documents."""
-    t = P.terms(spark, sf)
-    p = P.posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi")
-    return staged(t.join(R.document_frequency(p, P.n_docs(spark, sf)), "term").select("query", "term", "idf"), "terms")
+    t, _, idf = parts or P.searched(spark, sf)
+    return staged(t.join(idf, "term").select("query", "term", "idf"), "terms")
 
 
 @query(f"{P.LEXICAL}, {MATCHED} SELECT query, path FROM matched")
@@ -192,11 +190,11 @@ def r33_intent_affinity(spark, sf):
     return rows.select("conv_id", "turn", K.affine(F.col("intent"), picked(TYPES, F.col("conv_id")), picked(ROLES, F.col("conv_id")), polarity).alias("affine"))
 
 
-def analysed(spark, sf):
+def analysed(spark, sf, parts=None):
     """Questions with intent, version, entities, terms and paths."""
     q = questions(spark, sf).select("query", K.intent("text").alias("intent"), K.version("text").alias("version"))
     e = found(spark, sf).groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.lower("canonical").alias("low"), "kind", "weight", "common"))).alias("entities"))
-    t = weighted(spark, sf)
+    t = weighted(spark, sf, parts)
     terms = t.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "idf"))).alias("terms"))
     p = K.matching_paths(t, paths(spark, sf)).groupBy("query").agg(F.array_sort(F.collect_list("path")).alias("paths"))
     out = q.join(e, "query", "left").join(terms, "query", "left").join(p, "query", "left")
@@ -204,9 +202,9 @@ def analysed(spark, sf):
     return staged(out.select("query", "intent", "version", *(F.coalesce(c, F.array().cast(k)).alias(c) for c, k in empty.items())), "questions")
 
 
-def candidates(spark, sf):
+def candidates(spark, sf, parts=None):
     """(the pool's items, the pool): only the pool's items carry their words."""
-    pool = P.vectors(spark, sf).select("query", "id", "vec_rank").join(P.lexical(spark, sf).select("query", "id", "lex_rank"), ["query", "id"], "full_outer")
+    pool = P.vectors(spark, sf).select("query", "id", "vec_rank").join(P.lexical(spark, sf, parts=parts).select("query", "id", "lex_rank"), ["query", "id"], "full_outer")
     pool = staged(pool.withColumn("rare_rank", F.lit(None).cast("long")), "pool")
     of = items(spark, sf).join(pool.select("id").distinct(), "id", "left_semi")
     return of.withColumn("words", F.array_distinct(X.words(F.concat_ws(" ", "subject", "statement")))).withColumn("type_terms", F.array("knowledge_type")), pool
@@ -237,16 +235,18 @@ SIGNALS = rf"""
 @query(P.FUSED + f", {Q}, {ITEMS}, {ENTITIES}, {MATCHED}, {SIGNALS}" + " SELECT query, id, fusion, entity_subject, entity_mention, coverage, round((fusion + entity_subject + entity_mention + member + topic + coverage + affinity + type_match + trust + version_signal + penalties)::DOUBLE, 6) AS score FROM sig")
 def r31_signals(spark, sf):
     """All 19 signals of a pool of candidates; the score is their sum."""
-    of, pool = candidates(spark, sf)
-    scored = K.signals(pool.join(analysed(spark, sf), "query").join(of, "id"))
+    parts = P.searched(spark, sf)
+    of, pool = candidates(spark, sf, parts)
+    scored = K.signals(pool.join(analysed(spark, sf, parts), "query").join(of, "id"))
     return scored.select("query", "id", *(F.col(f"signals.{k}").alias(k) for k in ("fusion", "entity_subject", "entity_mention")), F.col("signals.concept_coverage").alias("coverage"), F.round("score", 6).alias("score"))
 
 
 @query()
 def r38_staged_retrieval(spark, sf):
     """The whole pipeline, from the pool to the expansion (its diversity is sequential within a list, so beyond SQL)."""
-    of, pool = candidates(spark, sf)
-    return K.retrieve(pool, analysed(spark, sf), staged(of, "candidates"), found(spark, sf), 8)
+    parts = P.searched(spark, sf)
+    of, pool = candidates(spark, sf, parts)
+    return K.retrieve(pool, analysed(spark, sf, parts), staged(of, "candidates"), found(spark, sf), 8)
 
 
 @query(P.FUSED + f", {Q}, {ITEMS}, {ENTITIES}" + f""", r37 AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0), 9) DESC, id) AS rank FROM u),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import checks
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from ..session import staged, table
 from .registry import query
 
@@ -56,10 +57,16 @@ LEXICAL = f"""
     lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY coverage DESC, id) AS lex_rank FROM s) WHERE lex_rank <= 50)"""
 
 
-def lexical(spark, sf, k: int = 50):
-    t = terms(spark, sf)
+def searched(spark, sf):
+    """(terms, postings, idf) of the questions: texts are read once, and their postings of question terms are staged."""
+    t = staged(terms(spark, sf), "terms")
     p = staged(posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi"), "postings")
-    return R.lexical_channel(t, p, R.document_frequency(p, n_docs(spark, sf)), k)
+    return t, p, staged(R.document_frequency(p, n_docs(spark, sf)), "idf")
+
+
+def lexical(spark, sf, k: int = 50, parts=None):
+    t, p, idf = parts or searched(spark, sf)
+    return R.lexical_channel(t, p, idf, k)
 
 
 @query(LEXICAL + " SELECT query, count(*) AS n, round(max(coverage), 4) AS best, arg_min(id, lex_rank) AS first_id FROM lex GROUP BY 1")
@@ -86,7 +93,7 @@ def vectors(spark, sf, k: int = 50):
     """Questions take the vector with their id; items lie within its topic."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("topic"), F.col("embedding").alias("vector"))
     q = v.join(table(spark, sf, "benchmark").select(F.col("item_id").alias("id")), "id").select(F.col("id").alias("query"), "topic", "vector")
-    return R.vector_channel(q, v, k, "topic")
+    return V.nearest(q, v, k, "topic", digits=9).withColumnRenamed("rank", "vec_rank")
 
 
 FUSED = LEXICAL + ", " + VECTORS + ", u AS (SELECT coalesce(vec.query, lex.query) AS query, coalesce(vec.id, lex.id) AS id, vec_rank, lex_rank FROM vec FULL JOIN lex ON vec.query = lex.query AND vec.id = lex.id)"
@@ -113,9 +120,7 @@ RARE = """, rt AS (SELECT query, term, idf FROM (SELECT query, term, df, idf, ro
     SELECT query, id, round(coalesce(1.0::DOUBLE / (60 + vec_rank), 0) + coalesce(1.0::DOUBLE / (60 + lex_rank), 0) + coalesce(1.0::DOUBLE / (60 + rare_rank), 0), 9) AS score FROM x""")
 def r29_three_channel_rrf(spark, sf):
     """Vector, lexical and rare-term ranks, fused."""
-    t, n = terms(spark, sf), n_docs(spark, sf)
-    p = staged(posts(spark, sf).join(t.select("term").distinct(), "term", "left_semi"), "postings")
-    idf = R.document_frequency(p, n)
+    (t, p, idf), n = searched(spark, sf), n_docs(spark, sf)
     rare = R.lexical_channel(R.rare_terms(t, idf, n).select("query", "term"), p, idf, 50).select("query", "id", F.col("lex_rank").alias("rare_rank"))
     lex = R.lexical_channel(t, p, idf, 50).select("query", "id", "lex_rank")
     pool = vectors(spark, sf).select("query", "id", "vec_rank").join(lex, ["query", "id"], "full_outer").join(rare, ["query", "id"], "full_outer")
