@@ -76,14 +76,20 @@ REFERENCES = {"nbsp": " ", "middot": "·", "copy": "©", "quot": '"', "lt": "<",
 
 def main_text(page: Column | str) -> Column:
     """A page's article, else its body, without menus, forms, scripts and markup, a line per block: a plain reading by
-    patterns, for pages that are well formed."""
+    patterns, for pages that are well formed. An unclosed element or comment that is left out takes the rest of the page;
+    no pattern reads a place twice from another start, so any page takes time in proportion to its length."""
     t = F.col(page) if isinstance(page, str) else page
+    t = F.regexp_replace(t, r"(?s)<!--.*?(?:-->|\z)", " ")
     for tag in DROPPED:
-        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}\s*>", " ")
-    inner = [F.regexp_extract(t, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}\s*>", 1) for tag in ("article", "body")]
-    t = F.coalesce(*(F.when(x != "", x) for x in inner), t)
-    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<!--.*?-->", " "), rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^>]*>", "\n")
-    t = F.regexp_replace(t, "<[^>]*>", "")
+        t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?(?:</{tag}\b[^<>]*>|\z)", " ")
+
+    def inner(tag: str) -> Column:  # from the first opening to the last closing
+        rest = F.regexp_extract(t, rf"(?is)^.*?<{tag}\b[^<>]*>(.*)$", 1)
+        return F.regexp_extract(rest, rf"(?is)^(.*)</{tag}\b", 1)
+
+    t = F.coalesce(*(F.when(inner(tag) != "", inner(tag)) for tag in ("article", "body")), t)
+    t = F.regexp_replace(t, rf"(?i)</?(?:{'|'.join(BLOCKS)})\b[^<>]*>", "\n")
+    t = F.regexp_replace(t, "<[^<>]*>", "")
     for name, char in REFERENCES.items():
         t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
     t = F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), r" ?\n[ \n]*", "\n")

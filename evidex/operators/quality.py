@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import retrieval
-
 #: The weights of the quality score.
 WEIGHTS = {"authority": 0.30, "verified": 0.15, "sources": 0.15, "specificity": 0.08, "taxonomy": 0.04, "validators": 0.13, "freshness": 0.08, "conflict": 0.05, "version": 0.02}
 #: Source classes and the provenance they give.
@@ -43,23 +41,6 @@ def near_duplicate(distance: Column, same_subject: Column, same_object: Column,
     return (distance <= most) & same_subject & same_object & (overlap >= least)
 
 
-def nearest_duplicates(queries: DataFrame, items: DataFrame, distance: Column, candidates: int = 5, most: float = DISTANCE) -> DataFrame:
-    """(query, id, rank, distance, same_object, overlap, duplicate): for each query the closest items of its subject, the
-    guards' values, and whether the item is the first that passes them. `queries`: query, subject, q_vector, q_object,
-    q_words, a stated set of bounded blocks; `items`: id, subject, vector, object, words; `distance` over both vectors."""
-    found = None
-    for block in retrieval.in_blocks(queries):
-        pairs = items.join(F.broadcast(block), "subject").filter(F.col("id") != F.col("query")).withColumn("distance", F.round(distance, 6))
-        lists = retrieval.top(pairs, "query", [F.col("distance"), F.col("id")], candidates, "rank")
-        found = lists if found is None else found.union(lists)
-    equal = same_objects(F.col("object"), F.array_union("object", "words"), F.col("q_object"), F.array_union("q_object", "q_words"))
-    over = F.round(jaccard(F.col("words"), F.col("q_words")), 6)
-    rows = found.select("query", "id", "rank", "distance", equal.alias("same_object"), over.alias("overlap"))
-    passes = near_duplicate(F.col("distance"), F.lit(True), F.col("same_object"), F.col("overlap"), most)
-    first = F.min(F.when(passes, F.col("rank"))).over(Window.partitionBy("query"))
-    return rows.withColumn("duplicate", F.coalesce(F.col("rank") == first, F.lit(False)))
-
-
 def mirrors(docs: DataFrame, id: str, source: str, signals: list[str]) -> DataFrame:
     """(id, mirror_of, signal): the earliest other document with the same first signal that any other document shares;
     none where that document has the same source. Two smallest ids per signal value are enough to know it."""

@@ -1,4 +1,4 @@
-"""Hybrid retrieval: vector and lexical channels, reciprocal rank fusion, ranking and diversity.
+"""Hybrid retrieval: lexical channels, reciprocal rank fusion, ranking and diversity (vectors are in a module of their own).
 
 A query set is small beside the data (golden questions, or every twentieth row): it is joined to the data by its terms or
 its topic. Only postings of query terms are shuffled; per-query top lists are cut within tasks before they are exchanged.
@@ -14,43 +14,12 @@ from ..session import staged
 K = 60
 
 
-def cosine_distance(a: Column, b: Column) -> Column:
-    """In doubles, whatever the vectors hold."""
-
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
 def top(rows: DataFrame, query: str, order: list[Column], k: int, rank: str) -> DataFrame:
     """The first k rows per query, ranked from 1; Spark limits each task's groups before the exchange."""
     w = Window.partitionBy(query).orderBy(*order)
     return rows.withColumn(rank, F.row_number().over(w).cast("long")).filter(F.col(rank) <= k)
 
 
-#: Queries that are sent to all tasks at once.
-QUERY_BLOCK = 2_000
-
-
-def in_blocks(queries: DataFrame, most: int = QUERY_BLOCK) -> list[DataFrame]:
-    """A stated query set in blocks of about `most` rows, by hash of the query, for broadcasting one after the other."""
-    n = -(-queries.count() // most)
-    return [queries.filter(F.pmod(F.xxhash64("query"), F.lit(n)) == b) for b in range(n)] if n > 1 else [queries]
-
-
-def vector_channel(queries: DataFrame, items: DataFrame, k: int, on: str | None = None) -> DataFrame:
-    """(query, id, distance, vec_rank). `queries`: query, vector, a stated set; `items`: id, vector; both with the topic `on`
-    if given. Queries go to the items in counted blocks, so items are never shuffled; each task cuts its lists first."""
-    found = None
-    for block in in_blocks(queries.withColumnRenamed("vector", "_qv")):
-        pairs = items.join(F.broadcast(block), on) if on else items.crossJoin(F.broadcast(block))
-        scored = pairs.select("query", "id", F.round(cosine_distance(F.col("_qv"), F.col("vector")), 9).alias("distance"))
-        lists = top(scored, "query", [F.col("distance"), F.col("id")], k, "vec_rank")
-        found = lists if found is None else found.union(lists)
-    return found
-
-
 def postings(docs: DataFrame, words: Column) -> DataFrame:
     """(id, term): distinct words of each document."""
     return docs.select("id", F.explode(F.array_distinct(words)).alias("term"))

@@ -58,7 +58,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, on: str | None = None,
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
         import numpy as np
 
-        ids, names = left.column("id").to_numpy(), right.column("query").to_numpy()
+        ids, names = (np.array(x.tolist()) if x.dtype == object else x for x in (left.column("id").to_numpy(), right.column("query").to_numpy()))
         items_, asked = _unit(_matrix(left.column("vector"))), _unit(_matrix(right.column("_asked")))
         out = []
         for at in range(0, len(names), 256) if len(ids) else ():
@@ -80,6 +80,21 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, on: str | None = None,
     return lists.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
 
 
+def nearest_duplicates(queries: DataFrame, items: DataFrame, candidates: int = 5, most: float = quality.DISTANCE) -> DataFrame:
+    """(query, id, rank, distance, same_object, overlap, duplicate): for each query the closest items of its subject, the
+    guards' values, and whether the item is the first that passes them. `queries`: query, subject, vector, object, words;
+    `items`: id, subject, vector, object, words. Vectors meet first; objects and words follow for those few."""
+    found = nearest(queries, items, candidates, "subject", others_only=True)
+    mine = queries.select("query", F.col("object").alias("_object"), F.col("words").alias("_words"))
+    rows = staged(found, "nearest").join(mine, "query").join(items.select("id", "object", "words"), "id")
+    equal = quality.same_objects(F.col("object"), F.array_union("object", "words"), F.col("_object"), F.array_union("_object", "_words"))
+    over = F.round(quality.jaccard(F.col("words"), F.col("_words")), 6)
+    rows = rows.select("query", "id", "rank", "distance", equal.alias("same_object"), over.alias("overlap"))
+    passes = quality.near_duplicate(F.col("distance"), F.lit(True), F.col("same_object"), F.col("overlap"), most)
+    first = F.min(F.when(passes, F.col("rank"))).over(Window.partitionBy("query"))
+    return rows.withColumn("duplicate", F.coalesce(F.col("rank") == first, F.lit(False)))
+
+
 @dataclass
 class Cells:
     """An inverted file: unit centroids, and how many of the nearest cells a query looks into."""

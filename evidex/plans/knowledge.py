@@ -6,9 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import edges as E
-from ..operators import graph, quality
+from ..operators import graph, quality, vectors
 from ..operators import lifecycle as L
-from ..operators import retrieval as R
 from ..session import staged, table
 from .registry import query, standard
 from .text import NORM
@@ -296,8 +295,7 @@ def d04_d05_near_duplicates(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", F.array_distinct(words).alias("words"), F.array_distinct(F.slice(words, 1, 2)).alias("object"))
     v = table(spark, sf, "embeddings").join(docs, F.col("doc_id") == F.col("vec_id")).select(F.col("vec_id").alias("id"), F.col("label").alias("subject"), F.col("embedding").alias("vector"), "object", "words")
     v = staged(v, "items")
-    q = v.filter("id % 20 = 0").select(F.col("id").alias("query"), "subject", F.col("vector").alias("q_vector"), F.col("object").alias("q_object"), F.col("words").alias("q_words"))
-    return quality.nearest_duplicates(q, v, R.cosine_distance(F.col("q_vector"), F.col("vector")))
+    return vectors.nearest_duplicates(v.filter("id % 20 = 0").withColumnRenamed("id", "query"), v)
 
 
 @query("""

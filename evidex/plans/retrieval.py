@@ -38,12 +38,7 @@ def n_docs(spark, sf):
 def r20_d05_vector_topk(spark, sf):
     """The ten nearest of the same topic for every twentieth vector."""
     v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
-    found = None
-    for q in R.in_blocks(v.filter("id % 20 = 0").select(F.col("id").alias("query"), "label", F.col("vector").alias("qv"))):
-        pairs = v.join(F.broadcast(q), "label").filter("id <> query").select("query", "id", F.round(R.cosine_distance(F.col("qv"), F.col("vector")), 6).alias("distance"))
-        lists = R.top(pairs, "query", [F.col("distance"), F.col("id")], 10, "rank")
-        found = lists if found is None else found.union(lists)
-    return found
+    return V.nearest(v.filter("id % 20 = 0").withColumnRenamed("id", "query"), v, 10, "label", others_only=True)
 
 
 @query(f"WITH post AS ({POSTS}) SELECT term, df, round(idf, 6) AS idf FROM ({IDF})")

@@ -119,3 +119,17 @@ def test_passages_against_a_plain_search(spark):
     for window, most in ((900, 3), (40, 3), (20, 2)):
         got = {r.i: r.p for r in df.select("i", quotes.passages(F.col("t"), F.col("w"), window, most).alias("p")).collect()}
         assert got == {i: plain(t, w, window, most) for i, (t, w) in enumerate(rows)}
+
+
+def test_hostile_pages_take_their_length(spark):
+    """Openings without ends by the hundred thousand; what is well formed beside them stays."""
+    import time
+
+    from evidex.functions import text as X
+
+    pages = ["<" * 400_000, "<article>" * 50_000, "<!--" * 100_000, "<nav " * 100_000, "</article>" + "<article>" * 50_000, "<script>" * 50_000, "<body " * 50_000 + ">x", "a" + " " * 300_000 + "b", "<p>kept</p><!-- gone <p>gone</p>", "<p>kept</p><nav>gone", "<article><p>in</p></article><p>out</p>"]
+    df = spark.createDataFrame([*enumerate(pages)], "i int, h string")
+    start = time.perf_counter()
+    got = {r.i: r.t for r in df.select("i", X.main_text("h").alias("t")).collect()}
+    assert time.perf_counter() - start < 60
+    assert got[7] == "a b" and got[8] == got[9] == "kept" and got[10] == "in"

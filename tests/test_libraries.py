@@ -4,7 +4,7 @@ import random
 
 from evidex.functions import quotes
 from evidex.functions import text as X
-from evidex.operators import checks, edges, lifecycle, metrics, quality, ranking, retrieval, validators
+from evidex.operators import checks, edges, lifecycle, metrics, quality, ranking, retrieval, validators, vectors
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,8 @@ def test_derived_scores_over_several_steps(spark):
 def test_near_duplicate_guards(spark):
     rows = [("dup", [1.0, 0.0], "filter context", "the filter context applies to rows"), ("far", [0.0, 1.0], "filter context", "the filter context applies to rows"), ("object", [1.0, 0.01], "row context", "the row applies to rows"), ("words", [1.0, 0.02], "filter context", "what a filter context is said to be")]
     items = spark.createDataFrame([(i, "s", v, o.split(), t.split()) for i, v, o, t in rows] + [("other", "z", [1.0, 0.0], ["filter", "context"], ["the", "filter", "context"])], "id string, subject string, vector array<double>, object array<string>, words array<string>")
-    q = spark.createDataFrame([("q", "s", [1.0, 0.0], ["filter", "context"], "the filter context applies to all rows".split())], "query string, subject string, q_vector array<double>, q_object array<string>, q_words array<string>")
-    got = {r.id: r.duplicate for r in quality.nearest_duplicates(q, items, retrieval.cosine_distance(F.col("q_vector"), F.col("vector"))).collect()}
+    q = spark.createDataFrame([("q", "s", [1.0, 0.0], ["filter", "context"], "the filter context applies to all rows".split())], "query string, subject string, vector array<double>, object array<string>, words array<string>")
+    got = {r.id: r.duplicate for r in vectors.nearest_duplicates(q, items).collect()}
     assert got == {"dup": True, "far": False, "object": False, "words": False}
 
 
