@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 #: Rules in order of their contract: (verdict, domain, path beginning).
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 #: Seeds: words that mark a url without a rule as blocked in training.
 SEEDS = ("adult", "ads", "bets", "casino", "pills", "porn", "poker", "spam", "viagra", "xxx")
 LONGEST, SMOOTH, LEAST_COUNT = 20, 1.0, 2
