@@ -212,8 +212,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", spl
 WORDS, SIMILARITY = 5, 0.8
 #: Least hashes that make up one band, and the chance that a pair just similar enough shares no band.
 BAND_ROWS, MISS = 5, 5e-4
-#: Representatives of a bucket that a turn compares its members with.
-HEADS = 32
+#: A bucket's texts are compared in tiles; most texts, and shingles on the average, of a tile's side.
+TILE, TILE_SHINGLES = 1024, 1 << 20
 
 
 def _bands(similarity: float) -> int:
@@ -277,17 +277,122 @@ def _similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return with_x.join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _tile_links(similarity: float):
+    """Sorted (tile, side, root, shingles) rows to links between roots: a spanning forest of a tile's links.
+
+    Each text of side true is compared with each of the other side, by exact counts; those of one root are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        def shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+            """The number of common shingles of each of x with each of y: products of 0-1 matrices, some columns at a time."""
+            n = np.zeros((len(x), len(y)), np.int64)
+            tokens = [np.concatenate(z) for z in (x, y)]
+            common = np.intersect1d(*tokens)
+            sides = []
+            for z, t in zip((x, y), tokens):
+                at = np.searchsorted(common, t)
+                hit = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == t) if len(common) else np.zeros(0, np.int64)
+                hit = hit[np.argsort(at[hit], kind="stable")]
+                sides.append((np.repeat(np.arange(len(z)), [len(v) for v in z])[hit], at[hit]))
+            for low in range(0, len(common), 1 << 12):
+                width = min(1 << 12, len(common) - low)
+                parts = []
+                for z, (row, at) in zip((x, y), sides):
+                    a, b = np.searchsorted(at, (low, low + width))
+                    m = np.zeros((len(z), width), np.float32)
+                    m[row[a:b], at[a:b] - low] = 1
+                    parts.append(m)
+                n += (parts[0] @ parts[1].T).astype(np.int64)
+            return n
+
+        def forest(rows: pa.Table) -> list[tuple[int, int]]:
+            side, root = (rows.column(c).to_numpy() for c in ("side", "root"))
+            if side.all() or not side.any():
+                return []
+            sets = [np.frombuffer(v.as_buffer(), "<u4") for v in rows.column("shingles")]
+            at = [np.flatnonzero(side), np.flatnonzero(~side)]
+            x, y = ([sets[i] for i in z] for z in at)
+            both = shared(x, y)
+            sizes = [np.array([len(v) for v in z]) for z in (x, y)]
+            ok = (both >= similarity * (sizes[0][:, None] + sizes[1] - both)) & (root[at[0]][:, None] != root[at[1]])
+            i, j = np.nonzero(ok)
+            up: dict[int, int] = {}
+
+            def find(v: int) -> int:
+                while (w := up.get(v, v)) != v:
+                    up[v] = v = up.get(w, w)
+                return v
+
+            out, left = [], len(np.unique(root)) - 1
+            for a, b in np.unique(np.stack([root[at[0]][i], root[at[1]][j]]), axis=1).T.tolist():
+                if (p := find(a)) != (q := find(b)):
+                    up[p] = q
+                    out.append((a, b))
+                    if len(out) == left:
+                        break
+            return out
+
+        def links(rows: pa.Table, cut: np.ndarray) -> pa.RecordBatch:
+            found = [pair for a, b in zip(cut[:-1], cut[1:]) for pair in forest(rows.slice(a, b - a))]
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+            if rows.num_rows:
+                tile = rows.column("tile").to_numpy()
+                cut = np.flatnonzero(np.r_[True, tile[1:] != tile[:-1]])
+                yield links(rows, cut)
+                held = rows.slice(cut[-1])  # the last tile may go on in the next batch
+        if held is not None:
+            yield links(held, np.array([0, held.num_rows]))
+
+    return run
+
+
+def _rest(members: DataFrame, root: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between the components `root`, from all pairs of texts that share a bucket and aren't connected yet.
+
+    In each bucket, the texts outside its main component meet all its texts. Both are dealt to slots of bounded size, and
+    a pair of slots is a tile, which one task compares: a text is sent once for each slot of the other side.
+    """
+    now = members.join(root, members.digest == root.node, "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
+    sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("words"), *(F.bit_xor(F.xxhash64("digest", F.lit(k))).alias(f"mark{k}") for k in (0, 1)))
+    top = F.max(F.struct("size", "root", "words"))
+    buckets = sizes.groupBy("key").agg(F.count("*").alias("parts"), top.alias("top"), F.sum("size").alias("size"), F.sum("words").alias("words"), F.bit_xor("mark0").alias("mark0"), F.bit_xor("mark1").alias("mark1")).filter("parts > 1")
+    # Buckets of the same texts are compared once.
+    buckets = buckets.groupBy("size", "mark0", "mark1").agg(F.min(F.struct("key", "top", "words")).alias("b")).select("size", "b.*")
+
+    def slots(size: Column, words: Column) -> Column:
+        return F.greatest(F.lit(1), F.ceil(size / TILE), F.ceil(words / TILE_SHINGLES)).cast("int")
+
+    buckets = buckets.select("key", F.col("top.root").alias("main"), slots(F.col("size") - F.col("top.size"), F.col("words") - F.col("top.words")).alias("outer"), slots(F.col("size"), F.col("words")).alias("inner"))
+    dealt = staged(now.join(buckets, "key"), "mixed")
+
+    def side(rows: DataFrame, own: str, other: str, first: bool) -> DataFrame:
+        slot, each = F.pmod(F.xxhash64("digest", F.lit(own)), F.col(own)), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("each")
+        rows = rows.select("key", "digest", "root", slot.cast("int").alias("slot"), each)
+        return rows.select(F.xxhash64("key", "slot", "each") if first else F.xxhash64("key", "each", "slot"), F.lit(first), "root", "digest").toDF("tile", "side", "root", "digest")
+
+    rows = side(dealt.filter("root <> main"), "outer", "inner", True).union(side(dealt, "inner", "outer", False))
+    rows = rows.join(sets, "digest").select("tile", "side", "root", "shingles")
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(similarity), "a long, b long").distinct()
+
+
 def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id, component_id) per row: component_id is the smallest id among the documents reachable by links. Texts are linked
     if their sets of `words`-word shingles have a Jaccard similarity of `similarity` or more, counted exactly.
 
     Candidates are fingerprints within 3 bits, by pigeonring, and, since texts just similar enough lie up to a dozen bits
     apart, texts that share one of the bands of least hashes (a pair of similarity 0.8 shares none with a chance of 5 in
-    10,000, a closer one with less). A bucket of texts that share a band never yields all its pairs: first each text is
-    compared with the least of its buckets' representatives; then, where a bucket's texts fall into several components,
-    those outside its main one with up to HEADS representatives of that and as many of the others, and so on with other
-    representatives until a turn finds no link. So a link can be lost only between two texts that no turn compares, and
-    whose components no other link joins. Texts with equal sets are one class throughout.
+    10,000, a closer one with less). Every candidate is decided by an exact count or is connected already: each text is
+    compared with the least of its buckets' representatives; then, in each bucket that still holds several components, all
+    texts outside its main one with all texts of the bucket, in tiles of bounded size that yield a spanning forest. No
+    bucket is capped. Texts with equal sets are one class throughout.
 
     Null or wordless texts are alike. Repeated ids stay repeated; a null id takes its component's smallest id. An empty
     table gives an empty result.
@@ -308,33 +413,14 @@ def similar(docs: DataFrame, id: str = "doc_id", text: str = "text", words: int
         pairs = staged(pairs.distinct(), "candidates")
         of = staged(left.select("digest").union(pairs.select("a")).union(pairs.select("b")).distinct(), "wanted")
         sets = staged(made.select("row", "shingles").join(each.join(of, "digest").select("row", "digest"), "row").select("digest", "shingles"), "sets")
-        root, tried, turn = None, None, 0
-        while True:
-            if not turn:  # each text with the least of its buckets' representatives: a pair a text
-                heads = left.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("h")).select("key", F.col("h.digest").alias("head"), F.col("h.n").alias("head_n"))
-                first = left.join(heads, "key").groupBy("digest", "n").agg(F.min(F.struct("head", "head_n")).alias("h")).select("digest", "n", "h.head", "h.head_n")
-                close = first.filter(alike)
-            else:
-                now = left.join(root, left.digest == root.node, "left").select("key", "digest", "n", F.coalesce("root", "digest").alias("root"))
-                mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-                now = staged(now.join(mixed, "key", "left_semi"), "mixed")
-                sizes = now.groupBy("key", "root").agg(F.count("*").alias("size"))
-                main = sizes.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"))
-                now = now.join(main, "key").withColumn("inside", F.col("root") == F.col("main"))
-                # Texts outside a bucket's main component meet representatives of it and of each other, by a hash that
-                # differs from turn to turn.
-                order = F.xxhash64("digest", F.lit(turn))
-                heads = now.groupBy("key", "inside", F.pmod(order, F.lit(HEADS)).alias("slot")).agg(F.min(F.struct(order.alias("order"), F.col("digest").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"))).alias("h")).select("key", "h.head", "h.head_n", "h.head_root")
-                close = now.filter("not inside").join(heads, "key").filter((F.col("root") != F.col("head_root")) & alike)
-            more = close.select(F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b"))
-            more = (more if turn else more.union(pairs.select(F.least("a", "b"), F.greatest("a", "b")))).filter("a <> b").distinct()
-            more = staged(more.join(tried, ["a", "b"], "left_anti") if turn else more, "pairs")
-            tried = tried.union(more) if turn else more
-            good = staged(_similar_pairs(more, sets, similarity), "similar")
-            if turn and good.isEmpty():
-                break
-            root = components(good if root is None else good.union(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-            turn += 1
+        # Each text meets the least of its buckets' representatives first, a pair a text; then the rest of its buckets.
+        heads = left.groupBy("key").agg(F.min(F.struct("digest", "n")).alias("h")).select("key", F.col("h.digest").alias("head"), F.col("h.n").alias("head_n"))
+        first = left.join(heads, "key").groupBy("digest", "n").agg(F.min(F.struct("head", "head_n")).alias("h")).select("digest", "n", "h.head", "h.head_n")
+        close = first.filter(alike).select(F.col("digest").alias("a"), F.col("head").alias("b")).union(pairs)
+        close = staged(close.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "pairs")
+        root = staged(components(staged(_similar_pairs(close, sets, similarity), "similar")), "roots")
+        more = staged(_rest(left, root, sets, similarity), "more")
+        root = components(more.union(root.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         linked = each.join(root, each.digest == root.node).select("digest", "low", "root")
         least = staged(linked.groupBy("root").agg(F.min("low").alias("component_id")), "least")
         alone = each.join(root, each.digest == root.node, "left_anti").select("digest", F.col("low").alias("component_id"))
