@@ -124,6 +124,29 @@ def test_near_copies_against_brute_force(spark):
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted((r.doc_id, c) for r, c in zip(rows, lows(rows, slow_similar([r.text for r in rows]))))
 
 
+def few_links(n=150, apart=7):
+    """Near copies of a text, less similar than 0.8 to each other but for a few pairs: those differ from the text in the
+    same places, and by other words, so that they share no bucket but the large ones."""
+    rng, rows = random.Random(3), []
+    for i in range(n):
+        places = rng.sample(range(10, 320), apart)
+        for id in (i, 10_000 + i)[: 1 + (i % 50 == 0)]:
+            rows.append((id, " ".join(f"x{id}-{k}" if k in places else f"w{k}" for k in range(330))))
+    return rows
+
+
+def test_few_links_in_a_large_group(spark, monkeypatch):
+    """Links between texts that no bucket has as its representatives, however few those are; in one tile and in many."""
+    monkeypatch.setattr(S, "HEADS", 1, raising=False)  # a former cap
+    rows = few_links()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(zip((i for i, _ in rows), lows(df.collect(), slow_similar([t for _, t in rows]))))
+    assert sum(i != c for i, c in want) >= 3
+    for tile in (S.TILE, 20):
+        monkeypatch.setattr(S, "TILE", tile)
+        assert sorted((r.doc_id, r.component_id) for r in S.similar(df).collect()) == want
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert S.near_duplicates(none).collect() == [] and S.keep_first(none).collect() == []
