@@ -123,11 +123,25 @@ def d05_duplicate_classes(spark, sf):
 
 
 def classes(spark, sf):
-    words = X.words("text")
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), words.alias("w"))
-    docs = docs.select("id", F.array_distinct("w").alias("words"), F.slice("w", 1, 2).alias("object"), F.transform("w", lambda x: (F.ascii(x) * 31 + F.ascii(F.right(x, F.lit(1))) * 7 + F.length(x)) % 64).alias("bag"))
-    counts = F.aggregate("bag", F.array_repeat(F.lit(0.0), 64), lambda s, b: F.transform(s, lambda n, k: n + F.when(k == b, 1.0).otherwise(0.0)))
-    return vectors.duplicate_classes(docs.select("id", counts.alias("vector"), "words", "object"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), X.words("text").alias("words"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for part in (batch.slice(k, 1000) for batch in batches for k in range(0, batch.num_rows, 1000)):
+            lists, n = part.column("words"), part.num_rows
+            flat = lists.flatten().cast(pa.large_string())
+            at = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1] if len(flat) else np.zeros(1, np.int64)
+            data = np.frombuffer(flat.buffers()[2], np.uint8) if len(flat) else np.zeros(0, np.uint8)
+            first, last = data[at[:-1]].astype(np.int64), data[at[1:] - 1].astype(np.int64)
+            row = np.repeat(np.arange(n), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            counts = np.bincount(row * 64 + (first * 31 + last * 7 + np.diff(at)) % 64, minlength=n * 64).astype(float)
+            vector = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 64), pa.array(counts))
+            yield pa.RecordBatch.from_arrays([part.column("id"), lists, vector], ["id", "words", "vector"])
+
+    bags = docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, words array<string>, vector array<double>")
+    return vectors.duplicate_classes(bags.select("id", "vector", "words", F.slice("words", 1, 2).alias("object")))
 
 
 @query(rf"""

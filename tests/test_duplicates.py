@@ -1,9 +1,11 @@
-"""Near duplicates without a subject: links at the very bound."""
+"""Near duplicates without a subject: links at the very bound, and what a run shuffles."""
 
+import os
 from collections import Counter
 
 import numpy as np
 from evidex.operators import vectors
+from evidex.plans import QUERIES
 
 
 def rows(spark, items):
@@ -45,3 +47,18 @@ def test_sizes_far_apart(spark):
     assert max(want.values()) > 3
     for block in (4, 1 << 17):
         assert {r.id: r.n_links for r in vectors.duplicate_classes(rows(spark, items), slot=3, block=block).collect()} == want
+
+
+def test_shuffles_less_than_the_texts(spark):
+    """Whole rows are sent for members of groups alone."""
+    sf = "/root/testdata/sf0.1"
+
+    def written() -> int:
+        sc = spark.sparkContext
+        none = sc._jvm.java.util.ArrayList()
+        stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(sc._jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+    before = written()
+    assert QUERIES["d05_duplicate_links"](spark, sf).count() == 10_000
+    assert written() - before < 3 * os.path.getsize(f"{sf}/documents.parquet")
